@@ -105,8 +105,9 @@ def number_lines(
 def part_rows(lines: DataFrame) -> DataFrame:
     """One row per part (1-based parte), one row with null part columns for a line without parts."""
     kept = [c for c in lines.columns if c != "parts"]
-    return lines.select(*kept, F.posexplode_outer("parts").alias("_pos", "_part")).select(
+    return lines.select(*kept, F.size("parts").alias("parts_in_line"), F.posexplode_outer("parts").alias("_pos", "_part")).select(
         *kept,
+        "parts_in_line",
         (F.col("_pos") + 1).alias("parte"),
         F.col("_part.part_id").alias("part_id"),
         F.coalesce("_part.text", F.lit("")).alias("text"),
