@@ -166,10 +166,12 @@ def new_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers in the shapes models give them: plain, fenced, after a thought, as objects, as one string."""
-    rows = F.transform(F.split("text", "\n"), strip)
+    rows = F.transform(
+        F.split("text", "\n"), lambda t, i: F.when(i % 5 == 3, " [Sem Texto] ").otherwise(strip(t))
+    )
     plain = F.to_json(F.struct(rows.alias("linhas")))
     objects = F.to_json(F.struct(F.transform(rows, lambda r: F.struct(r.alias("texto"))).alias("linhas")))
-    single = F.to_json(F.struct(F.col("text").alias("linhas")))
+    single = F.to_json(F.struct(F.array_join(rows, "\n").alias("linhas")))
     kind = F.col("conv_id") % 5
     return table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
         "conv_id", "turn",

@@ -31,5 +31,5 @@ DEFAULT_SENSITIVITY = 0.55
 HOT_GROUP_ROWS = 100_000      # a page with more lines than this leaves the one-task-per-page plan
 MAX_HOT_GROUPS = 10_000       # so many keys at most are ever broadcast; every other page holds < 1/10000 of the rows
 NEST_ROWS = 1_000             # part rows nested into one array at most; longer pages span several rows
-QUERY_BLOCK = 4_096           # query vectors per block of a similarity join
-VECTOR_BLOCK = 16_384         # stored vectors per block of a similarity join
+QUERY_BLOCK = 1_024           # query vectors per block of a similarity join
+VECTOR_BLOCK = 8_192          # stored vectors per block of a similarity join
