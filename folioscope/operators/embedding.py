@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.text import fold, tokens
 from folioscope.settings import EMBED_BATCH, VECTOR_SIZE
@@ -54,7 +55,7 @@ def embed_texts(
     factory = model_factory or hashing_model
     size = 4096 if default else batch
     prepared = rows.withColumn("_in", F.array_join(tokens(fold(F.col(text))), " ") if default else F.col(text))
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()

@@ -1,4 +1,5 @@
 """The same derivations as common table expressions, for the engine that checks results."""
+import re
 
 SPACES = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]"
 
@@ -117,19 +118,17 @@ CTES["progress_events"] = """
 
 
 def with_desk(select: str, **extra: str) -> str:
-    """A query over the derived tables; unused expressions cost nothing."""
+    """A query over the derived tables, with the expressions it reaches, each after those it reads."""
     named = {**CTES, **extra}
-    # Keep only what the query reaches, in definition order.
-    import re
+    done: dict[str, str] = {}
 
-    reach, todo = set(), [select]
-    while todo:
-        text = todo.pop()
+    def visit(text: str, inside: str | None = None) -> None:
         for name, body in named.items():
-            if name not in reach and re.search(rf"\b{name}\b", text):
-                reach.add(name)
-                todo.append(body)
-    used = [f"{name} AS ({body})" for name, body in named.items() if name in reach]
-    if not used:
+            if name not in done and name != inside and re.search(rf"\b{name}\b", text):
+                visit(body, name)
+                done.setdefault(name, body)
+
+    visit(select)
+    if not done:
         return select
-    return "WITH RECURSIVE " + ",\n".join(used) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in done.items()) + "\n" + select

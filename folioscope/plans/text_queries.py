@@ -63,9 +63,9 @@ def text_match(spark, sf):
     return search.literal_hits(rows, QUERY).select("page_id", "part_id")
 
 
-@query("name_match", with_desk(f"SELECT page_id, filename FROM desk_pages WHERE contains({fold_sql('filename')}, 'web-fr')"))
+@query("name_match", with_desk(f"SELECT page_id, filename FROM desk_pages WHERE contains({fold_sql('filename')}, 'src1-fr')"))
 def name_match(spark, sf):
-    return search.name_matches(desk.pages(spark, sf), "Wéb-FR").select("page_id", "filename")
+    return search.name_matches(desk.pages(spark, sf), "Srć1-FR").select("page_id", "filename")
 
 
 @query("highlight", with_desk(f"SELECT part_id, regexp_replace(text, '{MARKS}', '<mark>\\0</mark>', 'g') AS marked FROM texted"))
