@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,21 +16,22 @@ from folioscope.settings import EMBED_BATCH, VECTOR_SIZE
 Model = Callable[[list[str]], list[list[float]]]
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % VECTOR_SIZE
-
-
 def hashing_model() -> Model:
     """Word counts in 768 hash buckets, at unit length. Expects folded words separated by spaces."""
+    known: dict[str, int] = {}
+
+    def bucket(token: str) -> int:
+        found = known.get(token)
+        if found is None:
+            if len(known) > 200_000:  # forget, rather than grow with the vocabulary
+                known.clear()
+            found = known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % VECTOR_SIZE
+        return found
 
     def embed(texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            counts = np.zeros(VECTOR_SIZE)
-            for token in text.split(" "):
-                if token:
-                    counts[_bucket(token)] += 1
+            counts = np.bincount(np.array([bucket(t) for t in text.split(" ") if t], dtype="int64"), minlength=VECTOR_SIZE).astype("float64")
             norm = np.sqrt((counts * counts).sum())
             out.append((counts / norm if norm else counts).astype("float32"))
         return out

@@ -5,37 +5,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folioscope.functions.boxes import CORNERS
 from folioscope.functions.text import has_text
 from folioscope.operators.fragments import drop_fragments
 from folioscope.operators.review import derived_id, empty_part
-from folioscope.operators.spread import positions, split_hot
+from folioscope.operators.spread import hot_groups, positions, split_hot
 from folioscope.settings import HOT_GROUP_ROWS, REDETECT_OVERLAP
 
-_MATCH = "page_id string, box_pos long, line_pos long"
-
-
-def _match_in_order(boxes: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-    """Each box in turn takes the unused line it overlaps most in height; the earliest of equals."""
-    boxes = boxes.sort_values("box_pos")
-    lines = lines.sort_values("line_pos")
-    top, bottom = lines["y0"].to_numpy(), lines["y1"].to_numpy()
-    heights = bottom - top
-    free = np.ones(len(lines), dtype=bool)
-    taken = np.full(len(boxes), -1, dtype="int64")
-    for i, (y0, y1) in enumerate(zip(boxes["y0"].to_numpy(), boxes["y1"].to_numpy())):
-        shared = np.maximum(0, np.minimum(bottom, y1) - np.maximum(top, y0))
-        ratio = np.where(free, shared / np.maximum(1, np.minimum(heights, y1 - y0)), 0.0)
-        if len(ratio):
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _taken(box_y0: pd.Series, box_y1: pd.Series, line_y0: pd.Series, line_y1: pd.Series) -> pd.Series:
+    """Per page: for each box in turn the unused line it overlaps most in height, the earliest of equals; -1 for none."""
+    out = []
+    for tops, bottoms, old_tops, old_bottoms in zip(box_y0, box_y1, line_y0, line_y1):
+        free = np.ones(len(old_tops), dtype=bool)
+        heights = old_bottoms - old_tops
+        taken = np.full(len(tops), -1, dtype="int32")
+        for i in range(len(tops) if len(free) else 0):
+            shared = np.maximum(0, np.minimum(old_bottoms, bottoms[i]) - np.maximum(old_tops, tops[i]))
+            ratio = np.where(free, shared / np.maximum(1, np.minimum(heights, bottoms[i] - tops[i])), 0.0)
             best = int(np.argmax(ratio))
             if ratio[best] > REDETECT_OVERLAP:
                 taken[i] = best
                 free[best] = False
-    hit = taken >= 0
-    page = boxes["page_id"].to_numpy()[hit]
-    return pd.DataFrame({
-        "page_id": page, "box_pos": boxes["box_pos"].to_numpy()[hit], "line_pos": lines["line_pos"].to_numpy()[taken[hit]],
-    })
+        out.append(taken)
+    return pd.Series(out)
 
 
 def _bands(rows: DataFrame) -> DataFrame:
@@ -55,61 +50,73 @@ def _bands(rows: DataFrame) -> DataFrame:
     ).select(*rows.columns, "band")
 
 
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(page_id, box_pos, line_pos): every box, and with box_pos null every line no box took."""
+    item = F.struct("pos", "y0", "y1")
+    sides = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == "box", item))).alias("b"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == "line", item))).alias("l"),
+    )
+    chosen = sides.withColumn("t", _taken("b.y0", "b.y1", "l.y0", "l.y1"))
+    none = F.lit(None).cast("bigint")
+    boxed = F.transform(
+        "b",
+        lambda box, i: F.struct(
+            box["pos"].alias("box_pos"),
+            F.when(F.get("t", i) >= 0, F.get(F.col("l"), F.get("t", i))["pos"]).otherwise(none).alias("line_pos"),
+        ),
+    )
+    indexes = F.when(F.size("l") > 0, F.sequence(F.lit(0), F.size("l") - 1)).otherwise(F.array().cast("array<int>"))
+    left = F.transform(
+        F.array_except(indexes, "t"), lambda i: F.struct(none.alias("box_pos"), F.get(F.col("l"), i)["pos"].alias("line_pos"))
+    )
+    return chosen.select("page_id", F.inline(F.concat(boxed, left)))
+
+
+def _sides(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    def side(frame: DataFrame, name: str, pos: str) -> DataFrame:
+        return frame.select("page_id", F.lit(name).alias("side"), F.col(pos).cast("bigint").alias("pos"), "y0", "y1")
+
+    return side(boxes, "box", "box_pos").unionByName(side(lines, "line", "line_pos"))
+
+
 def match_boxes(lines: DataFrame, boxes: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    """(page_id, box_pos, line_pos) of boxes that take over a stored line.
+    """Which stored line each new box takes over, and which lines are left.
 
     The choice is sequential, so it runs per page. A hot page is first cut into bands that cannot
     affect one another.
     """
-    rows = boxes.select("page_id", F.lit("box").alias("side"), F.col("box_pos").cast("bigint").alias("pos"), "y0", "y1").unionByName(
-        lines.select("page_id", F.lit("line").alias("side"), F.col("line_pos").cast("bigint").alias("pos"), "y0", "y1")
-    )
-    cold, hot = split_hot(rows, ["page_id"], hot_rows)
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        boxed = frame["side"] == "box"
-        if boxed.all() or not boxed.any():
-            return pd.DataFrame()
-        return _match_in_order(
-            frame[boxed].rename(columns={"pos": "box_pos"}), frame[~boxed].rename(columns={"pos": "line_pos"})
-        )
-
-    def pairs(frame: DataFrame, keys: list[str]) -> DataFrame:
-        return frame.groupBy(*keys).applyInPandas(match, _MATCH)
-
-    out = pairs(cold, ["page_id"])
-    return out if hot is None else out.unionByName(pairs(_bands(hot), ["page_id", "band"]))
+    cold, hot = split_hot(_sides(lines, boxes), ["page_id"], hot_rows)
+    out = _pairs(cold, ["page_id"])
+    return out if hot is None else out.unionByName(_pairs(_bands(hot), ["page_id", "band"]))
 
 
 def redetect(lines: DataFrame, boxes: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Lines after a second detection: boxes in order, then stored lines with text that no box took; specks out."""
+    if hot_rows is not None and hot_groups(_sides(lines, boxes), ["page_id"], hot_rows) is None:
+        hot_rows = None  # neither the inputs nor the result have a hot page
     matches = match_boxes(lines, boxes, hot_rows)
-    stored = lines.select("page_id", F.col("line_pos").cast("bigint").alias("line_pos"), "line_id", "include", "parts")
-    kept_parts = F.when(
-        F.col("include") & (F.size("parts") == 0), F.array(empty_part("page_id", "line_id"))
-    ).otherwise(F.col("parts"))
-    fresh_id = derived_id("ln", "page_id", F.col("box_pos").cast("string"), F.concat_ws(",", "x0", "y0", "x1", "y1"))
-    placed = (
-        boxes.withColumn("box_pos", F.col("box_pos").cast("bigint"))
-        .join(matches, ["page_id", "box_pos"], "left")
-        .join(stored, ["page_id", "line_pos"], "left")
+    old = lines.select(
+        "page_id", F.col("line_pos").cast("bigint").alias("line_pos"), "line_id", "include", "parts",
+        *[F.col(c).alias(f"_o_{c}") for c in CORNERS],
     )
-    known = F.col("line_id").isNotNull()
-    from_boxes = placed.select(
+    new = boxes.select("page_id", F.col("box_pos").cast("bigint").alias("box_pos"), *CORNERS)
+    placed = matches.join(new, ["page_id", "box_pos"], "left").join(old, ["page_id", "line_pos"], "left")
+    boxed, known = F.col("box_pos").isNotNull(), F.col("line_id").isNotNull()
+    fresh_id = derived_id("ln", "page_id", F.col("box_pos").cast("string"), F.concat_ws(",", *CORNERS))
+    written = F.exists("parts", lambda p: has_text(p["text"]))
+    parts = (
+        F.when(~known, F.array(empty_part("page_id", fresh_id)))
+        .when(boxed & F.col("include") & (F.size("parts") == 0), F.array(empty_part("page_id", "line_id")))
+        .otherwise(F.col("parts"))
+    )
+    result = placed.filter(boxed | written).select(
         "page_id",
         F.coalesce("line_id", fresh_id).alias("line_id"),
-        F.col("box_pos").alias("_order"),
-        *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")],
+        # Left-over lines come after all boxes.
+        F.when(boxed, F.col("box_pos")).otherwise(F.col("line_pos") + F.lit(1 << 40)).alias("line_pos"),
+        *[F.when(boxed, F.col(c)).otherwise(F.col(f"_o_{c}")).cast("int").alias(c) for c in CORNERS],
         F.coalesce("include", F.lit(True)).alias("include"),
-        F.when(known, kept_parts).otherwise(F.array(empty_part("page_id", fresh_id))).alias("parts"),
-    )
-    left_over = (
-        lines.withColumn("line_pos", F.col("line_pos").cast("bigint"))
-        .join(matches.select("page_id", "line_pos"), ["page_id", "line_pos"], "left_anti")
-        .filter(F.exists("parts", lambda p: has_text(p["text"])))
-        .select("page_id", "line_id", (F.col("line_pos") + F.lit(1 << 40)).alias("_order"), "x0", "y0", "x1", "y1", "include", "parts")
+        parts.alias("parts"),
     )
-    kept = drop_fragments(from_boxes.unionByName(left_over), hot_rows)
-    return kept.withColumnRenamed("_order", "line_pos")
-
-
+    return drop_fragments(result, hot_rows)

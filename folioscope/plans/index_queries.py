@@ -9,7 +9,10 @@ from folioscope.plans.registry import query
 from folioscope.plans.text_queries import GAP_QUERY_SQL, GAP_SQL, MATCH_SQL, QUERY, WORD_SQL
 
 PASSAGE = "page_id, page_name, line_id, part_id, linha_documento, linha_transcrita, text, content_hash, confirmed"
-NOW = F.timestamp_seconds(F.lit(1_700_000_000))
+
+
+def now():
+    return F.timestamp_seconds(F.lit(1_700_000_000))
 
 
 def doc_of(column="part_id"):
@@ -74,10 +77,10 @@ WHERE n.part_id IS NOT NULL OR o.page_id NOT IN (SELECT page_id FROM saved)""",
 def index_upsert(spark, sf):
     pages = saved_pages(spark, sf)
     current = passages(spark, sf).join(pages, "page_id", "left_semi")
-    table = px.index_upsert(_stored(spark, sf), current, pages, NOW, F.lit(9).cast("bigint"))
+    table = px.index_upsert(_stored(spark, sf), current, pages, now(), F.lit(9).cast("bigint"))
     return table.select(
         "page_id", "part_id", "linha_documento", "content_hash", "user_id",
-        F.col("embedding").isNotNull().alias("has_vector"), (F.col("updated_at") == NOW).alias("touched"),
+        F.col("embedding").isNotNull().alias("has_vector"), (F.col("updated_at") == now()).alias("touched"),
     )
 
 
@@ -116,8 +119,8 @@ def write_back_vectors(spark, sf):
         F.explode(F.array("part_id", F.concat("part_id", F.lit("_old")))).alias("part_id"), "content_hash",
         F.array(F.lit(9.0)).cast("array<float>").alias("embedding"),
     )
-    table = px.write_back_vectors(_stored(spark, sf), both, NOW)
-    return table.select("part_id", F.col("embedding").isNotNull().alias("has_vector"), (F.col("updated_at") == NOW).alias("filled"))
+    table = px.write_back_vectors(_stored(spark, sf), both, now())
+    return table.select("part_id", F.col("embedding").isNotNull().alias("has_vector"), (F.col("updated_at") == now()).alias("filled"))
 
 
 @query("outstanding_batch", with_desk("""
@@ -146,8 +149,7 @@ SELECT part_id, min(text), NULL FROM (
 WHERE part_id NOT IN (SELECT part_id FROM stored_rows) GROUP BY part_id""", **STORED_CTES))
 def legacy_import(spark, sf):
     """An older table that holds every passage, half of them twice."""
-    now = passages(spark, sf)
-    base = now.select(
+    base = passages(spark, sf).select(
         "part_id", "page_id", "page_name", "line_id", "linha_documento", "linha_transcrita", "content_hash",
         F.lit(None).cast("array<float>").alias("embedding"), "text",
     )
@@ -235,7 +237,7 @@ QUERY_CTES = {
     "q_buckets": """SELECT bucket, count(*) AS n FROM (SELECT CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 768 AS bucket
       FROM (SELECT unnest(['reau', 'ment']) AS w)) GROUP BY bucket""",
     "q_weights": "SELECT bucket, (n / (SELECT sqrt(sum(n * n)) FROM q_buckets))::FLOAT::DOUBLE AS v FROM q_buckets",
-    "similar": """SELECT p.page_id, p.part_id, round(coalesce(d.dot, 0) / (l.len * (SELECT sqrt(sum(v * v)) FROM q_weights)), 9) AS s
+    "close_rows": """SELECT p.page_id, p.part_id, round(coalesce(d.dot, 0) / (l.len * (SELECT sqrt(sum(v * v)) FROM q_weights)), 9) AS s
       FROM passages p JOIN lengths l ON l.part_id = p.part_id
       LEFT JOIN (SELECT w.part_id, sum(w.v * q.v) AS dot FROM weights w JOIN q_weights q ON q.bucket = w.bucket GROUP BY w.part_id) d ON d.part_id = p.part_id
       ORDER BY s DESC, p.part_id LIMIT 12""",
@@ -250,7 +252,7 @@ def _embedded_query(text):
 @query("hybrid_search", with_desk(f"""
 SELECT 'literal' AS section, page_id, part_id, NULL::DOUBLE AS score FROM hits WHERE pos <= 80
 UNION ALL
-SELECT 'similar', page_id, part_id, {SHOWN} FROM similar WHERE part_id NOT IN (SELECT part_id FROM hits)
+SELECT 'similar', page_id, part_id, {SHOWN} FROM close_rows WHERE part_id NOT IN (SELECT part_id FROM hits)
 UNION ALL
 SELECT 'name', page_id, NULL, NULL FROM desk_pages WHERE (contains({fold_sql('filename')}, 'reau ment')) AND page_id NOT IN (SELECT page_id FROM hits)""",
        **HASH_CTES, **QUERY_CTES))
@@ -301,8 +303,8 @@ GAPS = {
     "nearest": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, part_id) AS rank FROM scored) WHERE rank <= 4 AND s >= 0.55""",
     "near_texts": f"SELECT *, substr({squeeze_sql('text')}, 1, 400) AS neighbour FROM nearest",
     "first_seen": "SELECT query_id, group_id, position, neighbour, min(rank) AS rank FROM near_texts WHERE neighbour <> '' GROUP BY ALL",
-    "per_group": "SELECT group_id, neighbour, min(position * 100 + rank) AS at FROM first_seen GROUP BY ALL",
-    "listed": "SELECT group_id, neighbour, row_number() OVER (PARTITION BY group_id ORDER BY at, neighbour) AS rank FROM per_group",
+    "per_group": "SELECT group_id, neighbour, min(position * 100 + rank) AS seen_at FROM first_seen GROUP BY ALL",
+    "listed": "SELECT group_id, neighbour, row_number() OVER (PARTITION BY group_id ORDER BY seen_at, neighbour) AS rank FROM per_group",
 }
 
 
