@@ -27,6 +27,31 @@ def latest_edits(edits: DataFrame, key: str = "part_id") -> DataFrame:
     )
 
 
+def reduce_edits(edits: DataFrame) -> DataFrame:
+    """The edits that still matter: applying them gives the same lines as applying the whole log.
+
+    Reduced logs can be joined with later edits and reduced again, in any order of arrival.
+    """
+    at = F.struct("ts", "event_id")
+    op = F.col("op")
+    kind = (
+        F.when((op == "text") & ~has_text(F.col("text")), "blank")
+        .when(op == "text", "text")
+        .when(op.isin("confirm", "skip"), "mark")
+        .when(op.isin("include", "omit"), "include")
+        .when(op.isin("box", "delete_line"), op)
+    )
+    # Marks and texts are per part, the other fields per line.
+    part = F.when(kind.isin("blank", "text", "mark"), F.col("part_id"))
+    row = F.struct(*edits.columns)
+    keyed = edits.withColumns({"_kind": kind, "_part": part})
+    last = keyed.filter("_kind IS NOT NULL").groupBy("page_id", "line_id", "_part", "_kind").agg(F.max_by(row, at).alias("_row"))
+    first = keyed.filter(op.isin(*STRUCTURE_OPS, "draw")).groupBy("page_id", "line_id", "op", "part_id", "new_id").agg(
+        F.min_by(row, at).alias("_row")
+    )
+    return last.select("_row.*").unionByName(first.select("_row.*"))
+
+
 def _part_changes(edits: DataFrame) -> DataFrame:
     """Per part: last text, last mark, and whether a blank text came after that mark."""
     at = F.struct("ts", "event_id")

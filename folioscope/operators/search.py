@@ -5,9 +5,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text as tx
 from folioscope.settings import (
@@ -65,17 +68,28 @@ def searchable(
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
-    """Cosine with a constant vector; null where a norm is zero or the sizes differ."""
-    q = F.array(*[F.lit(float(v)) for v in query])
-    q_norm = float(np.sqrt(np.sum(np.square(np.asarray(query, dtype="float64")))))
-    pairs = F.zip_with(vector.cast("array<double>"), q, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    sums = F.aggregate(
-        pairs,
-        F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq")),
-        lambda acc, p: F.struct((acc["dot"] + p["a"] * p["b"]).alias("dot"), (acc["sq"] + p["a"] * p["a"]).alias("sq")),
-    )
-    norm = F.sqrt(sums["sq"]) * F.lit(q_norm)
-    return F.when((F.size(vector) == len(query)) & (norm > 0), sums["dot"] / norm)
+    """Cosine with a constant vector; null where a norm is zero or the sizes differ.
+
+    Evaluated on Arrow batches: the values of a batch are one flat buffer, so a batch is one
+    matrix product, with no Python object per row.
+    """
+    target = np.asarray(query, dtype="float64")
+    length = float(np.sqrt((target * target).sum()))
+
+    @F.arrow_udf(T.DoubleType())
+    def score(column: pa.Array) -> pa.Array:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        fits = sizes == len(target)
+        values = pc.filter(column, pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
+        rows = values.astype("float64").reshape(int(fits.sum()), len(target))
+        norms = np.sqrt((rows * rows).sum(axis=1)) * length
+        found = np.full(len(column), np.nan)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found[fits] = np.where(norms > 0, rows @ target / norms, np.nan)
+        return pa.array(found, from_pandas=True)
+
+    return score(vector)
 
 
 def shown_score(score: Column) -> Column:

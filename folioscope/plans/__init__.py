@@ -5,7 +5,7 @@ from folioscope.plans.registry import ORACLES, QUERIES
 def _load() -> None:
     import importlib
 
-    for name in ("catalog", "review", "export", "text", "geometry", "reading", "index"):
+    for name in ("catalog", "review", "export", "text", "geometry", "reading", "index", "stream"):
         importlib.import_module(f"folioscope.plans.{name}_queries")
 
 

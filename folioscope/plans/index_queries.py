@@ -93,8 +93,8 @@ def index_source(spark, sf):
     from folioscope.sources import index_table
 
     root = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    index_table.write_version(_stored(spark, sf), root, 1)
-    table = index_table.read_latest(spark, root)
+    index_table.write_base(_stored(spark, sf), root)
+    table = index_table.read_table(spark, root)
     return table.filter("confirmed").select(
         *[c.strip() for c in PASSAGE.split(",")], "user_id", F.col("embedding").isNotNull().alias("has_vector")
     )

@@ -1,31 +1,54 @@
-"""The passage index on parquet: numbered versions, rows kept together by page."""
+"""The passage index on parquet: page versions beside a table of vectors.
+
+Vectors are kept under (part_id, content_hash). A row finds its vector only while its text is the
+one that was embedded, which is what guards a backfill against edits made meanwhile.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.schemas import TRANSCRIPTIONS
-from folioscope.sources.session import latest_snapshot
+from folioscope.sources import versions
 
+VECTORS = T.StructType([
+    T.StructField("part_id", T.StringType()),
+    T.StructField("content_hash", T.StringType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+])
 
-def write_version(table: DataFrame, root: str, version: int) -> str:
-    """A new version, sorted by page inside its files so that page filters skip row groups.
 
-    Rows are spread by range over (page_id, part_id): a very long page spans several files.
-    """
-    path = f"{root}/version={version}"
+def write_base(table: DataFrame, root: str, version: int = 0) -> str:
+    """A whole table, spread by range over (page_id, part_id), so page filters skip row groups."""
     ordered = table.repartitionByRange("page_id", "part_id").sortWithinPartitions("page_id", "part_id")
-    ordered.select(*TRANSCRIPTIONS.fieldNames()).write.parquet(path)
-    return path
+    return versions.write_all(ordered.select(*TRANSCRIPTIONS.fieldNames()), root, version)
+
+
+def read_table(spark: SparkSession, root: str, below: int | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """Current rows of the index."""
+    return versions.read_pages(spark, root, TRANSCRIPTIONS, "part_id", below, pages)
+
+
+def read_vectors(spark: SparkSession, root: str) -> DataFrame:
+    found = versions._folders(spark, root)
+    if not found:
+        return spark.createDataFrame([], VECTORS)
+    return spark.read.schema(VECTORS).parquet(*[f"{root}/version={v}" for v in found])
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    path = latest_snapshot(spark, root)
-    if path is None:
-        return spark.createDataFrame([], TRANSCRIPTIONS)
-    return spark.read.schema(TRANSCRIPTIONS).parquet(path)
+def with_vectors(table: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Rows with the vector their present text was given."""
+    fresh = vectors.withColumnRenamed("embedding", "_vector")
+    return (
+        table.join(fresh, ["part_id", "content_hash"], "left")
+        .withColumn("embedding", F.coalesce("embedding", "_vector"))
+        .select(*table.columns)
+    )
 
 
-def vectors_of_size(table: DataFrame, width: int) -> DataFrame:
-    """Rows whose vector has another size than the table's."""
-    return table.filter(F.col("embedding").isNotNull() & (F.size("embedding") != width))
+def unique_parts(table: DataFrame) -> DataFrame:
+    """One row per part id, the one written last, for tables where a part moved between pages."""
+    order = W.partitionBy("part_id").orderBy(F.desc("updated_at"), F.desc("page_id"))
+    return table.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
