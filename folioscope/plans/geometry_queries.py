@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import boxes as bx
 from folioscope.operators import fragments, geometry, redetect as again, review
 from folioscope.plans import desk
-from folioscope.plans.desk_sql import with_desk
+from folioscope.plans.desk_sql import with_desk, written_sql
 from folioscope.plans.registry import query
 from folioscope.plans.review_queries import ALL_PENDING_CTE
 from folioscope.sources import segmentation
@@ -216,7 +216,7 @@ def line_bands(spark, sf):
     return geometry.line_bands(close_lines(spark, sf)).select("page_id", "line_id", "top", "bottom")
 
 
-@query("line_crops", with_desk("""
+CROPS = """
 SELECT * FROM (
   SELECT l.page_id, line_id,
     CASE WHEN g0 IS NOT NULL AND c1 > g0 AND c0 >= g1 THEN greatest(greatest(0, c0 - 8), g1) ELSE greatest(0, c0 - 8) END AS crop_x0,
@@ -224,7 +224,10 @@ SELECT * FROM (
     CASE WHEN g0 IS NOT NULL AND c1 <= g0 THEN least(least(p.width, c1 + 8), g0) ELSE least(p.width, c1 + 8) END AS crop_x1,
     least(p.height, bottom) AS crop_y1
   FROM limited l JOIN desk_pages p ON p.page_id = l.page_id)
-WHERE crop_y1 > crop_y0 AND crop_x1 > crop_x0""", bands=BANDS, close_lines=CLOSE, all_pending=ALL_PENDING_CTE,
+WHERE crop_y1 > crop_y0 AND crop_x1 > crop_x0"""
+
+
+@query("line_crops", with_desk(CROPS, bands=BANDS, close_lines=CLOSE, all_pending=ALL_PENDING_CTE,
        to_limit="SELECT * FROM bands", **GUTTERS))
 def line_crops(spark, sf):
     rows = geometry.line_crops(close_lines(spark, sf), desk.pages(spark, sf), gutters(spark, sf))
@@ -239,7 +242,34 @@ def line_crops_detected(spark, sf):
     return rows.select("page_id", "line_id", "crop_x0", "crop_y0", "crop_x1", "crop_y1")
 
 
-@query("redetect_match")
+REDETECT = {
+    "new_boxes": """SELECT page_id, k AS box_pos, x0, CAST(y0 + (k % 5) * 9 AS INTEGER) AS y0, x1, CAST(y1 + (k % 5) * 9 AS INTEGER) AS y1,
+        row_number() OVER (PARTITION BY page_id ORDER BY k) AS i FROM desk_lines WHERE k % 7 <> 6""",
+    # One box of every page per step; `used` are the stored lines taken so far.
+    "taking": """
+  SELECT page_id, CAST(0 AS BIGINT) AS i, []::BIGINT[] AS used, CAST(NULL AS BIGINT) AS best FROM new_boxes WHERE i = 1
+  UNION ALL
+  SELECT page_id, i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, best FROM (
+    SELECT t.page_id, t.i + 1 AS i, t.used, arg_max(o.k, (greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0)) / greatest(1, least(o.y1 - o.y0, b.y1 - b.y0)), -o.k))
+      FILTER (WHERE NOT list_contains(t.used, o.k) AND greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0)) / greatest(1, least(o.y1 - o.y0, b.y1 - b.y0)) > 0.4) AS best
+    FROM taking t JOIN new_boxes b ON b.page_id = t.page_id AND b.i = t.i + 1 JOIN desk_lines o ON o.page_id = t.page_id
+    GROUP BY t.page_id, t.i, t.used)""",
+    "taken": "SELECT b.*, t.best FROM new_boxes b JOIN taking t ON t.page_id = b.page_id AND t.i = b.i",
+    "written_lines": f"SELECT line_id, count(*) AS parts, bool_or({written_sql('text')}) AS written FROM texted GROUP BY line_id",
+    "redetected": """
+  SELECT n.page_id, coalesce(o.line_id, 'ln_' || substr(sha256(n.page_id || '|' || n.box_pos || '|' || n.x0 || ',' || n.y0 || ',' || n.x1 || ',' || n.y1), 1, 8)) AS line_id,
+         n.box_pos AS line_pos, n.x0, n.y0, n.x1, n.y1, coalesce(o.include, true) AS include, coalesce(w.parts, 1) AS parts
+  FROM taken n LEFT JOIN desk_lines o ON o.page_id = n.page_id AND o.k = n.best LEFT JOIN written_lines w ON w.line_id = o.line_id
+  UNION ALL
+  SELECT o.page_id, o.line_id, o.k + 1000000, o.x0, o.y0, o.x1, o.y1, o.include, w.parts
+  FROM desk_lines o JOIN written_lines w ON w.line_id = o.line_id
+  WHERE w.written AND NOT EXISTS (SELECT 1 FROM taken n WHERE n.page_id = o.page_id AND n.best = o.k)""",
+}
+
+
+@query("redetect_match", with_desk("""
+SELECT r.page_id, line_id, x0, y0, x1, y1, include, CAST(parts AS INTEGER) AS parts
+FROM redetected r JOIN flagged f ON f.page_id = r.page_id AND f.line_pos = r.line_pos WHERE keep""", **REDETECT, **fragment_ctes("redetected")))
 def redetect_match(spark, sf):
     out = again.redetect(desk.lines(spark, sf, marks=False).drop("filename"), desk.new_boxes(spark, sf))
     return out.select("page_id", "line_id", "x0", "y0", "x1", "y1", "include", F.size("parts").alias("parts"))

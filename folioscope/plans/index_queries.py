@@ -1,12 +1,18 @@
+import json
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import embedding, numbering, passages as px, precedents, search
-from folioscope.operators.spread import durable
+from folioscope.operators import embedding, numbering, passages as px, precedents, reading, review, search, transcribe
+from folioscope.operators.spread import checkpoint_dir, durable
 from folioscope.plans import desk
 from folioscope.plans.desk_sql import fold_sql, squeeze_sql, with_desk, written_sql
+from folioscope.plans.reading_queries import GROUP_CTES
 from folioscope.plans.registry import query
 from folioscope.plans.text_queries import GAP_QUERY_SQL, GAP_SQL, MATCH_SQL, QUERY, WORD_SQL
+from folioscope.sources import index_table
 
 PASSAGE = "page_id, page_name, line_id, part_id, linha_documento, linha_transcrita, text, content_hash, confirmed"
 
@@ -87,11 +93,6 @@ def index_upsert(spark, sf):
 @query("index_source", with_desk(f"SELECT {PASSAGE}, user_id, has_vector FROM stored_rows WHERE confirmed", **STORED_CTES))
 def index_source(spark, sf):
     """The table written by page hash and read back; the filter reaches the scan."""
-    import uuid
-
-    from folioscope.operators.spread import checkpoint_dir
-    from folioscope.sources import index_table
-
     root = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
     index_table.write_base(_stored(spark, sf), root)
     table = index_table.read_table(spark, root)
@@ -333,14 +334,49 @@ def gap_precedents(spark, sf):
     return precedents.gap_precedents(precedents.gap_neighbours(gaps, table), gaps)
 
 
+def counting_model():
+    """A stand-in for the vision model: says how many precedents its request quotes."""
+
+    def ask(prompt: str, row: dict) -> str:
+        texts = [f"relido {prompt.count(chr(10) + '- ')} {i}" for i in range(int(row["lines"]))]
+        return json.dumps({"linhas": texts})
+
+    return ask
+
+
+CORRECTIONS = {
+    **GROUP_CTES, **HASH_CTES, **GAPS,
+    "line_groups": "SELECT page_id, linha_documento, g, row_number() OVER (PARTITION BY page_id, g ORDER BY linha_documento) - 1 AS position FROM walked",
+    "part_groups": "SELECT n.part_id, n.parte, n.confirmed, n.text, n.page_id, l.linha_documento, l.g, l.page_id || '#' || l.g AS group_id, l.position FROM numbered n LEFT JOIN line_groups l ON l.page_id = n.page_id AND l.linha_documento = n.linha_documento",
+    "grouped": "SELECT * FROM part_groups WHERE parte = 1 AND group_id IS NOT NULL",
+    "candidates": "SELECT p.part_id, p.text, g.group_id FROM passages p JOIN part_groups g ON g.part_id = p.part_id WHERE p.confirmed",
+    "scored": GAPS["scored"].replace("c.group_id <> q.group_id", "c.group_id IS DISTINCT FROM q.group_id"),
+    "answered": "SELECT group_id, count(*) AS n FROM listed WHERE rank <= 4 GROUP BY group_id",
+}
+
+
+@query("corrections", with_desk(f"""
+SELECT page_id, CAST(g AS INTEGER) AS group_no, CAST(position AS INTEGER) AS position,
+  CASE WHEN a.n IS NOT NULL AND {GAP_SQL} THEN 'relido ' || a.n || ' ' || position ELSE text END AS text
+FROM grouped LEFT JOIN answered a USING (group_id)""", **CORRECTIONS))
+def corrections(spark, sf):
+    """The corpus' own first parts as a first reading, corrected against its confirmed passages."""
+    lines = desk.lines(spark, sf)
+    pending = review.pending_lines(lines, only_empty=False)
+    groups = durable(reading.read_groups(pending))
+    texts = numbering.number_parts(lines).filter("parte = 1 AND include").select("page_id", "linha_documento", "text")
+    order = W.partitionBy("page_id", "group_no").orderBy("linha_documento")
+    readings = groups.join(texts, ["page_id", "linha_documento"]).withColumn("position", F.row_number().over(order) - 1)
+    table = durable(embedding.embed_texts(passages(spark, sf).select("part_id", "text", "confirmed", F.lit(None).cast("bigint").alias("user_id"))))
+    return transcribe.corrections(readings, groups, pending, table, counting_model).select("page_id", "group_no", "position", "text")
+
+
 @query("merge_reread", with_desk(f"""
 SELECT group_id, position, CASE WHEN {GAP_SQL} AND full_answer AND k % 4 <> 1 THEN 'relido ' || part_id ELSE text END AS text
 FROM (SELECT *, NOT bool_or(doc_id % 5 = 0) OVER (PARTITION BY group_id) AS full_answer FROM (
   SELECT page_id AS group_id, doc_id, k, part_id, text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY linha_documento, parte) - 1 AS INTEGER) AS position FROM numbered))"""))
 def merge_reread(spark, sf):
     """Pages as groups; every fifth page's answer is one row short, some answers are blank."""
-    from pyspark.sql import Window as W
-
     rows = numbering.number_parts(desk.lines(spark, sf, marks=False))
     order = W.partitionBy("page_id").orderBy("linha_documento", "parte")
     first = rows.select(

@@ -128,7 +128,7 @@ def reading_outcome(spark, sf):
     return reading.reading_outcome(failed.select("page_id", "group_no", "span", "failure"))
 
 
-@query("batch_by_16")
+@query("batch_by_16", with_desk("SELECT CAST(16 AS INTEGER) AS largest_request, count(*) AS texts FROM texted"))
 def batch_by_16(spark, sf):
     """Every request carries 16 texts at most: the answers say how large their request was."""
     from folioscope.operators.embedding import embed_texts
@@ -138,5 +138,5 @@ def batch_by_16(spark, sf):
         return lambda texts: [[float(len(texts)), 0.0] for _ in texts]
 
     rows = part_rows(desk.lines(spark, sf, marks=False)).select("part_id", "text")
-    sized = embed_texts(rows, factory, width=2)
-    return sized.select(F.col("embedding")[0].cast("int").alias("request_size")).groupBy("request_size").agg(F.count("*").alias("texts"))
+    sized = embed_texts(rows, factory, width=2).select(F.col("embedding")[0].cast("int").alias("size"))
+    return sized.agg(F.max("size").alias("largest_request"), F.count("*").alias("texts"))
