@@ -1,12 +1,10 @@
 """Model answers and error texts as columns; malformed input gives null, never an exception."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import strip
+from folioscope.functions.text import once, strip
 
 # Answers that mean "no text", line ends, error wordings, pauses in seconds.
 NO_TEXT = ("[sem texto]", "sem texto")
@@ -24,11 +22,6 @@ def clean_reading(text: Column) -> Column:
     return F.when(F.lower(cleaned).isin(*NO_TEXT), "").otherwise(cleaned)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed a single time per row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def after_think(text: Column) -> Column:
     """What follows the first closing thought tag; nothing when a thought never closes."""
 
@@ -40,7 +33,7 @@ def after_think(text: Column) -> Column:
             .otherwise(strip(t))
         )
 
-    return _once(text, answer)
+    return once(text, answer)
 
 
 def json_object(text: Column) -> Column:
@@ -55,8 +48,8 @@ def json_object(text: Column) -> Column:
         end = F.length(t) - F.instr(F.reverse(t), "}") + 1
         return F.when((start > 0) & t.contains("}") & (end >= start), F.substring(t, start, end - start + 1))
 
-    trimmed = _once(strip(text), unfenced)
-    return _once(_once(trimmed, cut), lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
+    trimmed = once(strip(text), unfenced)
+    return once(once(trimmed, cut), lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
 
 
 def _kind(variant: Column) -> Column:
@@ -88,7 +81,7 @@ def response_texts(answer: Column, expected: Column) -> Column:
     def raw(linhas: Column) -> Column:
         kind = _kind(linhas)
         return (
-            F.when(kind == "STRING", _once(F.try_variant_get(linhas, "$", "string"), _lines))
+            F.when(kind == "STRING", once(F.try_variant_get(linhas, "$", "string"), _lines))
             .when(kind.startswith("ARRAY"), F.transform(F.try_variant_get(linhas, "$", "array<variant>"), _item_text))
             .otherwise(empty)
         )
@@ -96,10 +89,10 @@ def response_texts(answer: Column, expected: Column) -> Column:
     def unpacked(texts: Column) -> Column:
         only = F.get(texts, F.lit(0))
         one_block = (F.size(texts) == 1) & (expected > 1) & only.contains("\n")
-        return F.when(one_block, F.transform(_once(only, _lines), clean_reading)).otherwise(texts)
+        return F.when(one_block, F.transform(once(only, _lines), clean_reading)).otherwise(texts)
 
-    listed = _once(F.try_variant_get(F.try_parse_json(answer), "$.linhas", "variant"), raw)
-    texts = _once(F.transform(F.coalesce(listed, empty), clean_reading), unpacked)
+    listed = once(F.try_variant_get(F.try_parse_json(answer), "$.linhas", "variant"), raw)
+    texts = once(F.transform(F.coalesce(listed, empty), clean_reading), unpacked)
     return F.slice(F.concat(texts, F.array_repeat(F.lit(""), expected)), F.lit(1), expected)
 
 
@@ -116,12 +109,12 @@ def openai_content(payload: Column) -> Column:
         return strip(F.coalesce(F.when(_kind(content).startswith("ARRAY"), parts).otherwise(whole), F.lit("")))
 
     def text(choice: Column) -> Column:
-        content = _once(F.try_variant_get(choice, "$.message.content", "variant"), joined)
+        content = once(F.try_variant_get(choice, "$.message.content", "variant"), joined)
         reasoning = after_think(F.coalesce(F.try_variant_get(choice, "$.message.reasoning", "string"), F.lit("")))
-        found = _once(content, lambda t: F.when(t == "", reasoning).otherwise(t))
+        found = once(content, lambda t: F.when(t == "", reasoning).otherwise(t))
         return F.when(_kind(choice).startswith("OBJECT"), found)
 
-    return _once(F.try_variant_get(F.try_parse_json(payload), "$.choices[0]", "variant"), text)
+    return once(F.try_variant_get(F.try_parse_json(payload), "$.choices[0]", "variant"), text)
 
 
 def failure_kind(error_class: Column, message: Column) -> Column:

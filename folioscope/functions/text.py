@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ ACCENTED = {
 }
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed a single time per row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -77,15 +83,18 @@ def text_match(text: Column, query: str) -> Column:
     phrase = fold_query(query)
     if len(phrase) < 2:
         return F.lit(False)
-    folded = fold(strip(text))
-    matched = folded.contains(phrase)
     words = query_words(query)
-    if len(words) > 1:
-        every = folded.contains(words[0])
-        for word in words[1:]:
-            every = every & folded.contains(word)
-        matched = matched | every
-    return F.coalesce(matched, F.lit(False))
+
+    def matched(folded: Column) -> Column:
+        found = folded.contains(phrase)
+        if len(words) > 1:
+            every = folded.contains(words[0])
+            for word in words[1:]:
+                every = every & folded.contains(word)
+            found = found | every
+        return found
+
+    return F.coalesce(once(fold(strip(text)), matched), F.lit(False))
 
 
 def name_match(filename: Column, query: str) -> Column:
@@ -136,9 +145,9 @@ def highlight_spans(text: Column, query: str) -> Column:
         F.struct(miss.alias("text"), F.lit(False).alias("hit")),
         F.struct(hit.alias("text"), F.lit(True).alias("hit")),
     )))
-    spans = F.filter(pairs, lambda span: span["text"] != "")
     empty = F.array(F.struct(text.alias("text"), F.lit(False).alias("hit")))
-    return F.when(F.size(spans) > 0, spans).otherwise(empty)
+    spans = F.filter(pairs, lambda span: span["text"] != "")
+    return once(spans, lambda found: F.when(F.size(found) > 0, found).otherwise(empty))
 
 
 def snippet(text: Column, query: str) -> Column:

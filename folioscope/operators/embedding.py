@@ -45,16 +45,21 @@ def embed_texts(
     text: str = "text",
     batch: int = EMBED_BATCH,
     width: int = VECTOR_SIZE,
+    spread: int | None = None,
 ) -> DataFrame:
     """Adds `embedding`. The factory runs once per task; requests carry `batch` texts.
 
+    `spread` deals the texts out to that many tasks first, for input that comes in fewer; texts
+    are far smaller than the vectors and calls they cause.
+
     The default is word hashing on folded words. A request that answers with another number of
     vectors, or with vectors of another size, fails the task.
     """
     default = model_factory is None
     factory = model_factory or hashing_model
     size = 4096 if default else batch
-    prepared = rows.withColumn("_in", F.array_join(tokens(fold(F.col(text))), " ") if default else F.col(text))
+    dealt = rows if spread is None else rows.repartition(spread)
+    prepared = dealt.withColumn("_in", F.array_join(tokens(fold(F.col(text))), " ") if default else F.col(text))
     schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

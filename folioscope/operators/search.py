@@ -4,7 +4,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -16,6 +15,7 @@ from folioscope.functions import text as tx
 from folioscope.settings import (
     LITERAL_HIT_CAP,
     QUERY_BLOCK,
+    SCORE_BLOCK,
     SEARCH_DEFAULT,
     SEARCH_MAX,
     VECTOR_BLOCK,
@@ -112,46 +112,79 @@ def vector_search(table: DataFrame, query: list[float], limit: int = SEARCH_DEFA
     )
 
 
-def _unit(vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of unit length, and which rows have a direction at all."""
-    dense = np.zeros((len(vectors), width))
-    for i, vector in enumerate(vectors):
-        if vector is not None and len(vector) == width:
-            dense[i] = vector
-    norms = np.sqrt((dense * dense).sum(axis=1))
-    usable = norms > 0
-    dense[usable] /= norms[usable, None]
-    return dense, usable
-
-
 _PAIR = "query_id string, part_id string, score double"
 
 
-def _best_pairs(queries: pd.DataFrame, stored: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
-    """The k best stored rows of one block for each query of one block; equal scores go by part_id."""
-    stored = stored.sort_values("part_id", kind="stable")
-    q, q_ok = _unit(queries["vector"], width)
-    s, s_ok = _unit(stored["embedding"], width)
-    scores = np.round(q @ s.T, 9)
-    same = queries["group_id"].to_numpy()[:, None] == stored["group_id"].to_numpy()[None, :]
-    scores[same | ~s_ok[None, :] | ~q_ok[:, None]] = -2.0
-    if scores.shape[1] > k:
-        edge = np.partition(scores, -k, axis=1)[:, -k][:, None]
-        above, level = scores > edge, scores == edge
-        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1)[:, None]))
-    else:
-        chosen = np.ones_like(scores, dtype=bool)
-    rows, cols = np.nonzero(chosen & (scores > -2.0))
-    return pd.DataFrame({
-        "query_id": queries["query_id"].to_numpy()[rows],
-        "part_id": stored["part_id"].to_numpy()[cols],
-        "score": scores[rows, cols],
-    })
-
-
-def _keep_best(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = pairs.sort_values(["query_id", "score", "part_id"], ascending=[True, False, True])
-    return ordered.groupby("query_id", sort=False).head(k)
+def _unit(vectors: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of unit length from the flat buffer of a list column, and which rows have a direction at all."""
+    column = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    usable = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    fits = usable.to_numpy(zero_copy_only=False)
+    dense = np.zeros((len(column), width))
+    dense[fits] = pc.filter(column, usable).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    norms = np.sqrt((dense * dense).sum(axis=1))
+    known = norms > 0
+    dense[known] /= norms[known, None]
+    return dense, known
+
+
+def _strings(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=object)
+
+
+class _Best:
+    """The k best stored rows per query over all blocks a task sees; equal scores go by part_id."""
+
+    def __init__(self, queries: pa.Table, k: int, width: int):
+        self.k, self.width = k, width
+        self.ids = _strings(queries["query_id"])
+        self.groups = _strings(queries["group_id"])
+        self.q, self.q_ok = _unit(queries["vector"], width)
+        self.rows = np.empty(0, dtype="int64")
+        self.parts = np.empty(0, dtype=object)
+        self.scores = np.empty(0)
+
+    def add(self, stored: pa.Table | pa.RecordBatch) -> None:
+        for start in range(0, stored.num_rows, SCORE_BLOCK):
+            self._add(stored.slice(start, SCORE_BLOCK))
+
+    def _add(self, stored) -> None:
+        parts, groups = _strings(stored["part_id"]), _strings(stored["group_id"])
+        order = np.argsort(parts, kind="stable")
+        s, s_ok = _unit(stored["embedding"], self.width)
+        s, s_ok, parts, groups = s[order], s_ok[order], parts[order], groups[order]
+        scores = np.round(self.q @ s.T, 9)
+        # Codes instead of strings: one comparison of integers per pair.
+        _, codes = np.unique(np.concatenate([self.groups, groups]).astype(str), return_inverse=True)
+        scores[codes[: len(self.groups), None] == codes[None, len(self.groups) :]] = -2.0
+        scores[:, ~s_ok] = -2.0
+        scores[~self.q_ok, :] = -2.0
+        if scores.shape[1] > self.k:
+            edge = np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
+            above, level = scores > edge, scores == edge
+            chosen = above | (level & (np.cumsum(level, axis=1) <= self.k - above.sum(axis=1)[:, None]))
+        else:
+            chosen = np.ones_like(scores, dtype=bool)
+        rows, cols = np.nonzero(chosen & (scores > -2.0))
+        self._merge(rows, parts[cols], scores[rows, cols])
+
+    def _merge(self, rows: np.ndarray, parts: np.ndarray, scores: np.ndarray) -> None:
+        rows = np.concatenate([self.rows, rows])
+        parts = np.concatenate([self.parts, parts])
+        scores = np.concatenate([self.scores, scores])
+        by_part = np.argsort(parts, kind="stable")
+        order = by_part[np.lexsort((-scores[by_part], rows[by_part]))]
+        rows, parts, scores = rows[order], parts[order], scores[order]
+        first = np.searchsorted(rows, rows, side="left")
+        kept = np.arange(len(rows)) - first < self.k
+        self.rows, self.parts, self.scores = rows[kept], parts[kept], scores[kept]
+
+    def table(self) -> pa.Table:
+        return pa.table({
+            "query_id": pa.array(self.ids[self.rows].tolist(), pa.string()),
+            "part_id": pa.array(self.parts.tolist(), pa.string()),
+            "score": pa.array(self.scores, pa.float64()),
+        })
 
 
 def knn_join(
@@ -177,28 +210,24 @@ def knn_join(
         "part_id", "embedding", F.coalesce("group_id", F.lit(" ")).alias("group_id")
     )
     few = q.limit(query_block + 1).count() <= query_block
-    if few:
-        pairs = _knn_broadcast(q, s, k, width, vector_block)
-    else:
-        pairs = _knn_grid(q, s, k, width, query_block, vector_block)
+    pairs = _knn_broadcast(q, s, k, width) if few else _knn_grid(q, s, k, width, query_block, vector_block)
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "part_id")
     return pairs.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
-def _knn_broadcast(q: DataFrame, s: DataFrame, k: int, width: int, vector_block: int) -> DataFrame:
-    held = q.sparkSession.sparkContext.broadcast(q.toPandas())  # query_block rows at most
+def _knn_broadcast(q: DataFrame, s: DataFrame, k: int, width: int) -> DataFrame:
+    held = q.sparkSession.sparkContext.broadcast(q.toArrow())  # query_block rows at most
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # k rows per query are held across the task's batches, and leave it once.
-        kept = None
+        found = None
         for batch in batches:
-            for start in range(0, len(batch), vector_block):
-                found = _best_pairs(held.value, batch.iloc[start : start + vector_block], k, width)
-                kept = found if kept is None else _keep_best(pd.concat([kept, found]), k)
-        if kept is not None:
-            yield kept
+            found = found or _Best(held.value, k, width)
+            found.add(batch)
+        if found is not None:
+            yield from found.table().to_batches()
 
-    return s.mapInPandas(best, _PAIR)
+    return s.mapInArrow(best, _PAIR)
 
 
 def _knn_grid(q: DataFrame, s: DataFrame, k: int, width: int, query_block: int, vector_block: int) -> DataFrame:
@@ -212,10 +241,14 @@ def _knn_grid(q: DataFrame, s: DataFrame, k: int, width: int, query_block: int,
         "_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
     )
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _best_pairs(left, right, k, width)
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.string()), "part_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        found = _Best(left, k, width)
+        found.add(right)
+        return found.table()
 
-    return q_cells.groupBy("_r", "_c").cogroup(s_cells.groupBy("_r", "_c")).applyInPandas(cell, _PAIR)
+    return q_cells.groupBy("_r", "_c").cogroup(s_cells.groupBy("_r", "_c")).applyInArrow(cell, _PAIR)
 
 
 def hybrid_search(

@@ -229,7 +229,7 @@ HASH_CTES = {
 
 @query("embed_texts", with_desk("SELECT part_id, CAST(bucket AS INTEGER) AS bucket, round(v, 6) AS value FROM weights", **HASH_CTES))
 def embed_texts(spark, sf):
-    vectors = embedding.embed_texts(passages(spark, sf).select("part_id", "text"))
+    vectors = embedded(spark, passages(spark, sf).select("part_id", "text"))
     rows = vectors.select("part_id", F.posexplode("embedding").alias("bucket", "value")).filter("value <> 0")
     return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
@@ -246,6 +246,10 @@ QUERY_CTES = {
 }
 
 
+def embedded(spark, rows, **options):
+    return embedding.embed_texts(rows, spread=spark.sparkContext.defaultParallelism, **options)
+
+
 def _embedded_query(text):
     return [float(v) for v in embedding.hashing_model()([" ".join(tx.fold_query(text).split())])[0]]
 
@@ -259,7 +263,7 @@ SELECT 'name', page_id, NULL, NULL FROM desk_pages WHERE (contains({fold_sql('fi
        **HASH_CTES, **QUERY_CTES))
 def hybrid_search(spark, sf):
     numbered = numbering.number_parts(desk.lines(spark, sf))
-    table = embedding.embed_texts(px.passages(numbered).select("page_id", "part_id", "text", "confirmed", F.lit(None).cast("bigint").alias("user_id")))
+    table = embedded(spark, px.passages(numbered).select("page_id", "part_id", "text", "confirmed", F.lit(None).cast("bigint").alias("user_id")))
     similar = search.vector_search(table, _embedded_query(QUERY), 12)
     return search.hybrid_search(desk.pages(spark, sf), numbered, similar, QUERY)
 
@@ -316,9 +320,9 @@ def _gap_inputs(spark, sf):
         F.col("part_id").alias("query_id"), group_id.alias("group_id"),
         ((F.col("linha_documento") - 1) * 10 + F.col("parte")).alias("position"), "text",
     )
-    gaps = embedding.embed_texts(precedents.gap_queries(grouped).drop("text"), text="query").withColumnRenamed("embedding", "vector")
+    gaps = embedded(spark, precedents.gap_queries(grouped).drop("text"), text="query").withColumnRenamed("embedding", "vector")
     table = px.passages(numbered).filter("confirmed").select("part_id", "text", group_id.alias("group_id"))
-    return durable(gaps), durable(embedding.embed_texts(table))
+    return durable(gaps), durable(embedded(spark, table))
 
 
 @query("gap_neighbours", with_desk("SELECT query_id, part_id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS score FROM nearest", **{**HASH_CTES, **GAPS}))
@@ -367,7 +371,7 @@ def corrections(spark, sf):
     texts = numbering.number_parts(lines).filter("parte = 1 AND include").select("page_id", "linha_documento", "text")
     order = W.partitionBy("page_id", "group_no").orderBy("linha_documento")
     readings = groups.join(texts, ["page_id", "linha_documento"]).withColumn("position", F.row_number().over(order) - 1)
-    table = durable(embedding.embed_texts(passages(spark, sf).select("part_id", "text", "confirmed", F.lit(None).cast("bigint").alias("user_id"))))
+    table = durable(embedded(spark, passages(spark, sf).select("part_id", "text", "confirmed", F.lit(None).cast("bigint").alias("user_id"))))
     return transcribe.corrections(readings, groups, pending, table, counting_model).select("page_id", "group_no", "position", "text")
 
 
