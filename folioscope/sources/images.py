@@ -15,9 +15,20 @@ EMPTY_FILE = "arquivo vazio"
 NO_IMAGE = "Nenhuma imagem recebida"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder with their bytes; the bytes are carried, never decoded here."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_files(spark: SparkSession, path: str, listing: DataFrame | None = None) -> DataFrame:
+    """Files below a folder with their bytes; the bytes are carried, never decoded here.
+
+    The reader leaves out files of no length. A listing of the upload (path, length) brings them
+    back, so that they can be reported.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if listing is None:
+        return files
+    empty = listing.filter("length = 0").select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.col("length").cast("bigint").alias("length"),
+        F.lit(b"").alias("content"),
+    )
+    return files.unionByName(empty)
 
 
 def safe_name(path: Column) -> Column:

@@ -45,7 +45,7 @@ def test_edit_payload_drops_unknown_fields(spark):
 
 def test_text_export(spark, tmp_path):
     lines = page(
-        spark, ("a", (0, 0, 9, 9), True, [("a1", "alpha"), ("a2", " beta\r\nb\n")]), ("b", (0, 20, 9, 29), False, [("b1", "fora")]),
+        spark, ("a", (0, 0, 9, 9), True, [("a1", "alpha"), ("a2", " beta\r\nb ")]), ("b", (0, 20, 9, 29), False, [("b1", "fora")]),
         ("c", (0, 40, 9, 49), True, [("c1", "gamma")]), ("d", (0, 60, 9, 69), False, [("d1", "")]),
     )
     pages = spark.createDataFrame([("p001", "folha.jpg")], "page_id string, filename string")
@@ -75,7 +75,8 @@ def test_image_folder(spark, tmp_path):
         target = tmp_path / name
         target.parent.mkdir(exist_ok=True)
         target.write_bytes(data)
-    found = images.ingest_images(images.read_files(spark, str(tmp_path)))
+    listing = spark.createDataFrame([(f"file:{tmp_path}/sub/b.png", 0), (f"file:{tmp_path}/a.JPG", 1)], "path string, length long")
+    found = images.ingest_images(images.read_files(spark, str(tmp_path), listing))
     assert rows(found, "filename", "length", "error") == [("a.JPG", 1, None), ("b.png", 0, "b.png: arquivo vazio"), ("d.webp", 2, None)]
     existing = spark.createDataFrame([("p001",), ("p003",)], "page_id string")
     placed = images.next_page_ids(existing, found.filter("error IS NULL").select("filename"), ["filename"])
@@ -173,9 +174,9 @@ def test_gutter_against_a_plain_computation(spark, tiny):
             smooth = []
             for x in range(width):
                 at = [abs(x + j) if x + j < width else 2 * (width - 1) - (x + j) for j in range(-13, 14)]
-                smooth.append(sum(t * cover[i] for t, i in zip(taps, at)) / sum(taps))
+                smooth.append(round(sum(t * cover[i] for t, i in zip(taps, at)) / sum(taps), 6))
             lo, hi = int(width * 0.18), int(width * 0.82)
-            valley = min(range(lo, hi), key=lambda x: (round(smooth[x], 6), x))
+            valley = min(range(lo, hi), key=lambda x: (smooth[x], x))
             left, right = max(smooth[:valley]), max(smooth[valley + 1 :])
             limit = min(left, right) * 0.45
             if min(left, right) >= 2 and smooth[valley] <= limit:
