@@ -11,7 +11,7 @@ from folioscope.functions.boxes import CORNERS
 from folioscope.functions.text import has_text
 from folioscope.operators.fragments import drop_fragments
 from folioscope.operators.review import derived_id, empty_part
-from folioscope.operators.spread import hot_groups, positions, split_hot
+from folioscope.operators.spread import needed_limit, positions, split_hot
 from folioscope.settings import HOT_GROUP_ROWS, REDETECT_OVERLAP
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -93,8 +93,8 @@ def match_boxes(lines: DataFrame, boxes: DataFrame, hot_rows: int | None = HOT_G
 
 def redetect(lines: DataFrame, boxes: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Lines after a second detection: boxes in order, then stored lines with text that no box took; specks out."""
-    if hot_rows is not None and hot_groups(_sides(lines, boxes), ["page_id"], hot_rows) is None:
-        hot_rows = None  # neither the inputs nor the result have a hot page
+    # Lines and boxes together bound the result, so one check serves matching and the speck rule.
+    hot_rows = needed_limit(_sides(lines, boxes), ["page_id"], hot_rows)
     matches = match_boxes(lines, boxes, hot_rows)
     old = lines.select(
         "page_id", F.col("line_pos").cast("bigint").alias("line_pos"), "line_id", "include", "parts",

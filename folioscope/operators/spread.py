@@ -20,6 +20,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="spark-folio-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -48,6 +50,11 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_GROUP_ROWS) -> D
     return df.sparkSession.createDataFrame(rows, found.schema)
 
 
+def needed_limit(df: DataFrame, keys: list[str], limit: int | None) -> int | None:
+    """`limit` where some group exceeds it, else None: one check for a chain of operators on the same groups."""
+    return None if limit is None or hot_groups(df, keys, limit) is None else limit
+
+
 def split_hot(
     df: DataFrame, keys: list[str], limit: int | None = HOT_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:

@@ -11,7 +11,7 @@ from folioscope.operators import geometry, precedents, reading, review
 from folioscope.operators.embedding import Model, embed_texts
 from folioscope.operators.passages import confirmed_texts
 from folioscope.operators.search import searchable
-from folioscope.operators.spread import durable
+from folioscope.operators.spread import durable, needed_limit
 from folioscope.settings import CONFIRMED_TEXTS_SCANNED, HOT_GROUP_ROWS
 
 Ask = Callable[[], reading.Ask]
@@ -89,8 +89,11 @@ def read_lines(
 
     Answers are written to the checkpoint folder, so that no call is repeated when a later stage is.
     """
-    pending = review.pending_lines(lines, only_empty, hot_rows)
-    groups = reading.read_groups(pending, hot_rows=hot_rows)
+    # Pending lines are some of the lines, so one check of the lines serves every step; both tables
+    # feed several of them.
+    hot_rows = needed_limit(lines, ["page_id"], hot_rows)
+    pending = durable(review.pending_lines(lines, only_empty, hot_rows))
+    groups = durable(reading.read_groups(pending, hot_rows=hot_rows))
     gutters = geometry.page_gutters(lines, pages)
     crops = geometry.line_crops(pending, pages, gutters, hot_rows)
     forms = None
