@@ -161,8 +161,11 @@ class _Best:
         scores[~self.q_ok, :] = -2.0
         if scores.shape[1] > self.k:
             edge = np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
-            above, level = scores > edge, scores == edge
-            chosen = above | (level & (np.cumsum(level, axis=1) <= self.k - above.sum(axis=1)[:, None]))
+            chosen = scores >= edge
+            tied = np.flatnonzero(chosen.sum(axis=1) > self.k)
+            if len(tied):  # of equal scores at the edge, the smallest part ids
+                above, level = scores[tied] > edge[tied], scores[tied] == edge[tied]
+                chosen[tied] = above | (level & (np.cumsum(level, axis=1) <= self.k - above.sum(axis=1)[:, None]))
         else:
             chosen = np.ones_like(scores, dtype=bool)
         rows, cols = np.nonzero(chosen & (scores > -2.0))
@@ -233,7 +236,9 @@ def _knn_broadcast(q: DataFrame, s: DataFrame, k: int, width: int) -> DataFrame:
 def _knn_grid(q: DataFrame, s: DataFrame, k: int, width: int, query_block: int, vector_block: int) -> DataFrame:
     """Every (query block, stored block) cell is one task's work; hashing ids keeps the blocks even."""
     rows = max(1, -(-q.count() // query_block))
-    cols = max(1, -(-s.count() // vector_block))
+    # At least a cell per core: more columns copy queries, never stored rows.
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    cols = max(1, -(-s.count() // vector_block), -(-cores // rows))
     q_cells = q.withColumn("_r", F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int")).withColumn(
         "_c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
     )

@@ -2,8 +2,8 @@
 
 documents gives pages, their text lines give boxes and parts, labels gives confirmations,
 embeddings gives stored vectors, events gives edits and progress, conversations gives model
-responses. Everything here is a projection of a scan (plus the labels join), so it adds no
-shuffle of its own.
+responses. Everything here is a projection of a scan (plus the labels join), so on tables of many
+files it adds no shuffle of its own.
 """
 from __future__ import annotations
 
@@ -26,7 +26,10 @@ def _filename() -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    """Documents; fewer files than cores are dealt out first, since one row group is one task."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def lines(spark: SparkSession, sf_dir: str, marks: bool = True) -> DataFrame:
