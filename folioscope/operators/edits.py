@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.boxes import clamp_box, corners, half_up, named
+from folioscope.functions.boxes import corners, half_up, named
 from folioscope.functions.text import has_text
 from folioscope.operators.review import derived_id, empty_part
 
