@@ -1,4 +1,4 @@
-"""Queries that lay the corpus out: shards."""
+"""Queries that lay the corpus out: the mix of sources, and shards."""
 from __future__ import annotations
 
 import uuid
@@ -6,13 +6,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import slot_shards
+from folioscope.llm import slot_shards, source_mix
 from folioscope.llm.queries import query
-from folioscope.llm.store import documents, shared_folder, text_bytes
+from folioscope.llm.store import documents, shared_folder, stored, text_bytes
 
 SHARDS = 24
 
 
+@query("op9_source_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, in blocks of 64 words."""
+    rows = stored(source_mix.with_sizes(documents(spark, sf_dir).select("doc_id", "source", "text")), "mix-sizes")
+    return source_mix.taken_words(source_mix.mix(rows))
+
+
 @query("op10_virtual_slot_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of nearly equal bytes over 4096 virtual slots by doc_id."""
