@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import mixture_language, quality_perplexity
+from folioscope.llm import mixture_language, piece_viterbi, quality_perplexity
 from folioscope.llm.queries import query
 from folioscope.llm.store import documents
 
@@ -27,3 +27,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts of every document, and whether its perplexity lies in its language's band."""
     rows = quality_perplexity.judged(documents(spark, sf_dir).select("doc_id", "lang", "text"))
     return rows.select("doc_id", *quality_perplexity.COUNTS, "base_failed", "kept", "perplexity", "nll_adjusted", "nll_low", "nll_high")
+
+
+@query("op8_piece_viterbi")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to the same text."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = piece_viterbi.decode(piece_viterbi.encode(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    return rows.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
