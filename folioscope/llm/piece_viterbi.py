@@ -19,7 +19,6 @@ Null texts have null ids; an empty text has the ids of the blank alone.
 from __future__ import annotations
 
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from folioscope.llm.arrays import SpanHashes, slices, span_hash
 from folioscope.llm.kneser_ney import Order
+from folioscope.llm.worker import PerWorker
 
 LONG = 192
 SCALE = 1 << 16
@@ -78,11 +78,6 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
 
 
-@cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class StreamingViterbi:
     """Feed bytes; ids come out as soon as they are certain."""
 
@@ -255,8 +250,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep_text: bool = Tr
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "ids binary"
     names = [f.name for f in kept]
 
+    shared = docs.sparkSession.sparkContext.broadcast(PerWorker(Vocabulary, model))
+
     def run(batches):
-        vocab = vocabulary(model)
+        vocab = shared.value.get()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             null = np.asarray(column.is_null())
@@ -284,8 +281,10 @@ def decode(encoded: DataFrame, model: str, into: str = "decoded") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{into}` string"
     names = [f.name for f in kept]
 
+    shared = encoded.sparkSession.sparkContext.broadcast(PerWorker(Vocabulary, model))
+
     def run(batches):
-        vocab = vocabulary(model)
+        vocab = shared.value.get()
         for batch in batches:
             texts = [
                 None if x is None else decode_ids(vocab, np.frombuffer(x, dtype="<u4").astype(np.int64)).decode("utf-8", "replace")

@@ -1,4 +1,4 @@
-"""Queries that lay the corpus out: the mix of sources, and shards."""
+"""Queries that lay the corpus out: token files, the mix of sources, and shards."""
 from __future__ import annotations
 
 import uuid
@@ -6,13 +6,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import slot_shards, source_mix
+from folioscope.llm import pfor_tokens, slot_shards, source_mix
 from folioscope.llm.queries import query
 from folioscope.llm.store import documents, shared_folder, stored, text_bytes
 
 SHARDS = 24
 
 
+END_ID = 2
+
+
+@query("op7_token_blocks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to block files and read back."""
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/llm/tokens-{uuid.uuid4().hex}"
+    pfor_tokens.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    rows = pfor_tokens.read_tokens(spark, path).join(pfor_tokens.segment_starts(spark, path), ["part", "seq"])
+    return rows.select(
+        "doc_id", (F.col("base") + F.col("offset")).alias("start"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 @query("op9_source_mix")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document, in blocks of 64 words."""
