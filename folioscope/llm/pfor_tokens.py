@@ -88,12 +88,8 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     low = values.min(axis=1)
     values = values - low[:, None]
     at = np.sort(values, axis=1)[:, (BLOCK * PERCENTILE + 99) // 100 - 1]
-    width = np.zeros(n, dtype=np.int64)
-    while (more := (at >> width.astype(np.uint32)) > 0).any():
-        width += more & (width < 31)
-        if (width >= 31).all():
-            break
-    over = (values >> width[:, None].astype(np.uint32)) > 0
+    width = np.frexp(at.astype(np.float64))[1].astype(np.int64)  # bits of the percentile
+    over = (values.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
     exceptions = over.sum(axis=1)
     parts: list[bytes] = [b""] * n
     for w in np.unique(width):

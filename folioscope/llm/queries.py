@@ -19,6 +19,6 @@ def query(name: str):
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import importlib
 
-    for module in ("shape_queries", "language_queries"):
+    for module in ("shape_queries", "language_queries", "fingerprint_queries"):
         importlib.import_module(f"folioscope.llm.{module}")
     return dict(QUERIES)
