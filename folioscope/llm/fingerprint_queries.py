@@ -1,10 +1,10 @@
-"""Queries that compare documents: fingerprints."""
+"""Queries that compare documents: repeated lines, fingerprints."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import winnowing
+from folioscope.llm import line_patience, winnowing
 from folioscope.llm.queries import query
 from folioscope.llm.store import documents
 
@@ -25,3 +25,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = winnowing.likeness(winnowing.likeness(rows, "f", "e", "near_edited"), "f", "x", "near_next")
     return rows.drop("f", "e", "x")
+
+
+@query("op2_line_patience")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and words cut from every document, the documents they repeat, and the digest of what stays."""
+    rows = line_patience.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "lines_cut", "words_cut", "sources", F.sha2("text", 256).alias("text_sha256"))
