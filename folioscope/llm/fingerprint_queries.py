@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import line_patience, winnowing
+from folioscope.llm import chosen_path, line_patience, winnowing
 from folioscope.llm.queries import query
 from folioscope.llm.store import documents
 
@@ -32,3 +32,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and words cut from every document, the documents they repeat, and the digest of what stays."""
     rows = line_patience.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "lines_cut", "words_cut", "sources", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op4_chosen_path")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, five-word shingles, similarity of 0.8 or more."""
+    return chosen_path.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
