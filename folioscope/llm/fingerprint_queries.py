@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chosen_path, line_patience, winnowing
+from folioscope.llm import chosen_path, collinear_chains, line_patience, winnowing
 from folioscope.llm.queries import query
 from folioscope.llm.store import documents
 
@@ -38,3 +38,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, five-word shingles, similarity of 0.8 or more."""
     return chosen_path.near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+@query("op5_collinear_chains")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier document has too, and how many later ones come from it."""
+    return collinear_chains.repeated_passages(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
