@@ -16,6 +16,7 @@ documents. So a group of n near copies costs n * limit comparisons of tokens a r
 
 Texts without a word have no set, no links, and are classes of their own. A text of fewer than `words` words is one
 shingle. Repeated rows and equal texts share a class. Null doc_ids order last. An empty table gives no rows.
+Columns are kept, but for those named like a result or a working column (see near_duplicates).
 """
 from __future__ import annotations
 
@@ -81,8 +82,7 @@ def minhashes(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def with_sets(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     """Adds _row, _n (shingles), _h1 and _h2 (of the set), _tokens and _short (a byte of each token)."""
-    kept = [f for f in docs.schema if f.name not in ("_row", "_n", "_h1", "_h2", "_tokens", "_short")]
-    names = [f.name for f in kept]
+    kept, names = docs.schema.fields, docs.columns
     added = "_n int, _h1 bigint, _h2 bigint, _tokens array<int>, _short binary"
 
     def run(batches):
@@ -125,7 +125,7 @@ def children(rows: DataFrame, threshold: float) -> DataFrame:
 
 def counted(rows: DataFrame) -> DataFrame:
     """Rows of buckets with two sets or more, with the bucket's size."""
-    sizes = rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = stored(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path-sizes")
     return rows.join(sizes, "path")
 
 
@@ -261,7 +261,8 @@ def near_duplicates(
     smallest key with an equal set), n_copies (rows with an equal set) and n_links (other sets linked to its own), and
     first_of_class (true for one row of each group)."""
     added = ("class_id", "copy_of", "n_copies", "n_links", "first_of_class")
-    table = stored(with_sets(docs.drop(*added), words_, text).withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LAST))), "sets")
+    docs = docs.drop(*added, "_row", "_key", "_n", "_h1", "_h2", "_tokens", "_short")
+    table = stored(with_sets(docs, words_, text).withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LAST))), "sets")
     same = (
         table.filter("_n > 0").groupBy("_n", "_h1", "_h2")
         .agg(F.min(F.struct("_key", "_row")).alias("_first"), F.count("*").alias("n_copies"))
@@ -290,5 +291,5 @@ def near_duplicates(
         .withColumn("class_id", F.when(F.col("_head_key").isNull(), own_key).otherwise(F.when(F.col("_head_key") != LAST, F.col("_head_key"))))
         .withColumn("copy_of", F.when(F.col("_first").isNull(), own_key).otherwise(F.when(F.col("_first._key") != LAST, F.col("_first._key"))))
         .withColumn("first_of_class", F.coalesce(F.col("_row") == F.col("_head_row"), F.lit(True)))
-        .select(*[c for c in docs.columns if c not in added], "class_id", "copy_of", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_of_class")
+        .select(*docs.columns, "class_id", "copy_of", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_of_class")
     )

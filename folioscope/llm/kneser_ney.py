@@ -161,8 +161,11 @@ def estimate(counts: DataFrame, slot_bits: int) -> DataFrame:
             kept = kept.withColumn("backoff", F.lit(None).cast("double"))
         kept = kept.select(F.lit(k).alias("k"), "lang_key", "gram", F.log("p").cast("float").alias("logp"), F.coalesce("backoff", F.lit(0.0)).cast("float").alias("backoff"))
         out = kept if out is None else out.unionByName(kept)
-    root = weights[1].select(F.lit(0).alias("k"), "lang_key", "gram", F.lit(0.0).cast("float").alias("logp"), F.col("backoff").cast("float"))
-    return out.unionByName(root)
+    # contexts that are no n-grams themselves: none at all, and a text's start; one row each per language
+    for k in range(ORDER):
+        contexts = weights[k + 1].filter("gram = 0")
+        out = out.unionByName(contexts.select(F.lit(k).alias("k"), "lang_key", "gram", F.lit(0.0).cast("float").alias("logp"), F.col("backoff").cast("float")))
+    return out
 
 
 def entry_hash(lang_key: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
@@ -238,7 +241,7 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", slot_bits: int = 21) -> Model:
-    table = estimate(count_grams(docs, text, lang), slot_bits).toArrow()  # at most 5 x 2**slot_bits rows and one per language
+    table = estimate(count_grams(docs, text, lang), slot_bits).toArrow()  # at most 5 x 2**slot_bits rows and 5 per language
     k = table.column("k").to_numpy()
     columns = {c: table.column(c).to_numpy() for c in ("lang_key", "gram", "logp", "backoff")}
     orders = {}

@@ -11,7 +11,8 @@ deleted.
 Documents are ordered by doc_id (null last), then by their row in the stored input. Exact copies of an earlier text
 are aligned from end to end, hence deleted without a search. Lines without a word neither link nor end a run. Null
 texts have no lines and stay null. Rows always stay; a text that loses all lines with words becomes "". Sequences of
-line hashes travel, texts only once, when lines are cut out. Repeated rows count as copies; columns are kept.
+line hashes travel, texts only once, when lines are cut out. Repeated rows count as copies; columns are kept, but for those
+named like a result or _row, _key, _lines, _covered.
 """
 from __future__ import annotations
 
@@ -44,7 +45,7 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def with_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _lines: the lines' hashes as little-endian 64-bit numbers, 0 for a line without a word; null for a null text."""
-    kept = [f for f in docs.schema if f.name not in ("_lines", "_row")]
+    kept = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", _lines binary"
     names = [f.name for f in kept]
 
@@ -84,9 +85,10 @@ def unique_lines(reps: DataFrame) -> DataFrame:
 
 def linked_pairs(lines: DataFrame, rare: int = RARE) -> DataFrame:
     """later, earlier: rows whose lines are to be aligned."""
-    first = (
+    # stored, so that both sides of the join come from exchanges whose large partitions can be split
+    first = stored(
         lines.groupBy("hash").agg(F.count("*").alias("df"), F.min(F.struct("_key", "_row")).alias("first"))
-        .filter("df > 1").select("hash", "df", F.col("first._row").alias("earlier"))
+        .filter("df > 1").select("hash", "df", F.col("first._row").alias("earlier")), "line-first",
     )
     links = lines.join(first, "hash").filter("_row <> earlier").select(F.col("_row").alias("later"), "earlier", "df", "hash")
     rank = F.row_number().over(W.partitionBy("later").orderBy("df", "earlier", "hash"))  # a document's own lines
@@ -206,6 +208,7 @@ BLANKS = {c: " " for c in (0x09, 0x0B, 0x0C, 0x0D)}
 def without_repeats(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with repeated line blocks cut out of their texts, and n_lines, lines_cut, words_cut, sources
     (keys of the earlier documents that blocks were aligned with, ascending)."""
+    docs = docs.drop("_row", "_key", "_lines", "_covered", "n_lines", "lines_cut", "words_cut", "sources")
     table = stored(with_lines(docs, text).withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LAST))), "lines")
     hashed = table.filter(F.col("_lines").isNotNull()).select("_row", "_key", F.xxhash64("_lines").alias("_h"), F.length("_lines").alias("_n"))
     firsts = hashed.groupBy("_h", "_n").agg(F.min(F.struct("_key", "_row")).alias("first"), F.count("*").alias("_copies"))
@@ -223,8 +226,7 @@ def without_repeats(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORD
         .agg(F.flatten(F.collect_list("covered")).alias("_covered"), F.array_sort(F.collect_set("_source")).alias("sources"))
         .withColumnRenamed("later", "_row")
     )
-    kept = [f for f in docs.schema if f.name not in ("n_lines", "lines_cut", "words_cut", "sources")]
-    names = [f.name for f in kept]
+    kept, names = docs.schema.fields, docs.columns
     source_type = docs.schema[key].dataType.simpleString()
     added = f"n_lines bigint, lines_cut bigint, words_cut bigint, sources array<{source_type}>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + added
@@ -232,7 +234,8 @@ def without_repeats(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORD
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index
-            texts, counts = [], [[], [], []]
+            texts: list = []
+            counts: list[list] = [[], [], []]
             for t, covered in zip(batch.column(at(text)).to_pylist(), batch.column(at("_covered")).to_pylist(), strict=True):
                 n = 0 if t is None else t.count("\n") + 1
                 new, lines, words = (t, 0, 0) if t is None or not covered else cut_text(t, covered, min_words)
@@ -242,6 +245,6 @@ def without_repeats(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORD
                 [*arrays, *(pa.array(c, pa.int64()) for c in counts), batch.column(at("sources"))], [*names, "n_lines", "lines_cut", "words_cut", "sources"]
             )
 
-    rows = table.drop("_lines", "_key", "sources").join(per_doc, "_row", "left")
+    rows = table.drop("_lines", "_key").join(per_doc, "_row", "left")
     rows = rows.withColumn("sources", F.coalesce("sources", F.array().cast(f"array<{source_type}>")))
     return rows.select(*names, "_covered", "sources").mapInArrow(run, schema)

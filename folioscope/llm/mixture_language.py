@@ -95,8 +95,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing:
     where = np.array([names.index(x) for x in counts.column("lang").to_pylist()], dtype=np.int64)
     bucket = counts.column("bucket").to_numpy()
     table[bucket // BUCKETS, bucket % BUCKETS, where] += counts.column("n").to_numpy()
-    logp = np.log(table / table.sum(axis=1, keepdims=True)) if names else table
-    return Model(names, (logp.reshape(-1, len(names)) / len(ORDERS)).astype(np.float32))
+    logp = np.log(table / table.sum(axis=1, keepdims=True)).reshape(len(ORDERS) * BUCKETS, len(names))
+    return Model(names, (logp / len(ORDERS)).astype(np.float32))
 
 
 def word_likelihoods(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

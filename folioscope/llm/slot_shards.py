@@ -140,7 +140,7 @@ def assign(df: DataFrame, key: str, mapping: DataFrame, order: list[str], slots:
     )
     rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(*order)) - 1
     return (
-        slotted.drop("shard", "place").withColumn("_rank", rank)
+        slotted.drop("shard", "place", "_rank", "_base").withColumn("_rank", rank)
         .join(F.broadcast(bases), "virtual_slot")
         .withColumn("place", (F.col("_base") + F.col("_rank")).cast("long"))
         .drop("_rank", "_base")

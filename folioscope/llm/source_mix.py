@@ -42,7 +42,7 @@ class Source:
 
 def with_sizes(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Adds size, the number of words, and _row, a number per row; without the text unless it is kept."""
-    rest = [f for f in docs.schema if f.name not in (text, "size", "_row")]
+    rest = [f for f in docs.schema if f.name not in (text, "size", "_row", "sid", "begin")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", size bigint" + (f", `{text}` string" if keep_text else "")
 
     def count(batches):

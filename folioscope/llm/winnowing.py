@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_r
         bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at * ranges + place).cast("bigint")
     else:
         bucket = F.lit(-1).cast("bigint")
-    rows = docs.withColumn("_bucket", bucket)
+    rows = docs.drop("next_text", "_copy").withColumn("_bucket", bucket)
     heads = rows.groupBy("_bucket").agg(F.max(key).alias("_head"))
     order = W.orderBy("_bucket")  # a row per range
     lowest = F.min("_bucket").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
