@@ -38,7 +38,15 @@ def x_overlap(a: Box, b: Box) -> Column:
 
 
 def clamp_box(box: Box, width: Column, height: Column, min_size: int = 2, rounding=half_even) -> Box:
-    x0, y0, x1, y1 = (rounding(value) for value in box)
+    """A box inside the page, at least `min_size` wide and high; all corners null where one is (least and greatest skip nulls)."""
+    whole = F.lit(True)
+    for value in box:
+        whole = whole & value.isNotNull()
+    x0, y0, x1, y1 = (F.when(whole, rounding(value)) for value in box)
+    return tuple(F.when(whole, value) for value in _clamped(x0, y0, x1, y1, width, height, min_size))
+
+
+def _clamped(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, min_size: int) -> Box:
     x0 = F.greatest(F.lit(0), F.least(width - min_size, x0))
     y0 = F.greatest(F.lit(0), F.least(height - min_size, y0))
     return x0, y0, F.greatest(x0 + min_size, F.least(width, x1)), F.greatest(y0 + min_size, F.least(height, y1))

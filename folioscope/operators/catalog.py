@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import has_text, strip
 from folioscope.operators.numbering import number_lines
-from folioscope.settings import HOT_GROUP_ROWS
 
 
-def page_stats(lines: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def page_stats(lines: DataFrame) -> DataFrame:
     """lines, written, confirmed and a preview per page, lines outside the transcription included.
 
     Works on lines with nested parts: the window that numbers the lines also counts the written
@@ -25,7 +24,6 @@ def page_stats(lines: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataF
             F.forall(texts, lambda p: F.coalesce(p["confirmed"], F.lit(False))).alias("settled"),
             F.when(written, strip(texts[0]["text"])).alias("first_text"),
         ),
-        hot_rows,
         {"_written_before": F.col("written").cast("int")},
     )
 

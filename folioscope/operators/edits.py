@@ -46,10 +46,9 @@ def reduce_edits(edits: DataFrame) -> DataFrame:
     row = F.struct(*edits.columns)
     keyed = edits.withColumns({"_kind": kind, "_part": part})
     last = keyed.filter("_kind IS NOT NULL").groupBy("page_id", "line_id", "_part", "_kind").agg(F.max_by(row, at).alias("_row"))
-    first = keyed.filter(op.isin(*STRUCTURE_OPS, "draw")).groupBy("page_id", "line_id", "op", "part_id", "new_id").agg(
-        F.min_by(row, at).alias("_row")
-    )
-    return last.select("_row.*").unionByName(first.select("_row.*"))
+    # Splits and removals undo one another, so all of them stay; an edit that arrives twice counts once.
+    events = keyed.filter(op.isin(*STRUCTURE_OPS, "draw")).groupBy("page_id", "line_id", "op", "ts", "event_id").agg(F.first(row).alias("_row"))
+    return last.select("_row.*").unionByName(events.select("_row.*"))
 
 
 def _part_changes(edits: DataFrame) -> DataFrame:
@@ -100,7 +99,8 @@ def _restructured(parts: Column, ops: Column) -> Column:
         after = F.concat(
             F.slice(now, F.lit(1), at), F.array(added), F.slice(now, at + 1, F.greatest(F.size(now) - at, F.lit(0)))
         )
-        return F.when(op["op"] == "split", after).otherwise(F.filter(now, lambda p: p["part_id"] != op["part_id"]))
+        known = F.exists(now, lambda p: p["part_id"] == op["new_id"])
+        return F.when((op["op"] == "split") & known, now).when(op["op"] == "split", after).otherwise(F.filter(now, lambda p: p["part_id"] != op["part_id"]))
 
     return F.aggregate(ops, parts, step)
 
@@ -111,13 +111,10 @@ def apply_line_edits(lines: DataFrame, edits: DataFrame, pages: DataFrame | None
     op = F.col("op")
     box = F.struct("x0", "y0", "x1", "y1")
     changes = _part_changes(edits).groupBy("page_id", "line_id").agg(F.collect_list("change").alias("_changes"))
-    # A removal repeats without effect, so of equal removals only the first counts.
     structure = (
         edits.filter(op.isin(*STRUCTURE_OPS))
-        .groupBy("page_id", "line_id", "op", "part_id", "new_id")
-        .agg(F.min(at).alias("_at"))
         .groupBy("page_id", "line_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "op", "part_id", "new_id"))).alias("_ops"))
+        .agg(F.array_sort(F.collect_set(F.struct(at.alias("_at"), "op", "part_id", "new_id"))).alias("_ops"))
     )
     fields = edits.filter(op.isin("include", "omit", "delete_line", "box")).groupBy("page_id", "line_id").agg(
         F.max_by(F.when(op.isin("include", "omit"), op == "include"), F.when(op.isin("include", "omit"), at)).alias("_include"),

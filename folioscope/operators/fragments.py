@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.operators.spread import split_hot
-from folioscope.settings import HOT_GROUP_ROWS
 
 # Fixed values of the rule.
 MIN_BOXES = 8
@@ -45,7 +43,8 @@ def _events() -> Column:
     return F.when(F.col("_width") >= F.col("_limit"), wide).otherwise(narrow)
 
 
-def _flag_by_window(lines: DataFrame) -> DataFrame:
+def flag_fragments(lines: DataFrame) -> DataFrame:
+    """Adds keep: false for specks."""
     page = W.partitionBy("page_id")
     by_width = page.orderBy("_width")
     ranked = lines.withColumn("_width", F.col("x1") - F.col("x0")).select(
@@ -65,44 +64,5 @@ def _flag_by_window(lines: DataFrame) -> DataFrame:
     return flagged.withColumn("keep", keep).select(*lines.columns, "keep")
 
 
-def _flag_by_profile(lines: DataFrame) -> DataFrame:
-    """The same for hot pages, on one row per distinct width and per distinct x instead of one per box."""
-    sized = lines.withColumn("_width", F.col("x1") - F.col("x0"))
-    widths = sized.groupBy("page_id", "_width").agg(F.count("*").alias("_here"))
-    page = W.partitionBy("page_id")
-    up_to = page.orderBy("_width").rowsBetween(W.unboundedPreceding, 0)
-    limits = (
-        widths.select("page_id", "_width", F.sum("_here").over(up_to).alias("_upto"), F.sum("_here").over(page).alias("_n"))
-        .filter(F.col("_upto") >= F.floor(F.col("_n") / 2) + 1)
-        .groupBy("page_id")
-        .agg(F.min("_width").alias("_median"), F.first("_n").alias("_n"))
-        .select("page_id", "_n", _limit(F.col("_median")).alias("_limit"))
-    )
-    limited = sized.join(F.broadcast(limits), "page_id")  # one row per hot page
-    points = (
-        limited.select("page_id", F.explode(_events()).alias("_e"))
-        .groupBy("page_id", F.col("_e.at").alias("_at"), F.col("_e.kind").alias("_kind"))
-        .agg(F.sum("_e.change").alias("_change"))
-    )
-    along = page.orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    cover = (
-        points.withColumn("_cover", F.sum("_change").over(along))
-        .filter(F.col("_kind") == _MIDDLE)
-        .select("page_id", "_at", "_cover")
-    )
-    covered = limited.withColumn("_at", F.col("x0") + F.col("x1")).join(cover, ["page_id", "_at"], "left")
-    flagged = covered.withColumn("_keep", F.coalesce(_kept(covered), F.lit(False)))
-    survivors = flagged.groupBy("page_id").agg(F.count_if("_keep").alias("_survivors"))
-    keep = (F.col("_n") < MIN_BOXES) | (F.col("_survivors") < MIN_KEPT) | F.col("_keep")
-    return flagged.join(F.broadcast(survivors), "page_id").withColumn("keep", keep).select(*lines.columns, "keep")
-
-
-def flag_fragments(lines: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    """Adds keep: false for specks."""
-    cold, hot = split_hot(lines, ["page_id"], hot_rows)
-    out = _flag_by_window(cold)
-    return out if hot is None else out.unionByName(_flag_by_profile(hot))
-
-
-def drop_fragments(lines: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    return flag_fragments(lines, hot_rows).filter("keep").drop("keep")
+def drop_fragments(lines: DataFrame) -> DataFrame:
+    return flag_fragments(lines).filter("keep").drop("keep")

@@ -5,11 +5,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.operators.spread import positions, split_hot
-from folioscope.settings import DEFAULT_SENSITIVITY, HOT_GROUP_ROWS, MIN_COLUMN_GAP, NEST_ROWS
+from folioscope.settings import DEFAULT_SENSITIVITY, MIN_COLUMN_GAP
 
 
-def _columns_by_window(lines: DataFrame) -> DataFrame:
+READING_ORDER = ["reading_column", "y0", "x0", "line_id"]
+
+
+def reading_columns(lines: DataFrame) -> DataFrame:
+    """0 for the left page of an open book (or the only column), 1 for the right."""
     page = W.partitionBy("page_id")
     across = page.orderBy(F.col("x0") + F.col("x1"), "line_pos")
     seen = lines.select(
@@ -29,77 +32,27 @@ def _columns_by_window(lines: DataFrame) -> DataFrame:
     )
 
 
-def _columns_by_centre(lines: DataFrame) -> DataFrame:
-    """The same for hot pages, from one row per distinct centre instead of one per line.
-
-    Lines with equal centres overlap, so a usable gap lies only between the last line of one
-    centre and the first line of the next.
-    """
-    centres = (
-        lines.withColumn("_centre", F.col("x0") + F.col("x1"))
-        .groupBy("page_id", "_centre")
-        .agg(
-            F.count("*").alias("_here"),
-            F.min_by("x0", "line_pos").alias("_first_x0"),
-            F.max_by("x1", "line_pos").alias("_last_x1"),
-        )
-    )
-    page = W.partitionBy("page_id")
-    across = page.orderBy("_centre")
-    seen = centres.select(
-        "*",
-        F.sum("_here").over(across.rowsBetween(W.unboundedPreceding, 0)).alias("_rank"),
-        F.lead("_first_x0").over(across).alias("_next_x0"),
-        F.sum("_here").over(page).alias("_n"),
-    )
-    gap = F.col("_next_x0") - F.col("_last_x1")
-    usable = (F.col("_n") >= 4) & (gap >= MIN_COLUMN_GAP) & (F.col("_rank") >= 2) & (F.col("_n") - F.col("_rank") >= 2)
-    splits = (
-        seen.filter(usable)
-        .groupBy("page_id")
-        .agg(F.max_by("_centre", F.struct(gap, -F.col("_rank"))).alias("_split"))
-    )
-    # One row per hot page, of which there are MAX_HOT_GROUPS at most.
-    return (
-        lines.join(F.broadcast(splits), "page_id", "left")
-        .withColumn("reading_column", F.when(F.col("x0") + F.col("x1") > F.col("_split"), 1).otherwise(0))
-        .select(*lines.columns, "reading_column")
-    )
-
-
-READING_ORDER = ["reading_column", "y0", "x0", "line_id"]
-
-
-def reading_columns(lines: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    """0 for the left page of an open book (or the only column), 1 for the right."""
-    cold, hot = split_hot(lines, ["page_id"], hot_rows)
-    out = _columns_by_window(cold)
-    return out if hot is None else out.unionByName(_columns_by_centre(hot))
-
-
-def number_lines(
-    lines: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS, running: dict[str, Column] | None = None
-) -> DataFrame:
+def number_lines(lines: DataFrame, running: dict[str, Column] | None = None) -> DataFrame:
     """Adds reading_column and linha_documento.
 
     `running` adds, per entry, the total of a non-negative line column over the lines before
     this one in D order; it shares the window that numbers the lines.
     """
-    running = running or {}
-    cold, hot = split_hot(lines, ["page_id"], hot_rows)
     down = W.partitionBy("page_id").orderBy(*READING_ORDER)
     earlier = down.rowsBetween(W.unboundedPreceding, -1)
-    out = _columns_by_window(cold).select(
+    return reading_columns(lines).select(
         "*",
         F.row_number().over(down).alias("linha_documento"),
-        *[F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias(name) for name, value in running.items()],
+        *[F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias(name) for name, value in (running or {}).items()],
+    )
+
+
+def without_texts(lines: DataFrame) -> DataFrame:
+    """Lines whose parts keep their ids and marks only: what numbering moves when nobody reads the texts."""
+    return lines.withColumn(
+        "parts",
+        F.transform("parts", lambda p: F.struct(p["part_id"].alias("part_id"), F.lit("").alias("text"), p["confirmed"].alias("confirmed"), p["skipped"].alias("skipped"))),
     )
-    if hot is not None:
-        spread = positions(
-            _columns_by_centre(hot), [F.col(c) for c in READING_ORDER], "linha_documento", ["page_id"], running
-        )
-        out = out.unionByName(spread.withColumn("linha_documento", F.col("linha_documento").cast("int")))
-    return out
 
 
 def part_rows(lines: DataFrame) -> DataFrame:
@@ -116,14 +69,14 @@ def part_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def number_parts(lines: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def number_parts(lines: DataFrame) -> DataFrame:
     """The numbered view: one row per part with D, T and parte.
 
     D and the T offset come from one window over lines; the parts are exploded afterwards, so
     the whole view needs a single exchange on page_id.
     """
     numbered_here = F.when(F.col("include"), F.size("parts")).otherwise(0)
-    rows = part_rows(number_lines(lines, hot_rows, {"_t_before": numbered_here}))
+    rows = part_rows(number_lines(lines, {"_t_before": numbered_here}))
     return rows.withColumn(
         "linha_transcrita",
         F.when(F.col("include") & F.col("part_id").isNotNull(), F.col("_t_before") + F.col("parte")).cast("int"),
@@ -150,21 +103,13 @@ def line_labels(numbered: DataFrame) -> DataFrame:
     )
 
 
-def nest_lines(numbered: DataFrame, rows_per_array: int = NEST_ROWS) -> DataFrame:
-    """Numbered lines nested again, in D order.
-
-    A page of ordinary length is one row. A longer page spans several rows (block 0, 1, …) of
-    bounded size, cut between lines, so no array grows with the largest page.
-    """
+def nest_lines(numbered: DataFrame) -> DataFrame:
+    """Numbered lines nested again, in D order: one row per page."""
     part = F.struct("parte", "part_id", "text", "confirmed", "skipped", "linha_transcrita")
-    line = (
-        numbered.groupBy(
-            "page_id", "line_id", "line_pos", "x0", "y0", "x1", "y1", "include", "linha_documento"
-        )
-        .agg(F.array_sort(F.collect_list(F.when(F.col("part_id").isNotNull(), part))).alias("parts"))
-        .withColumn("block", F.floor((F.col("linha_documento") - 1) / rows_per_array).cast("int"))
-    )
-    return line.groupBy("page_id", "block").agg(
+    line = numbered.groupBy(
+        "page_id", "line_id", "line_pos", "x0", "y0", "x1", "y1", "include", "linha_documento"
+    ).agg(F.array_sort(F.collect_list(F.when(F.col("part_id").isNotNull(), part))).alias("parts"))
+    return line.groupBy("page_id").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -176,7 +121,7 @@ def nest_lines(numbered: DataFrame, rows_per_array: int = NEST_ROWS) -> DataFram
     )
 
 
-def page_view(pages: DataFrame, numbered: DataFrame, rows_per_array: int = NEST_ROWS) -> DataFrame:
+def page_view(pages: DataFrame, numbered: DataFrame) -> DataFrame:
     """Pages with defaults and their numbered lines."""
     view = pages.select(
         "page_id", "filename", "width", "height",
@@ -188,6 +133,4 @@ def page_view(pages: DataFrame, numbered: DataFrame, rows_per_array: int = NEST_
         F.coalesce("prepared", F.lit(False)).alias("prepared"),
         F.when(F.coalesce("sensitivity", F.lit(0.0)) == 0, DEFAULT_SENSITIVITY).otherwise(F.col("sensitivity")).alias("sensitivity"),
     )
-    return view.join(nest_lines(numbered, rows_per_array), "page_id", "left").withColumn(
-        "block", F.coalesce("block", F.lit(0))
-    )
+    return view.join(nest_lines(numbered), "page_id", "left")

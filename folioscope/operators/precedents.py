@@ -48,7 +48,7 @@ def gap_neighbours(gaps: DataFrame, table: DataFrame, **blocks) -> DataFrame:
     gaps: query_id, vector, group_id; table: part_id, embedding, group_id, text. Rows of the
     group that is being read are not neighbours.
     """
-    close = knn_join(gaps, table, MAX_NEIGHBOURS, **blocks).filter(F.col("score") >= MIN_NEIGHBOUR_SCORE)
+    close = knn_join(gaps, table, MAX_NEIGHBOURS, **blocks).withColumn("score", F.round("score", 4)).filter(F.col("score") >= MIN_NEIGHBOUR_SCORE)
     texts = table.select("part_id", F.substring(tx.squeeze(F.col("text")), 1, NEIGHBOUR_CHARS).alias("neighbour"))
     found = close.join(texts, "part_id").filter("neighbour <> ''")
     once = W.partitionBy("query_id", "neighbour").orderBy("rank")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import responses as rs
-from folioscope.operators.spread import positions, split_hot
 from folioscope.settings import GROUP_MAX_HEIGHT, GROUP_MAX_LINES, HOT_GROUP_ROWS
 
 # Wording of the prompt and of progress messages.
@@ -39,8 +38,8 @@ NOTHING_TO_READ = "Nenhuma linha vazia para ler."
 _GROUP = "page_id string, linha_documento int, group_no int"
 
 
-def _fold_groups(pending: DataFrame, max_height: int, max_lines: int) -> DataFrame:
-    """Group numbers of ordinary pages by a fold over the page's lines in D order."""
+def read_groups(pending: DataFrame, max_height: int = GROUP_MAX_HEIGHT, max_lines: int = GROUP_MAX_LINES) -> DataFrame:
+    """(page_id, linha_documento, group_no) for pending lines: batches of neighbouring lines, by a fold in D order."""
     per_page = pending.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("linha_documento", "y0", "y1"))).alias("_ls")
     )
@@ -72,93 +71,6 @@ def _fold_groups(pending: DataFrame, max_height: int, max_lines: int) -> DataFra
     ).select("page_id", F.col("_l.linha_documento").alias("linha_documento"), "group_no")
 
 
-def _chained_groups(pending: DataFrame, max_height: int, max_lines: int, block: int) -> DataFrame:
-    """The same for hot pages, block by block.
-
-    Where a group that starts at a line ends depends only on the next few lines. So each block of
-    lines is reduced to a small table: entering at its first, second, … line, how many groups
-    start in it and where the next block is entered. Chaining these tables gives each block its
-    entry, and then the blocks are numbered independently.
-    """
-    placed = positions(pending.select("page_id", "linha_documento", "y0", "y1"), [F.col("linha_documento")], "_at", ["page_id"])
-    at0 = F.col("_at") - 1
-    own = F.floor(at0 / block)
-    # The first lines of a block also close the block before it.
-    copies = F.when((at0 % block < max_lines) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    blocks = placed.select("page_id", "linha_documento", "y0", "y1", "_at", F.explode(copies).alias("_block"))
-
-    def prepared(frame: pd.DataFrame) -> tuple[pd.DataFrame, int, np.ndarray]:
-        frame = frame.sort_values("_at")
-        first = int(frame["_block"].iloc[0]) * block + 1
-        own_rows = int((frame["_at"] < first + block).sum())
-        y0, y1 = frame["y0"].to_numpy(), frame["y1"].to_numpy()
-        size = np.zeros(own_rows, dtype=int)
-        for i in range(own_rows):
-            j = i + 1
-            while j < len(y0) and j - i < max_lines and y0[j] >= y0[j - 1] and y1[j] - y0[i] <= max_height:
-                j += 1
-            size[i] = j - i
-        return frame, own_rows, size
-
-    def table(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, own_rows, size = prepared(frame)
-        out = []
-        for entry in range(max_lines):
-            i, groups = entry, 0
-            while i < own_rows:
-                i += size[i]
-                groups += 1
-            out.append((frame["page_id"].iloc[0], int(frame["_block"].iloc[0]), entry, max(0, i - own_rows), groups))
-        return pd.DataFrame(out, columns=["page_id", "_block", "entry", "next", "groups"])
-
-    tables = blocks.groupBy("page_id", "_block").applyInPandas(
-        table, "page_id string, _block long, entry int, next int, groups int"
-    )
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        entry, base, out = 0, 0, []
-        known = {
-            (int(b), int(e)): (int(n), int(g))
-            for b, e, n, g in zip(frame["_block"], frame["entry"], frame["next"], frame["groups"])
-        }
-        for number in sorted({b for b, _ in known}):
-            out.append((frame["page_id"].iloc[0], number, entry, base))
-            entry, more = known[(number, entry)]
-            base += more
-        return pd.DataFrame(out, columns=["page_id", "_block", "entry", "base"])
-
-    # max_lines rows per block of lines.
-    entries = tables.groupBy("page_id").applyInPandas(chain, "page_id string, _block long, entry int, base long")
-
-    def number(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, own_rows, size = prepared(frame)
-        group = np.zeros(own_rows, dtype=int)
-        i, g = int(frame["entry"].iloc[0]), int(frame["base"].iloc[0])
-        group[:i] = g
-        while i < own_rows:
-            g += 1
-            group[i : i + size[i]] = g
-            i += size[i]
-        return pd.DataFrame({
-            "page_id": frame["page_id"].iloc[:own_rows], "linha_documento": frame["linha_documento"].iloc[:own_rows], "group_no": group,
-        })
-
-    return blocks.join(entries, ["page_id", "_block"]).groupBy("page_id", "_block").applyInPandas(number, _GROUP)
-
-
-def read_groups(
-    pending: DataFrame,
-    max_height: int = GROUP_MAX_HEIGHT,
-    max_lines: int = GROUP_MAX_LINES,
-    hot_rows: int | None = HOT_GROUP_ROWS,
-    block: int = HOT_GROUP_ROWS,
-) -> DataFrame:
-    """(page_id, linha_documento, group_no) for pending lines: batches of neighbouring lines."""
-    cold, hot = split_hot(pending.select("page_id", "linha_documento", "y0", "y1"), ["page_id"], hot_rows)
-    out = _fold_groups(cold, max_height, max_lines)
-    return out if hot is None else out.unionByName(_chained_groups(hot, max_height, max_lines, block))
-
-
 def group_spans(groups: DataFrame) -> DataFrame:
     """D-003 a D-010 and "k of n" per group."""
     spans = groups.groupBy("page_id", "group_no").agg(

@@ -11,49 +11,42 @@ from folioscope.functions.boxes import CORNERS
 from folioscope.functions.text import has_text
 from folioscope.operators.fragments import drop_fragments
 from folioscope.operators.review import derived_id, empty_part
-from folioscope.operators.spread import needed_limit, positions, split_hot
-from folioscope.settings import HOT_GROUP_ROWS, REDETECT_OVERLAP
+from folioscope.settings import REDETECT_OVERLAP
+
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _taken(box_y0: pd.Series, box_y1: pd.Series, line_y0: pd.Series, line_y1: pd.Series) -> pd.Series:
     """Per page: for each box in turn the unused line it overlaps most in height, the earliest of equals; -1 for none."""
     out = []
     for tops, bottoms, old_tops, old_bottoms in zip(box_y0, box_y1, line_y0, line_y1):
+        # Lines by top; no line is taller than `tallest`, so those a box can touch lie in one window of the order.
+        order = np.argsort(old_tops, kind="stable")
+        sorted_tops = old_tops[order]
+        tallest = int((old_bottoms - old_tops).max(initial=0))
         free = np.ones(len(old_tops), dtype=bool)
-        heights = old_bottoms - old_tops
         taken = np.full(len(tops), -1, dtype="int32")
-        for i in range(len(tops) if len(free) else 0):
-            shared = np.maximum(0, np.minimum(old_bottoms, bottoms[i]) - np.maximum(old_tops, tops[i]))
-            ratio = np.where(free, shared / np.maximum(1, np.minimum(heights, bottoms[i] - tops[i])), 0.0)
+        first = np.searchsorted(sorted_tops, np.asarray(tops) - tallest, side="left")
+        last = np.searchsorted(sorted_tops, bottoms, side="right")
+        for i in range(len(tops)):
+            near = np.sort(order[first[i] : last[i]])
+            near = near[free[near]]
+            if not len(near):
+                continue
+            shared = np.minimum(old_bottoms[near], bottoms[i]) - np.maximum(old_tops[near], tops[i])
+            smaller = np.minimum(old_bottoms[near] - old_tops[near], bottoms[i] - tops[i])
+            ratio = np.maximum(0, shared) / np.maximum(1, smaller)
             best = int(np.argmax(ratio))
             if ratio[best] > REDETECT_OVERLAP:
-                taken[i] = best
-                free[best] = False
+                taken[i] = near[best]
+                free[near[best]] = False
         out.append(taken)
     return pd.Series(out)
 
 
-def _bands(rows: DataFrame) -> DataFrame:
-    """Hot pages cut where no box, old or new, covers the page: matches never cross such a cut."""
-    edges = rows.withColumn(
-        "_e",
-        F.explode(F.array(F.struct(F.col("y0").alias("at"), F.lit(1).alias("kind")), F.struct(F.greatest("y0", "y1").alias("at"), F.lit(0).alias("kind")))),
-    )
-    order = [F.col("_e.at"), F.col("_e.kind"), F.col("side"), F.col("pos")]
-    run = positions(
-        edges, order, "_p", ["page_id"],
-        {"_opened": (F.col("_e.kind") == 1).cast("int"), "_closed": (F.col("_e.kind") == 0).cast("int")},
-    )
-    starts = run.filter(F.col("_e.kind") == 1).withColumn("_cut", (F.col("_opened") <= F.col("_closed")).cast("int")).drop("_e")
-    return positions(starts, [F.col("_p")], "_q", ["page_id"], {"_cuts": F.col("_cut")}).withColumn(
-        "band", F.col("_cuts") + F.col("_cut")
-    ).select(*rows.columns, "band")
-
-
-def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs(rows: DataFrame) -> DataFrame:
     """(page_id, box_pos, line_pos): every box, and with box_pos null every line no box took."""
     item = F.struct("pos", "y0", "y1")
-    sides = rows.groupBy(*keys).agg(
+    sides = rows.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "box", item))).alias("b"),
         F.array_sort(F.collect_list(F.when(F.col("side") == "line", item))).alias("l"),
     )
@@ -80,22 +73,14 @@ def _sides(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return side(boxes, "box", "box_pos").unionByName(side(lines, "line", "line_pos"))
 
 
-def match_boxes(lines: DataFrame, boxes: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
-    """Which stored line each new box takes over, and which lines are left.
-
-    The choice is sequential, so it runs per page. A hot page is first cut into bands that cannot
-    affect one another.
-    """
-    cold, hot = split_hot(_sides(lines, boxes), ["page_id"], hot_rows)
-    out = _pairs(cold, ["page_id"])
-    return out if hot is None else out.unionByName(_pairs(_bands(hot), ["page_id", "band"]))
+def match_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Which stored line each new box takes over, and which lines are left. The choice is sequential within a page."""
+    return _pairs(_sides(lines, boxes))
 
 
-def redetect(lines: DataFrame, boxes: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def redetect(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines after a second detection: boxes in order, then stored lines with text that no box took; specks out."""
-    # Lines and boxes together bound the result, so one check serves matching and the speck rule.
-    hot_rows = needed_limit(_sides(lines, boxes), ["page_id"], hot_rows)
-    matches = match_boxes(lines, boxes, hot_rows)
+    matches = match_boxes(lines, boxes)
     old = lines.select(
         "page_id", F.col("line_pos").cast("bigint").alias("line_pos"), "line_id", "include", "parts",
         *[F.col(c).alias(f"_o_{c}") for c in CORNERS],
@@ -119,4 +104,4 @@ def redetect(lines: DataFrame, boxes: DataFrame, hot_rows: int | None = HOT_GROU
         F.coalesce("include", F.lit(True)).alias("include"),
         parts.alias("parts"),
     )
-    return drop_fragments(result, hot_rows)
+    return drop_fragments(result)

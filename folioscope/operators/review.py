@@ -8,10 +8,10 @@ from folioscope.functions.boxes import clamp_box, corners, half_up, named
 from folioscope.functions.text import has_text
 from folioscope.operators.numbering import number_lines
 from folioscope.operators.spread import positions
-from folioscope.settings import HOT_GROUP_ROWS, MAX_TEXT_CHARS
+from folioscope.settings import MAX_TEXT_CHARS
 
 # What ids may look like.
-ITEM_ID = r"^[A-Za-z0-9_-]{1,48}$"
+ITEM_ID = r"\A[A-Za-z0-9_-]{1,48}\z"
 PAGE_ID = r"^p\d{3,6}$"
 
 
@@ -30,9 +30,9 @@ def empty_part(*seed: Column | str, text: Column | None = None) -> Column:
     return _part(derived_id("pt", *seed), F.lit("") if text is None else text, F.lit(False), F.lit(False))
 
 
-def pending_lines(lines: DataFrame, only_empty: bool = True, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def pending_lines(lines: DataFrame, only_empty: bool = True) -> DataFrame:
     """Included lines still to be read, numbered, with their part ids."""
-    numbered = number_lines(lines, hot_rows).filter("include")
+    numbered = number_lines(lines).filter("include")
     if only_empty:
         numbered = numbered.filter(~F.exists("parts", lambda p: has_text(p["text"])))
     return numbered.withColumn(
@@ -118,7 +118,7 @@ def strip_lines(lines: DataFrame) -> DataFrame:
 
 
 def violations(lines: DataFrame) -> DataFrame:
-    """Ids that break the rules, one row each: malformed or repeated line ids and part ids."""
+    """What breaks the rules, one row each: malformed or repeated line ids and part ids, boxes without four values."""
     line_id = F.coalesce("line_id", F.lit(""))
     parts = lines.select("page_id", F.explode("parts").alias("p")).select(
         "page_id", F.coalesce("p.part_id", F.lit("")).alias("item_id")
@@ -131,7 +131,9 @@ def violations(lines: DataFrame) -> DataFrame:
             "reason IS NOT NULL"
         )
 
-    return check(lines.select("page_id", line_id.alias("item_id")), "line").unionByName(check(parts, "part"))
+    missing = F.col("x0").isNull() | F.col("y0").isNull() | F.col("x1").isNull() | F.col("y1").isNull()
+    boxes = lines.filter(missing).select("page_id", F.lit("box").alias("kind"), line_id.alias("item_id"), F.lit("box").alias("reason")).distinct()
+    return check(lines.select("page_id", line_id.alias("item_id")), "line").unionByName(check(parts, "part")).unionByName(boxes)
 
 
 def clean_lines(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,4 @@
-"""How page-keyed work is spread over tasks.
-
-Most pages hold a few hundred lines, so a window partitioned by page_id after one
-exchange is the cheapest plan. A page that holds a large share of all rows would put
-that share into one task, so such pages are found first (a count of one column with
-map-side combine) and take a plan that sorts by range and adds up partition totals.
-"""
+"""Intermediate tables that outlive executors, and positions over a whole table."""
 from __future__ import annotations
 
 import tempfile
@@ -13,8 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.settings import HOT_GROUP_ROWS, MAX_HOT_GROUPS
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set."""
@@ -35,39 +27,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_groups(df: DataFrame, keys: list[str], limit: int = HOT_GROUP_ROWS) -> DataFrame | None:
-    """Keys with more than `limit` rows, the largest MAX_HOT_GROUPS of them; None if there are none."""
-    found = (
-        df.groupBy(*keys).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > limit)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_GROUPS)
-        .select(*keys)
-    )
-    rows = found.collect()  # MAX_HOT_GROUPS keys at most
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, found.schema)
-
-
-def needed_limit(df: DataFrame, keys: list[str], limit: int | None) -> int | None:
-    """`limit` where some group exceeds it, else None: one check for a chain of operators on the same groups."""
-    return None if limit is None or hot_groups(df, keys, limit) is None else limit
-
-
-def split_hot(
-    df: DataFrame, keys: list[str], limit: int | None = HOT_GROUP_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of hot groups if there are any. limit=None: input known to be ordinary."""
-    if limit is None:
-        return df, None
-    hot = hot_groups(df, keys, limit)
-    if hot is None:
-        return df, None
-    hot = F.broadcast(hot)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-
-
 def positions(
     df: DataFrame,
     order: list[Column],
@@ -121,38 +80,3 @@ def positions(
         for r in running:
             placed = placed.withColumn(r, F.col(r) - F.col(f"_f_{r}"))
     return placed.select(*df.columns, name, *running)
-
-
-def page_positions(
-    df: DataFrame, order: list[Column], name: str, key: str = "page_id", hot_rows: int | None = HOT_GROUP_ROWS
-) -> DataFrame:
-    """row_number over (partition by key order by order), with hot keys spread."""
-    cold, hot = split_hot(df, [key], hot_rows)
-    out = cold.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    if hot is not None:
-        spread = positions(hot, order, name, [key])
-        out = out.unionByName(spread.withColumn(name, F.col(name).cast("int")))
-    return out
-
-
-def neighbours(
-    df: DataFrame, position: str, columns: list[str], key: str = "page_id", hot_rows: int | None = HOT_GROUP_ROWS
-) -> DataFrame:
-    """Adds prev_<c> and next_<c> from the rows one position before and after in the same group."""
-    cold, hot = split_hot(df, [key], hot_rows)
-    w = W.partitionBy(key).orderBy(position)
-    out = cold.select(
-        "*",
-        *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns],
-        *[F.lead(c).over(w).alias(f"next_{c}") for c in columns],
-    )
-    if hot is not None:
-        # Equi-joins on (key, position): the position spreads the hot group.
-        joined = hot
-        for prefix, step in (("prev", 1), ("next", -1)):
-            other = hot.select(
-                key, (F.col(position) + step).alias(position), *[F.col(c).alias(f"{prefix}_{c}") for c in columns]
-            )
-            joined = joined.join(other, [key, position], "left")
-        out = out.unionByName(joined.select(*out.columns))
-    return out

@@ -11,8 +11,8 @@ from folioscope.operators import geometry, precedents, reading, review
 from folioscope.operators.embedding import Model, embed_texts
 from folioscope.operators.passages import confirmed_texts
 from folioscope.operators.search import searchable
-from folioscope.operators.spread import durable, needed_limit
-from folioscope.settings import CONFIRMED_TEXTS_SCANNED, HOT_GROUP_ROWS
+from folioscope.operators.spread import durable
+from folioscope.settings import CONFIRMED_TEXTS_SCANNED
 
 Ask = Callable[[], reading.Ask]
 
@@ -83,7 +83,6 @@ def read_lines(
     table: DataFrame | None = None,
     model_factory: Callable[[], Model] | None = None,
     user_id: int | None = None,
-    hot_rows: int | None = HOT_GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(lines with the readings, outcome per page). `table`, the passage index, turns precedents on.
 
@@ -91,11 +90,10 @@ def read_lines(
     """
     # Pending lines are some of the lines, so one check of the lines serves every step; both tables
     # feed several of them.
-    hot_rows = needed_limit(lines, ["page_id"], hot_rows)
-    pending = durable(review.pending_lines(lines, only_empty, hot_rows))
-    groups = durable(reading.read_groups(pending, hot_rows=hot_rows))
+    pending = durable(review.pending_lines(lines, only_empty))
+    groups = durable(reading.read_groups(pending))
     gutters = geometry.page_gutters(lines, pages)
-    crops = geometry.line_crops(pending, pages, gutters, hot_rows)
+    crops = geometry.line_crops(pending, pages, gutters)
     forms = None
     if table is not None:
         recent = confirmed_texts(searchable_texts(table, user_id), CONFIRMED_TEXTS_SCANNED)

@@ -33,13 +33,13 @@ def number_document_lines(spark, sf):
 
 @query("number_transcript_lines", with_desk("SELECT page_id, part_id, linha_documento, parte, linha_transcrita FROM numbered"))
 def number_transcript_lines(spark, sf):
-    rows = numbering.number_parts(desk.lines(spark, sf, marks=False))
+    rows = numbering.number_parts(numbering.without_texts(desk.lines(spark, sf, marks=False)))
     return rows.select("page_id", "part_id", "linha_documento", "parte", "linha_transcrita")
 
 
 @query("part_ordinals", with_desk("SELECT line_id, part_id, CAST(row_number() OVER (PARTITION BY line_id ORDER BY part_id) AS INTEGER) AS parte FROM desk_parts"))
 def part_ordinals(spark, sf):
-    return numbering.part_rows(desk.lines(spark, sf, marks=False)).select("line_id", "part_id", "parte")
+    return numbering.part_rows(numbering.without_texts(desk.lines(spark, sf, marks=False))).select("line_id", "part_id", "parte")
 
 
 @query("line_labels", with_desk("""
@@ -49,13 +49,13 @@ SELECT page_id, line_id, linha_documento, 'D-' || printf('%03d', linha_documento
 FROM (SELECT page_id, line_id, linha_documento, include, min(linha_transcrita) lo, max(linha_transcrita) hi
       FROM numbered GROUP BY ALL)"""))
 def line_labels(spark, sf):
-    return numbering.line_labels(numbering.number_parts(desk.lines(spark, sf, marks=False)))
+    return numbering.line_labels(numbering.number_parts(numbering.without_texts(desk.lines(spark, sf, marks=False))))
 
 
 @query("page_view", with_desk("""
 SELECT p.page_id, p.filename, p.width, p.height, coalesce(p.original_width, p.width) AS original_width,
   coalesce(p.original_height, p.height) AS original_height, origin_x, origin_y, view_scale::DOUBLE AS view_scale, prepared,
-  coalesce(sensitivity, 0.55)::DOUBLE AS sensitivity, CAST((n.linha_documento - 1) // 1000 AS INTEGER) AS block,
+  coalesce(sensitivity, 0.55)::DOUBLE AS sensitivity,
   n.linha_documento, n.line_id, n.x0, n.y0, n.x1, n.y1, n.include, CAST(count(*) AS INTEGER) AS parts,
   string_agg(n.part_id || ':' || coalesce(n.linha_transcrita::VARCHAR, '-'), ',' ORDER BY n.parte) AS part_list
 FROM desk_pages p JOIN numbered n ON n.page_id = p.page_id GROUP BY ALL"""))

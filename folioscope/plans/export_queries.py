@@ -38,24 +38,22 @@ UNION ALL
 SELECT page_id, 2, 0, 'Fora da transcrição: ' || string_agg('D' || printf('%03d', linha_documento), ', ' ORDER BY linha_documento)
 FROM line_numbers WHERE NOT include GROUP BY page_id
 UNION ALL
-SELECT page_id, 3, 0, '' FROM desk_pages"""))
+SELECT page_id, 3, 0, '' FROM desk_pages WHERE page_id < (SELECT max(page_id) FROM desk_pages)"""))
 def export_text(spark, sf):
-    pieces = exports.export_text(desk.pages(spark, sf), numbering.number_parts(desk.lines(spark, sf, marks=False)))
-    # Pages here have fewer than 1000 lines, so each piece is a whole line of the export.
-    return pieces.select("page_id", "section", "seq", "text")
+    return exports.export_text(desk.pages(spark, sf), numbering.number_parts(desk.lines(spark, sf, marks=False)))
 
 
 @query("save_session", with_desk("""
-SELECT p.page_id, p.filename, p.width, p.height, p.view_scale, 0 AS block, CAST(count(DISTINCT n.line_id) AS INTEGER) AS lines,
+SELECT p.page_id, p.filename, p.width, p.height, p.view_scale, CAST(count(DISTINCT n.line_id) AS INTEGER) AS lines,
   md5(string_agg(n.part_id || ':' || n.text || ':' || n.confirmed || ':' || n.skipped, '|' ORDER BY n.line_pos, n.parte)) AS digest
-FROM desk_pages p JOIN numbered n ON n.page_id = p.page_id WHERE n.line_pos < 1000 GROUP BY ALL"""))
+FROM desk_pages p JOIN numbered n ON n.page_id = p.page_id GROUP BY ALL"""))
 def save_session(spark, sf):
     """The nested rows a snapshot holds, with a digest of their parts in order."""
     nested = session.nest_session(desk.pages(spark, sf), desk.lines(spark, sf).drop("filename"))
     part = F.flatten(F.transform("lines", lambda l: F.transform(l["parts"], lambda p: F.concat_ws(
         ":", p["id"], p["text"], p["confirmed"].cast("string"), p["skipped"].cast("string")))))
     return nested.select(
-        F.col("id").alias("page_id"), "filename", "width", "height", "view_scale", "block", F.size("lines").alias("lines"),
+        F.col("id").alias("page_id"), "filename", "width", "height", "view_scale", F.size("lines").alias("lines"),
         F.md5(F.array_join(part, "|").cast("binary")).alias("digest"),
     )
 

@@ -305,7 +305,7 @@ GAPS = {
     "scored": """SELECT d.query_id, d.part_id, q.group_id, q.position, c.text, round(d.dot / (gl.len * l.len), 9) AS s
       FROM dots d JOIN gaps q ON q.part_id = d.query_id JOIN candidates c ON c.part_id = d.part_id
       JOIN gap_lengths gl ON gl.part_id = d.query_id JOIN lengths l ON l.part_id = d.part_id WHERE c.group_id <> q.group_id""",
-    "nearest": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, part_id) AS rank FROM scored) WHERE rank <= 4 AND s >= 0.55""",
+    "nearest": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, part_id) AS rank FROM scored) WHERE rank <= 4 AND round(s, 4) >= 0.55""",
     "near_texts": f"SELECT *, substr({squeeze_sql('text')}, 1, 400) AS neighbour FROM nearest",
     "first_seen": "SELECT query_id, group_id, position, neighbour, min(rank) AS rank FROM near_texts WHERE neighbour <> '' GROUP BY ALL",
     "per_group": "SELECT group_id, neighbour, min(position * 100 + rank) AS seen_at FROM first_seen GROUP BY ALL",

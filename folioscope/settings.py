@@ -28,9 +28,6 @@ MAX_NAME_CHARS = 180
 DEFAULT_SENSITIVITY = 0.55
 
 # Spreading of work: any value gives the same rows.
-HOT_GROUP_ROWS = 100_000      # a page with more lines than this leaves the one-task-per-page plan
-MAX_HOT_GROUPS = 10_000       # so many keys at most are ever broadcast; every other page holds < 1/10000 of the rows
-NEST_ROWS = 1_000             # part rows nested into one array at most; longer pages span several rows
 QUERY_BLOCK = 8_192           # query vectors per block of a similarity join (25 MB at 768 floats)
 VECTOR_BLOCK = 32_768         # stored vectors per block of a similarity join (100 MB at 768 floats)
 SCORE_BLOCK = 1_024           # stored vectors scored at a time inside a task

@@ -1,14 +1,10 @@
 """TXT and JSON exports of numbered lines."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import has_text, strip
-from folioscope.settings import NEST_ROWS
 
 # Wording of the text export.
 HEADER = ["T = linha transcrita. D = linha no documento.", ""]
@@ -40,18 +36,29 @@ def export_omitted(numbered_lines: DataFrame) -> DataFrame:
     )
 
 
-def export_json_rows(numbered: DataFrame) -> DataFrame:
-    """The same rows as JSON text, one object per part."""
+def export_pages(pages: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The export document of every page as JSON text: arquivo, largura, altura, linhas, linhas_documento_sem_transcricao."""
     rows = export_rows(numbered)
-    return rows.select("page_id", F.to_json(F.struct(*[c for c in rows.columns if c != "page_id"])).alias("json"))
+    item = F.struct("linha_transcrita", *[c for c in rows.columns if c not in ("page_id", "linha_transcrita")])
+    included = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("linhas"))
+    box = F.array("x0", "y0", "x1", "y1")
+    texts = F.array_sort(F.collect_list(F.when(F.col("part_id").isNotNull() & has_text(F.col("text")), F.struct("parte", "text"))))
+    outside = (
+        numbered.filter(~F.col("include")).groupBy("page_id", "linha_documento", box.alias("caixa")).agg(texts.alias("_t"))
+        .select("page_id", F.struct("linha_documento", "caixa", F.array_join(F.transform("_t", lambda p: p["text"]), " / ").alias("texto_guardado")).alias("_o"))
+        .groupBy("page_id").agg(F.array_sort(F.collect_list("_o")).alias("linhas_documento_sem_transcricao"))
+    )
+    whole = pages.select("page_id", F.col("filename").alias("arquivo"), F.col("width").alias("largura"), F.col("height").alias("altura"))
+    document = whole.join(included, "page_id", "left").join(outside, "page_id", "left")
+    fields = [
+        "arquivo", "largura", "altura", F.coalesce("linhas", F.array().cast(included.schema["linhas"].dataType)).alias("linhas"),
+        F.coalesce("linhas_documento_sem_transcricao", F.array().cast(outside.schema["linhas_documento_sem_transcricao"].dataType)).alias("linhas_documento_sem_transcricao"),
+    ]
+    return document.select("page_id", F.to_json(F.struct(*fields)).alias("json"))
 
 
 def export_text(pages: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Pieces of the text export: (page_id, section, seq, piece) gives the order, `ends` says where a line ends.
-
-    Every piece is a whole line, except that the list of omitted lines of a very long page comes
-    in several pieces of bounded size.
-    """
+    """Lines of the text export; (page_id, section, seq) gives their order. A blank line follows each page but the last."""
     d_label = F.format_string("D%03d", F.col("linha_documento"))
     several = F.col("parts_in_line") > 1
     body = numbered.filter(F.col("include") & has_text(F.col("text")))
@@ -61,65 +68,26 @@ def export_text(pages: DataFrame, numbered: DataFrame) -> DataFrame:
         F.when(several, F.concat(F.lit(" parte "), F.col("parte").cast("string"))).otherwise(""),
         F.lit("] "), clean,
     )
-    shape = ["page_id", "section", "seq", "piece", "text", "ends"]
-    title = pages.select(
-        "page_id", F.lit(0).alias("section"), F.lit(0).alias("seq"), F.lit(0).alias("piece"),
-        F.concat(F.lit("# "), F.col("filename")).alias("text"), F.lit(True).alias("ends"),
-    )
-    written = body.select(
-        "page_id", F.lit(1).alias("section"), F.col("linha_transcrita").alias("seq"), F.lit(0).alias("piece"),
-        line.alias("text"), F.lit(True).alias("ends"),
-    )
-    block = F.floor((F.col("linha_documento") - 1) / NEST_ROWS).cast("int")
-    listed = (
-        numbered.filter(~F.col("include"))
-        .groupBy("page_id", block.alias("piece"), "linha_documento").agg(F.lit(1).alias("_one"))
-        .groupBy("page_id", "piece")
-        .agg(F.array_sort(F.collect_list("linha_documento")).alias("_ds"))
-    )
-    ends = listed.groupBy("page_id").agg(F.min("piece").alias("_first"), F.max("piece").alias("_last"))
-    omitted = listed.join(ends, "page_id").select(
-        "page_id", F.lit(2).alias("section"), F.lit(0).alias("seq"), "piece",
-        F.concat(
-            F.when(F.col("piece") == F.col("_first"), OMITTED).otherwise(", "),
-            F.array_join(F.transform("_ds", lambda d: F.format_string("D%03d", d)), ", "),
-        ).alias("text"),
-        (F.col("piece") == F.col("_last")).alias("ends"),
+    shape = ["page_id", "section", "seq", "text"]
+    title = pages.select("page_id", F.lit(0).alias("section"), F.lit(0).alias("seq"), F.concat(F.lit("# "), F.col("filename")).alias("text"))
+    written = body.select("page_id", F.lit(1).alias("section"), F.col("linha_transcrita").alias("seq"), line.alias("text"))
+    listed = numbered.filter(~F.col("include")).groupBy("page_id").agg(F.array_sort(F.collect_set("linha_documento")).alias("_ds"))
+    omitted = listed.select(
+        "page_id", F.lit(2).alias("section"), F.lit(0).alias("seq"),
+        F.concat(F.lit(OMITTED), F.array_join(F.transform("_ds", lambda d: F.format_string("D%03d", d)), ", ")).alias("text"),
     )
-    blank = title.withColumns({"section": F.lit(3), "text": F.lit("")})
-    return title.select(*shape).unionByName(written.select(*shape)).unionByName(omitted.select(*shape)).unionByName(
-        blank.select(*shape)
-    )
-
-
-def _whole_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[str] = []
-    for batch in batches:
-        lines = []
-        for text, ends in zip(batch["text"], batch["ends"]):
-            held.append(text)
-            if ends:
-                lines.append("".join(held))
-                held = []
-        yield pd.DataFrame({"value": lines})
-    if held:
-        yield pd.DataFrame({"value": ["".join(held)]})
+    last = pages.agg(F.max("page_id").alias("_last"))
+    blank = title.join(F.broadcast(last), F.col("page_id") < F.col("_last")).select("page_id", F.lit(3).alias("section"), "seq", F.lit("").alias("text"))
+    return title.unionByName(written.select(*shape)).unionByName(omitted).unionByName(blank)
 
 
-def write_text(pieces: DataFrame, path: str) -> None:
-    """Part files that, read in name order, are the export.
-
-    Rows are spread by range over pages and lines, so a long page spans several files; pieces of
-    one line share (page_id, section, seq) and stay together.
-    """
-    spark = pieces.sparkSession
-    if pieces.isEmpty():
+def write_text(lines: DataFrame, path: str) -> None:
+    """Part files that, read in name order, are the export. A long page spans several files."""
+    spark = lines.sparkSession
+    if lines.isEmpty():
         spark.createDataFrame([(t,) for t in [*HEADER, NO_PAGES]], "value string").coalesce(1).write.text(path)
         return
-    head = spark.createDataFrame(
-        [("", -1, i, 0, text, True) for i, text in enumerate(HEADER)], pieces.schema
-    )
-    ordered = head.unionByName(pieces)
+    head = spark.createDataFrame([("", -1, i, text) for i, text in enumerate(HEADER)], lines.schema)
     keys = ["page_id", "section", "seq"]
-    spread = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys, "piece")
-    spread.mapInPandas(_whole_lines, "value string").write.text(path)
+    ordered = head.unionByName(lines).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.select(F.col("text").alias("value")).write.text(path)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.boxes import segment_box
 from folioscope.operators.fragments import drop_fragments
-from folioscope.settings import HOT_GROUP_ROWS
 
 _BOXES = "lines array<struct<box:array<double>>>"
 
@@ -21,10 +20,10 @@ def read_segmentation(answers: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def segmentation_boxes(segments: DataFrame, pages: DataFrame, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def segmentation_boxes(segments: DataFrame, pages: DataFrame) -> DataFrame:
     """Polygons or baselines to padded, clipped boxes without unusable ones and without specks."""
     sized = segments.join(pages.select("page_id", "width", "height"), "page_id")
     boxes = sized.withColumn(
         "_box", segment_box(F.col("boundary"), F.col("baseline"), F.col("width"), F.col("height"))
     ).filter("_box IS NOT NULL").select("page_id", "line_pos", "_box.*")
-    return drop_fragments(boxes, hot_rows)
+    return drop_fragments(boxes)
