@@ -29,6 +29,7 @@ from folioscope.llm.kneser_ney import Order
 from folioscope.llm.worker import PerWorker
 
 LONG = 192
+PART_BYTES = 400_000  # searched at a time: some hundred bytes of working memory each
 SCALE = 1 << 16
 ZIPF_SHIFT = 2.7
 SIGN = "▁"
@@ -155,16 +156,16 @@ def best_paths(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np
     lengths = ends - starts
     first = np.concatenate(([0], np.cumsum(lengths)))
     total = int(first[-1])
-    source = np.arange(total) + np.repeat(starts - first[:-1], lengths)
-    local = data[source]
-    place = np.arange(total) - np.repeat(first[:-1], lengths)
-    stop = np.repeat(first[1:], lengths)
+    every = np.arange(total, dtype=np.int32)  # a part has fewer than 2**31 bytes
+    local = data[every + np.repeat((starts - first[:-1]).astype(np.int32), lengths)]
+    place = (every - np.repeat(first[:-1].astype(np.int32), lengths)).astype(np.int16)  # at most LONG
+    stop = np.repeat(first[1:].astype(np.int32), lengths)
     # Boundary b of stretch s is number first[s] + s + b: one more boundary than bytes.
-    node = np.arange(total) + np.repeat(np.arange(len(starts)), lengths)
+    node = every + np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
     bare = np.flatnonzero(~vocab.covered[local])
-    edge_from, edge_len, edge_piece = [bare], [np.ones(len(bare), dtype=np.int64)], [vocab.byte_id[local[bare]]]
+    edge_from, edge_len, edge_piece = [bare.astype(np.int32)], [np.ones(len(bare), dtype=np.int32)], [vocab.byte_id[local[bare]]]
     edge_score = [np.full(len(bare), vocab.byte_score, dtype=np.int64)]
-    live, hashes = np.arange(total), SpanHashes(local)
+    live, hashes = every, SpanHashes(local)
     for n in range(1, vocab.longest + 1):
         live = live[live + n <= stop[live]]
         if not len(live):
@@ -174,16 +175,16 @@ def best_paths(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np
         piece = vocab.piece_at[at]
         real = piece >= 0
         edge_from.append(live[real])
-        edge_len.append(np.full(int(real.sum()), n, dtype=np.int64))
+        edge_len.append(np.full(int(real.sum()), n, dtype=np.int32))
         edge_piece.append(piece[real])
         edge_score.append(vocab.score[piece[real]])
     origin, span = np.concatenate(edge_from), np.concatenate(edge_len)
     piece, score = np.concatenate(edge_piece), np.concatenate(edge_score)
     offset = place[origin]
-    order = np.argsort(offset.astype(np.int16), kind="stable")  # at most LONG
+    order = np.argsort(offset, kind="stable")
     bounds = np.searchsorted(offset[order], np.arange(int(offset.max(initial=-1)) + 2))
     best = np.full(total + len(starts), np.iinfo(np.int64).min // 2)
-    back = np.zeros(len(best), dtype=np.int64)
+    back = np.zeros(len(best), dtype=np.int32)
     via = np.zeros(len(best), dtype=np.int32)
     heads = first[:-1] + np.arange(len(starts))
     best[heads] = 0
@@ -257,7 +258,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep_text: bool = Tr
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             null = np.asarray(column.is_null())
-            for start, stop, data, offs in slices(column):
+            for start, stop, data, offs in slices(column, PART_BYTES):
                 ids, counts = encode_slice(vocab, *with_blank(data, offs))
                 raw = ids.astype("<u4").tobytes()
                 ends = 4 * np.cumsum(counts)
@@ -286,11 +287,13 @@ def decode(encoded: DataFrame, model: str, into: str = "decoded") -> DataFrame:
     def run(batches):
         vocab = shared.value.get()
         for batch in batches:
-            texts = [
-                None if x is None else decode_ids(vocab, np.frombuffer(x, dtype="<u4").astype(np.int64)).decode("utf-8", "replace")
-                for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, into])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                texts = [
+                    None if x is None else decode_ids(vocab, np.frombuffer(x, dtype="<u4").astype(np.int64)).decode("utf-8", "replace")
+                    for x in part.column(part.schema.get_field_index("ids")).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, into])
 
     return encoded.select(*names).mapInArrow(run, schema)
 
