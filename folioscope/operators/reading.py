@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import responses as rs
-from folioscope.settings import GROUP_MAX_HEIGHT, GROUP_MAX_LINES, HOT_GROUP_ROWS
+from folioscope.settings import GROUP_MAX_HEIGHT, GROUP_MAX_LINES
 
 # Wording of the prompt and of progress messages.
 PROMPT_HEAD = "Esta imagem é um recorte de manuscrito com {count} {noun} de escrita, de cima para baixo.{apart}\n"

@@ -185,7 +185,30 @@ def gutter_matches(spark, sf):
     return geometry.gutter_matches(desk.boxes(spark, sf), gutters(spark, sf)).drop("gutter_start", "gutter_end")
 
 
-@query("box_gutter")
+# Pages of 2200 pixels: 27 taps, the lowest pixel of [396, 1804), bounds in [264, 1936].
+VALLEYS = {
+    "spans": "SELECT page_id, greatest(0, least(2200, x0)) AS a, greatest(0, least(2200, x1)) AS b FROM desk_lines",
+    "steps": """SELECT page_id, x, sum(d) AS d FROM (
+      SELECT page_id, a AS x, 1 AS d FROM spans WHERE b > a UNION ALL SELECT page_id, b, -1 FROM spans WHERE b > a) GROUP BY ALL""",
+    "boxed_pages": "SELECT page_id FROM spans GROUP BY page_id HAVING count(*) >= 4",
+    "pixels": """SELECT p.page_id, r.x, sum(coalesce(s.d, 0)) OVER (PARTITION BY p.page_id ORDER BY r.x) AS c
+      FROM boxed_pages p CROSS JOIN (SELECT unnest(range(2200)) AS x) r LEFT JOIN steps s ON s.page_id = p.page_id AND s.x = r.x""",
+    "covers": "SELECT page_id, list(c::DOUBLE ORDER BY x) AS c, max(c) AS top FROM pixels GROUP BY page_id",
+    "taps": "SELECT list(exp(-power(j, 2) / (2 * power(0.3 * (26 * 0.5 - 1) + 0.8, 2))) ORDER BY j) AS w FROM (SELECT unnest(range(-13, 14)) AS j)",
+    "smoothed": """SELECT page_id, top, unnest(range(2200)) AS x, unnest(list_transform(range(2200), lambda x:
+        round(list_sum(list_transform(range(27), lambda j: w[j + 1] * c[1 + CASE WHEN x + j < 13 THEN 13 - x - j WHEN x + j - 13 > 2199 THEN 4398 - (x + j - 13) ELSE x + j - 13 END])) / list_sum(w), 6))) AS s
+      FROM covers, taps""",
+    "lowest": "SELECT page_id, any_value(top) AS top, arg_min(x, (s, x)) AS v, min(s) AS low FROM smoothed WHERE x >= 396 AND x < 1804 GROUP BY page_id",
+    "peaks": """SELECT l.page_id, l.top, v, low, least(coalesce(max(s) FILTER (WHERE x < v), 0), coalesce(max(s) FILTER (WHERE x > v), 0)) AS peak
+      FROM lowest l JOIN smoothed s ON s.page_id = l.page_id GROUP BY ALL""",
+    "valleys": """SELECT p.page_id, CAST(coalesce(max(x) FILTER (WHERE x < v AND s > peak * 0.45), 0) AS INTEGER) AS g0,
+        CAST(coalesce(min(x) FILTER (WHERE x > v AND s > peak * 0.45), 2199) AS INTEGER) AS g1
+      FROM peaks p JOIN smoothed s ON s.page_id = p.page_id WHERE p.top >= 2 AND peak >= 2 AND low <= peak * 0.45 GROUP BY p.page_id""",
+    "detected": "SELECT * FROM valleys WHERE g1 - g0 >= 27 AND g0 >= 264 AND g1 <= 1936",
+}
+
+
+@query("box_gutter", with_desk("SELECT page_id, g0 AS gutter_start, g1 AS gutter_end FROM detected", **VALLEYS))
 def box_gutter(spark, sf):
     return geometry.box_gutters(desk.boxes(spark, sf), desk.pages(spark, sf))
 
@@ -234,7 +257,11 @@ def line_crops(spark, sf):
     return rows.select("page_id", "line_id", "crop_x0", "crop_y0", "crop_x1", "crop_y1")
 
 
-@query("line_crops_detected")
+@query("line_crops_detected", with_desk(CROPS, bands=BANDS, close_lines=CLOSE, all_pending=ALL_PENDING_CTE, to_limit="SELECT * FROM bands",
+       **{**GUTTERS, **VALLEYS, "gutters": """SELECT page_id, g0, g1 FROM (
+         SELECT l.page_id, g0, g1, count(*) FILTER (WHERE (x0 + x1) / 2.0 < g0) AS a, count(*) FILTER (WHERE (x0 + x1) / 2.0 > g1) AS b,
+                count(*) FILTER (WHERE x0 < g0 - 8 AND x1 > g1 + 8) AS c
+         FROM desk_lines l JOIN detected d ON d.page_id = l.page_id GROUP BY ALL) WHERE (a >= 2 AND b >= 2) OR (c >= 2 AND a + b + c >= 4)"""}))
 def line_crops_detected(spark, sf):
     """Crops with the gutters found on the pages themselves."""
     found = geometry.page_gutters(desk.boxes(spark, sf), desk.pages(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
 from folioscope.operators import embedding, numbering, passages as px, precedents, reading, review, search, transcribe
-from folioscope.operators.spread import checkpoint_dir, durable, page_positions
+from folioscope.operators.spread import checkpoint_dir, durable
 from folioscope.plans import desk
 from folioscope.plans.desk_sql import fold_sql, squeeze_sql, with_desk, written_sql
 from folioscope.plans.reading_queries import GROUP_CTES
@@ -382,7 +382,7 @@ FROM (SELECT *, NOT bool_or(doc_id % 5 = 0) OVER (PARTITION BY group_id) AS full
 def merge_reread(spark, sf):
     """Pages as groups; every fifth page's answer is one row short, some answers are blank."""
     rows = numbering.number_parts(desk.lines(spark, sf, marks=False))
-    placed = page_positions(rows, [F.col("linha_documento"), F.col("parte")], "_at")
+    placed = rows.withColumn("_at", F.row_number().over(W.partitionBy("page_id").orderBy("linha_documento", "parte")))
     first = placed.select(F.col("page_id").alias("group_id"), (F.col("_at") - 1).alias("position"), "text", "part_id", "line_pos")
     short = (doc_of() % 5 == 0) & (F.col("position") == 0)
     second = first.filter(~short).select(

@@ -10,9 +10,9 @@ from conftest import page, rows
 
 
 def test_repeated_forms(spark):
-    texts = ["pagou a saca de trigo ao Dn", "pagou a saca de milho ao Dn", "pagou a saca ao Dn"] + ["[ilegível]"] * 3 + ["saca saca"]
+    texts = ["vendeu Braz tonel", "vendeu Braz vinho", "levou tonel Braz", "vendeu barril Braz", "[ilegível]", "[ilegível]", "[ilegível]"]
     forms = [r.form for r in precedents.word_forms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
-    assert forms == ["saca", "Dn", "pagou"]
+    assert forms == ["Braz", "vendeu"]
 
 
 def vectors(spark, n, width=8, seed=3):
@@ -80,24 +80,24 @@ def test_wrong_vector_size_stops_the_job(spark):
 def test_gap_uses_a_confirmed_neighbour_and_stays_a_draft(spark):
     lines = page(spark, ("gap", (20, 30, 300, 70), True, [("pt_gap", "")]))
     pages = spark.createDataFrame([("p001", 360, 180)], "page_id string, width int, height int")
-    confirmed = [(f"c{i}", t, True) for i, t in enumerate(["pagou a saca de trigo", "pagou a saca de milho", "pagou a saca de arroz"])]
+    confirmed = [(f"c{i}", t, True) for i, t in enumerate(["recebeu tonel grande vinho", "recebeu tonel grande azeite", "recebeu tonel grande sal"])]
     table = embedding.embed_texts(
-        spark.createDataFrame(confirmed + [("pt_gap", "pagou a de trigo", True)], "part_id string, text string, confirmed boolean")
+        spark.createDataFrame(confirmed + [("pt_gap", "recebeu tonel vinho", True)], "part_id string, text string, confirmed boolean")
     ).withColumns({"user_id": F.lit(None).cast("bigint"), "updated_at": F.current_timestamp()})
 
     def factory():
         def ask(prompt, row):
             if "fraseado parecido" not in prompt:
-                assert "saca" in prompt  # a repeated form
-                return '{"linhas": ["pagou a [ilegível] de trigo"]}'
-            assert "- pagou a saca de trigo" in prompt and "- pagou a de trigo" not in prompt
-            return '{"linhas": ["pagou a saca de trigo"]}'
+                assert "tonel" in prompt  # a repeated form
+                return '{"linhas": ["recebeu tonel [ilegível] vinho"]}'
+            assert "- recebeu tonel grande vinho" in prompt and "- recebeu tonel vinho" not in prompt
+            return '{"linhas": ["recebeu tonel grande vinho"]}'
 
         return ask
 
     out, outcome = transcribe.read_lines(lines, pages, factory, table=table)
     part = out.first().parts[0]
-    assert (part.text, part.confirmed) == ("pagou a saca de trigo", False)
+    assert (part.text, part.confirmed) == ("recebeu tonel grande vinho", False)
     assert outcome.first().status == "done"
 
 
@@ -108,7 +108,7 @@ def test_a_failed_group_leaves_the_others(spark):
     def factory():
         def ask(prompt, row):
             if row["group_no"] == 1:
-                raise RuntimeError("sem resposta")
+                raise RuntimeError("caiu a rede")
             return '{"linhas": ["ok", "ok", "ok", "ok"]}'
 
         return ask
@@ -117,4 +117,4 @@ def test_a_failed_group_leaves_the_others(spark):
     assert out.filter("parts[0].text = 'ok'").count() == 4
     found = outcome.first()
     assert (found.groups, found.failures, found.status) == (2, 1, "partial")
-    assert found.message == "Leitura parcial. D-001 a D-008: sem resposta"
+    assert found.message == "Leitura parcial. D-001 a D-008: caiu a rede"

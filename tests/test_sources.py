@@ -2,8 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import boxes
 from folioscope.functions.text import highlight, snippet, text_match
-from folioscope.operators import geometry, numbering, passages as px
+from folioscope.operators import edits, geometry, numbering, passages as px, review
 from folioscope.schemas import TRANSCRIPTIONS
 from folioscope.sources import exports, images, index_table, progress, session, versions
 from folioscope.streaming import edits as streamed
@@ -25,15 +26,54 @@ def test_session_document_with_missing_fields(spark, tmp_path):
     ]
 
 
-def test_snapshots_round_trip_and_newest_wins(spark, tmp_path):
-    lines = page(spark, *[(f"l{i}", (i, i, i + 9, i + 9), True, [(f"p{i}", f"texto {i}")]) for i in range(25)])
-    pages = spark.createDataFrame([("p001", "f.jpg", 100, 100)], "page_id string, filename string, width int, height int")
-    session.nest_session(pages, lines, 10).write.json(str(tmp_path / "blocks"))
-    _, again = session.load_session(spark, str(tmp_path / "blocks"))
-    assert rows(again, "line_id", "line_pos", "x0") == rows(lines, "line_id", "line_pos", "x0")
+def test_snapshots_keep_order_and_the_newest_wins(spark, tmp_path):
+    late = 1 << 40  # left-over lines of a second detection stand behind all others
+    lines = page(spark, *[(f"n{i}", (i, i, i + 5, i + 5), True, [(f"q{i}", f"frase {i}")]) for i in range(1200)])
+    lines = lines.withColumn("line_pos", F.col("line_pos").cast("bigint") + F.when(F.col("line_pos") % 3 == 0, F.lit(late)).otherwise(0))
+    pages = spark.createDataFrame([("p001", "f.jpg", 100, 100), ("p002", "g.jpg", 100, 100)], "page_id string, filename string, width int, height int")
     session.save_session(pages, lines.limit(0), str(tmp_path / "s"), 1)
     session.save_session(pages, lines, str(tmp_path / "s"), 2)
-    assert session.latest_snapshot(spark, str(tmp_path / "s")).endswith("version=2")
+    newest = session.latest_snapshot(spark, str(tmp_path / "s"))
+    assert newest.endswith("version=2")
+    found_pages, again = session.load_session(spark, newest)
+    assert rows(found_pages, "page_id") == [("p001",), ("p002",)]
+    expected = [r.line_id for r in lines.orderBy("line_pos").collect()]
+    assert [(r.line_id, r.line_pos) for r in again.orderBy("line_pos").collect()] == [(x, i) for i, x in enumerate(expected)]
+
+
+def test_short_boxes_are_refused_and_not_invented(spark):
+    body = {"lines": [{"id": "a", "box": [1, 2, 3]}, {"id": "b", "box": [5, 5, 90, 20]}]}
+    saves = spark.createDataFrame([("p001", json.dumps(body)), ("p002", json.dumps({"lines": body["lines"][1:]}))], "page_id string, payload string")
+    lines = session.payload_lines(saves)
+    pages = spark.createDataFrame([("p001", 1000, 1000), ("p002", 1000, 1000)], "page_id string, width int, height int")
+    kept, bad = review.clean_lines(lines, pages)
+    assert [(r.page_id, r.line_id, r.x0, r.y1) for r in kept.collect()] == [("p002", "b", 5, 20)]
+    assert rows(bad, "page_id", "kind", "item_id", "reason") == [("p001", "box", "a", "box")]
+    null = spark.createDataFrame([(None, 1, 50, 60)], "x0 int, y0 int, x1 int, y1 int")
+    assert tuple(null.select(*boxes.named(boxes.clamp_box(boxes.corners(), F.lit(1000), F.lit(1000)))).first()) == (None,) * 4
+
+
+def test_ids_end_where_they_end(spark):
+    pages = spark.createDataFrame([("p001", 100, 100)], "page_id string, width int, height int")
+    _, bad = review.clean_lines(page(spark, ("a\n", (0, 0, 50, 50), True, [("ok", "")])), pages)
+    assert rows(bad, "kind", "item_id", "reason") == [("line", "a\n", "malformed")]
+
+
+def test_splits_and_removals_in_log_order(spark):
+    lines = page(spark, ("l", (0, 0, 50, 50), True, [("pa", "x")]))
+    schema = "page_id string, line_id string, op string, part_id string, text string, new_id string, x0 double, y0 double, x1 double, y1 double, ts timestamp, event_id long"
+
+    def after(*ops):
+        log = [("p001", "l", op, part, None, new, None, None, None, None, None, i) for i, (op, part, new) in enumerate(ops)]
+        log = spark.createDataFrame(log, schema).withColumn("ts", F.timestamp_seconds("event_id"))
+        found = [[p.part_id for p in edits.apply_line_edits(lines, x).first().parts] for x in (log, edits.reduce_edits(log), edits.reduce_edits(log.unionByName(log)))]
+        assert found[0] == found[1] == found[2]
+        return found[0]
+
+    split, remove = ("split", "pa", "x"), ("remove_part", "x", None)
+    assert after(remove, split, remove) == ["pa"]
+    assert after(split, remove, split) == ["pa", "x"]
+    assert after(split, split) == ["pa", "x"]
 
 
 def test_edit_payload_drops_unknown_fields(spark):
@@ -43,33 +83,45 @@ def test_edit_payload_drops_unknown_fields(spark):
     assert (found.line_id, found.x0, found.include, found.parts[0].part_id, found.parts[0].confirmed) == ("a", 1.5, True, "x", False)
 
 
+def exported(lines, path):
+    exports.write_text(lines, str(path))
+    return "".join(p.read_text() for p in sorted(path.glob("part-*")))
+
+
 def test_text_export(spark, tmp_path):
     lines = page(
-        spark, ("a", (0, 0, 9, 9), True, [("a1", "alpha"), ("a2", " beta\r\nb ")]), ("b", (0, 20, 9, 29), False, [("b1", "fora")]),
-        ("c", (0, 40, 9, 49), True, [("c1", "gamma")]), ("d", (0, 60, 9, 69), False, [("d1", "")]),
-    )
-    pages = spark.createDataFrame([("p001", "folha.jpg")], "page_id string, filename string")
-    pieces = exports.export_text(pages, numbering.number_parts(lines))
-    exports.write_text(pieces, str(tmp_path / "txt"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "txt").glob("part-*")))
-    assert text.splitlines() == [
-        "T = linha transcrita. D = linha no documento.", "", "# folha.jpg", "[T001 | D001 parte 1] alpha",
-        "[T002 | D001 parte 2] beta / b", "[T003 | D003] gamma", "Fora da transcrição: D002, D004", "",
-    ]
-    exports.write_text(pieces.limit(0), str(tmp_path / "none"))
-    assert "Nenhuma página importada." in "".join(p.read_text() for p in (tmp_path / "none").glob("part-*"))
+        spark, ("k", (5, 5, 90, 20), True, [("k1", "dez sacos"), ("k2", " de sal\r\ngrosso ")]), ("m", (5, 30, 90, 45), False, [("m1", "rabisco")]),
+        ("n", (5, 60, 90, 75), True, [("n1", "total")]), ("o", (5, 90, 90, 99), False, [("o1", "")]),
+    ).unionByName(page(spark, ("z", (5, 5, 90, 20), True, [("z1", "verso")]), page_id="p002"))
+    pages = spark.createDataFrame([("p001", "rol.jpg"), ("p002", "rol2.jpg")], "page_id string, filename string")
+    whole = exports.export_text(pages, numbering.number_parts(lines))
+    assert exported(whole, tmp_path / "txt") == "\n".join([
+        "T = linha transcrita. D = linha no documento.", "", "# rol.jpg", "[T001 | D001 parte 1] dez sacos", "[T002 | D001 parte 2] de sal / grosso",
+        "[T003 | D003] total", "Fora da transcrição: D002, D004", "", "# rol2.jpg", "[T001 | D001] verso", "",
+    ])
+    assert "Nenhuma página importada." in exported(whole.limit(0), tmp_path / "none")
 
 
 def test_long_lists_of_omitted_lines_are_one_line(spark, tmp_path):
     lines = page(spark, *[(f"l{i:04d}", (0, 20 * i, 9, 20 * i + 9), False, []) for i in range(2300)])
     pages = spark.createDataFrame([("p001", "folha.jpg")], "page_id string, filename string")
-    pieces = exports.export_text(pages, numbering.number_parts(lines))
-    assert pieces.filter("section = 2").count() == 3
-    exports.write_text(pieces, str(tmp_path / "txt"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "txt").glob("part-*")))
+    text = exported(exports.export_text(pages, numbering.number_parts(lines)), tmp_path / "txt")
     assert text.splitlines()[3] == "Fora da transcrição: " + ", ".join(f"D{i:03d}" for i in range(1, 2301))
 
 
+def test_page_documents(spark):
+    lines = page(spark, ("k", (5, 5, 90, 20), True, [("k1", "dez"), ("k2", "onze")]), ("m", (5, 30, 90, 45), False, [("m1", "à margem"), ("m2", " "), ("m3", "fim")]))
+    pages = spark.createDataFrame([("p001", "rol.jpg", 100, 80), ("p002", "nada.jpg", 10, 8)], "page_id string, filename string, width int, height int")
+    found = {r.page_id: json.loads(r.json) for r in exports.export_pages(pages, numbering.number_parts(lines)).collect()}
+    assert found["p002"] == {"arquivo": "nada.jpg", "largura": 10, "altura": 8, "linhas": [], "linhas_documento_sem_transcricao": []}
+    first = found["p001"]
+    assert (first["arquivo"], first["largura"], first["altura"]) == ("rol.jpg", 100, 80)
+    assert [(x["linha_transcrita"], x["linha_documento"], x["parte"], x["texto"], x["caixa"]) for x in first["linhas"]] == [
+        (1, 1, 1, "dez", [5, 5, 90, 20]), (2, 1, 2, "onze", [5, 5, 90, 20]),
+    ]
+    assert first["linhas_documento_sem_transcricao"] == [{"linha_documento": 2, "caixa": [5, 30, 90, 45], "texto_guardado": "à margem / fim"}]
+
+
 def test_image_folder(spark, tmp_path):
     for name, data in (("a.JPG", b"x"), ("sub/b.png", b""), ("c.txt", b"x"), ("d.webp", b"yy")):
         target = tmp_path / name
@@ -153,43 +205,6 @@ def test_gutters_of_given_boxes(spark):
     assert 140 <= found[0].gutter_start <= 200 <= found[0].gutter_end <= 260
 
 
-def test_gutter_against_a_plain_computation(spark, tiny):
-    from folioscope.plans import desk
-
-    boxes, pages = desk.boxes(spark, tiny), desk.pages(spark, tiny)
-    found = {r.page_id: (r.gutter_start, r.gutter_end) for r in geometry.box_gutters(boxes, pages).collect()}
-    by_page = {}
-    for r in boxes.collect():
-        by_page.setdefault(r.page_id, []).append((r.x0, r.x1))
-    width, kernel = 2200, 27
-    sigma = 0.3 * ((kernel - 1) * 0.5 - 1) + 0.8
-    taps = [2.718281828459045 ** (-0.5 * (j / sigma) ** 2) for j in range(-13, 14)]
-    for name, spans in list(by_page.items())[:60]:
-        cover = [0] * width
-        for x0, x1 in spans:
-            for x in range(max(0, x0), min(width, x1)):
-                cover[x] += 1
-        expected = None
-        if len(spans) >= 4 and max(cover) >= 2:
-            smooth = []
-            for x in range(width):
-                at = [abs(x + j) if x + j < width else 2 * (width - 1) - (x + j) for j in range(-13, 14)]
-                smooth.append(round(sum(t * cover[i] for t, i in zip(taps, at)) / sum(taps), 6))
-            lo, hi = int(width * 0.18), int(width * 0.82)
-            valley = min(range(lo, hi), key=lambda x: (smooth[x], x))
-            left, right = max(smooth[:valley]), max(smooth[valley + 1 :])
-            limit = min(left, right) * 0.45
-            if min(left, right) >= 2 and smooth[valley] <= limit:
-                a = b = valley
-                while a > 0 and smooth[a] <= limit:
-                    a -= 1
-                while b < width - 1 and smooth[b] <= limit:
-                    b += 1
-                if b - a >= 27 and a >= width * 0.12 and b <= width * 0.88:
-                    expected = (a, b)
-        assert found.get(name) == expected
-
-
 def test_search_text(spark):
     df = spark.createDataFrame([("Pagou a sáca de trigo",)], "t string")
     t = F.col("t")
