@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,32 @@ def hashing_model() -> Model:
     return embed
 
 
+def hashed_vectors(rows: DataFrame, text: str = "text", width: int = VECTOR_SIZE) -> DataFrame:
+    """Adds `embedding`: counts of folded words in hash buckets, at unit length.
+
+    Words are hashed by SQL functions; a task only turns bucket numbers into dense vectors, for a batch at once.
+    """
+    bucket = F.transform(tokens(fold(F.col(text))), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % width).cast("int"))
+    kept = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                lists = part.column(part.schema.get_field_index("_buckets"))
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                cell = np.repeat(np.arange(part.num_rows), sizes) * width + lists.flatten().to_numpy(zero_copy_only=False)
+                counts = np.bincount(cell, minlength=part.num_rows * width).reshape(-1, width).astype("float64")
+                norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                values = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0).astype("float32")
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width)
+                vectors = pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), vectors], [*kept, "embedding"])
+
+    return rows.withColumn("_buckets", bucket).mapInArrow(dense, schema)
+
+
 def embed_texts(
     rows: DataFrame,
     model_factory: Callable[[], Model] | None = None,
@@ -55,20 +83,19 @@ def embed_texts(
     The default is word hashing on folded words. A request that answers with another number of
     vectors, or with vectors of another size, fails the task.
     """
-    default = model_factory is None
-    factory = model_factory or hashing_model
-    size = 4096 if default else batch
     dealt = rows if spread is None else rows.repartition(spread)
-    prepared = dealt.withColumn("_in", F.array_join(tokens(fold(F.col(text))), " ") if default else F.col(text))
+    if model_factory is None:
+        return hashed_vectors(dealt, text, width)
+    prepared = dealt.withColumn("_in", F.col(text))
     schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = model_factory()
         for frame in batches:
             texts = frame["_in"].tolist()
             vectors: list = []
-            for start in range(0, len(texts), size):
-                chunk = texts[start : start + size]
+            for start in range(0, len(texts), batch):
+                chunk = texts[start : start + batch]
                 answer = model(chunk)
                 if len(answer) != len(chunk):
                     raise RuntimeError(f"{len(answer)} vectors for {len(chunk)} texts")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import content_hash, has_text, strip
 from folioscope.operators.spread import positions
 from folioscope.schemas import TRANSCRIPTIONS
-from folioscope.settings import BACKFILL_BATCH
 
 _META = ["page_name", "line_id", "linha_documento", "linha_transcrita"]
 
@@ -82,12 +81,11 @@ def assign_ids(table: DataFrame) -> DataFrame:
     return table.filter("id IS NOT NULL").unionByName(numbered)
 
 
-def outstanding(table: DataFrame, limit: int | None = BACKFILL_BATCH, page_id: str | None = None) -> DataFrame:
-    """Rows without a vector, oldest first. limit=None takes all of them, in no order."""
+def outstanding(table: DataFrame, limit: int | None = None, page_id: str | None = None) -> DataFrame:
+    """Rows without a vector: all of them, or the `limit` oldest."""
     rows = table.filter(F.col("embedding").isNull())
     if page_id is not None:
         rows = rows.filter(F.col("page_id") == page_id)
-        return rows.orderBy("id")
     return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
@@ -124,7 +122,7 @@ def legacy_import(table: DataFrame, legacy: DataFrame) -> DataFrame:
     return table.select(*known).unionByName(moved.select(*known))
 
 
-def confirmed_texts(table: DataFrame, limit: int, order: str = "updated_at") -> DataFrame:
-    """The newest `limit` confirmed rows, and of these the ones with text."""
-    newest = table.filter("confirmed").select("part_id", "text", order).orderBy(F.desc(order), "part_id").limit(limit)
-    return newest.filter(has_text(F.col("text")))
+def confirmed_texts(table: DataFrame, limit: int | None = None, order: str = "updated_at") -> DataFrame:
+    """Confirmed rows with text: all of them, or the `limit` newest."""
+    rows = table.filter(F.col("confirmed") & has_text(F.col("text"))).select("part_id", "text", order)
+    return rows if limit is None else rows.orderBy(F.desc(order), "part_id").limit(limit)

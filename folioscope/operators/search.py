@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from folioscope.functions import text as tx
 from folioscope.settings import (
-    LITERAL_HIT_CAP,
     QUERY_BLOCK,
     SCORE_BLOCK,
     SEARCH_DEFAULT,
@@ -29,20 +28,20 @@ def literal_hits(numbered: DataFrame, query: str) -> DataFrame:
     return numbered.filter(tx.has_text(F.col("text")) & tx.text_match(F.col("text"), query))
 
 
-def literal_search(numbered: DataFrame, query: str, cap: int = LITERAL_HIT_CAP) -> DataFrame:
-    """The first `cap` hits in reading order with snippet and marks, and the number of all hits."""
+def literal_search(numbered: DataFrame, query: str, first: int = 0, size: int | None = None) -> DataFrame:
+    """Hits with snippet and the number of all hits: all of them, or in reading order `size` hits after the first `first`."""
     hits = literal_hits(numbered, query)
     total = hits.agg(F.count("*")).scalar()
-    return hits.orderBy(*HIT_ORDER).limit(cap).select(
+    shown = hits if size is None else hits.orderBy(*HIT_ORDER).offset(first).limit(size)
+    return shown.select(
         "page_id", "line_id", "part_id", "linha_documento", "parte", "text",
         tx.snippet(F.col("text"), query).alias("snippet"), total.alias("total"),
     )
 
 
-def hits_by_page(numbered: DataFrame, query: str, cap: int = LITERAL_HIT_CAP) -> DataFrame:
-    """How many of the shown hits each page has."""
-    shown = literal_hits(numbered, query).select(*HIT_ORDER).orderBy(*HIT_ORDER).limit(cap)
-    return shown.groupBy("page_id").agg(F.count("*").alias("hits"))
+def hits_by_page(numbered: DataFrame, query: str) -> DataFrame:
+    """How many hits each page has."""
+    return literal_hits(numbered, query).groupBy("page_id").agg(F.count("*").alias("hits"))
 
 
 def name_matches(pages: DataFrame, query: str) -> DataFrame:
@@ -98,9 +97,11 @@ def shown_score(score: Column) -> Column:
     return F.round(known, 4)
 
 
-def vector_search(table: DataFrame, query: list[float], limit: int = SEARCH_DEFAULT, **filters) -> DataFrame:
-    """Nearest rows by cosine; 1 to 20 of them. Ties go to the smaller part_id."""
-    k = max(1, min(int(limit), SEARCH_MAX))
+def vector_search(table: DataFrame, query: list[float], limit: int = SEARCH_DEFAULT, most: int = SEARCH_MAX, **filters) -> DataFrame:
+    """Nearest rows by cosine, one at least; more than `most` are refused. Ties go to the smaller part_id."""
+    if limit > most:
+        raise ValueError(f"{limit} rows where {most} are allowed")
+    k = max(1, int(limit))
     rows = searchable(table, **filters)
     kept = [c for c in rows.columns if c != "embedding"]
     scored = rows.select(*kept, F.round(cosine(F.col("embedding"), query), 9).alias("_score"))
@@ -257,12 +258,12 @@ def _knn_grid(q: DataFrame, s: DataFrame, k: int, width: int, query_block: int,
 
 
 def hybrid_search(
-    pages: DataFrame, numbered: DataFrame, similar: DataFrame, query: str, cap: int = LITERAL_HIT_CAP
+    pages: DataFrame, numbered: DataFrame, similar: DataFrame, query: str, size: int | None = None
 ) -> DataFrame:
-    """Literal hits, then similar rows that are not literal hits, then pages that match by name alone."""
+    """Literal hits (`size` of them in reading order, or all), then similar rows that are none, then pages that match by name alone."""
     hits = literal_hits(numbered, query).select("page_id", "part_id", "linha_documento", "parte")
     literal_ids = hits.select("part_id")
-    literal = hits.orderBy(*HIT_ORDER).limit(cap).select(
+    literal = (hits if size is None else hits.orderBy(*HIT_ORDER).limit(size)).select(
         F.lit("literal").alias("section"), "page_id", "part_id", F.lit(None).cast("double").alias("score")
     )
     live = hits_on_live_pages(similar, pages)

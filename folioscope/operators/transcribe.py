@@ -12,7 +12,6 @@ from folioscope.operators.embedding import Model, embed_texts
 from folioscope.operators.passages import confirmed_texts
 from folioscope.operators.search import searchable
 from folioscope.operators.spread import durable
-from folioscope.settings import CONFIRMED_TEXTS_SCANNED
 
 Ask = Callable[[], reading.Ask]
 
@@ -88,15 +87,14 @@ def read_lines(
 
     Answers are written to the checkpoint folder, so that no call is repeated when a later stage is.
     """
-    # Pending lines are some of the lines, so one check of the lines serves every step; both tables
-    # feed several of them.
+    # Both tables feed several steps.
     pending = durable(review.pending_lines(lines, only_empty))
     groups = durable(reading.read_groups(pending))
     gutters = geometry.page_gutters(lines, pages)
     crops = geometry.line_crops(pending, pages, gutters)
     forms = None
     if table is not None:
-        recent = confirmed_texts(searchable_texts(table, user_id), CONFIRMED_TEXTS_SCANNED)
+        recent = confirmed_texts(searchable_texts(table, user_id))
         forms = [row["form"] for row in precedents.word_forms(recent).collect()]  # 40 at most
     requests = _requests(reading.build_prompts(groups, gutters, forms), crops, groups)
     answered = reading.parsed_answers(durable(reading.ask_groups(requests, ask_factory)))

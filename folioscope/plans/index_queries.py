@@ -125,7 +125,7 @@ def write_back_vectors(spark, sf):
 
 
 @query("outstanding_batch", with_desk("""
-SELECT part_id FROM stored_rows WHERE NOT has_vector ORDER BY page_id, linha_documento, part_id LIMIT 64""", **STORED_CTES))
+SELECT part_id FROM stored_rows WHERE NOT has_vector""", **STORED_CTES))
 def outstanding_batch(spark, sf):
     rows = _stored(spark, sf).withColumn("id", F.lit(None).cast("bigint"))
     return px.outstanding(px.assign_ids(rows)).select("part_id")
@@ -255,7 +255,7 @@ def _embedded_query(text):
 
 
 @query("hybrid_search", with_desk(f"""
-SELECT 'literal' AS section, page_id, part_id, NULL::DOUBLE AS score FROM hits WHERE pos <= 80
+SELECT 'literal' AS section, page_id, part_id, NULL::DOUBLE AS score FROM hits
 UNION ALL
 SELECT 'similar', page_id, part_id, {SHOWN} FROM close_rows WHERE part_id NOT IN (SELECT part_id FROM hits)
 UNION ALL
@@ -281,13 +281,12 @@ def word_forms(spark, sf):
 
 
 @query("recent_confirmed", with_desk(f"""
-SELECT part_id, text FROM (
-  SELECT part_id, text FROM desk_parts WHERE confirmed ORDER BY (doc_id * 7919 + k) % 100000 DESC, part_id LIMIT 4000) WHERE {written_sql('text')}"""))
+SELECT part_id, text FROM desk_parts WHERE confirmed AND {written_sql('text')}"""))
 def recent_confirmed(spark, sf):
     rows = numbering.part_rows(desk.lines(spark, sf)).withColumn(
         "updated_at", F.timestamp_seconds((doc_of() * 7919 + F.col("line_pos")) % 100000)
     )
-    return px.confirmed_texts(rows, 4000).select("part_id", "text")
+    return px.confirmed_texts(rows).select("part_id", "text")
 
 
 # Read groups of eight included lines; their gapped parts look for confirmed rows outside the group.

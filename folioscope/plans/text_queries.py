@@ -97,12 +97,12 @@ def snippet(spark, sf):
 
 @query("literal_search", with_desk(f"""
 SELECT page_id, line_id, part_id, linha_documento, parte, text, {SNIPPET_SQL} AS snippet, total
-FROM ({WINDOWED} hits) WHERE pos <= 80""", hits=HITS))
+FROM ({WINDOWED} hits)""", hits=HITS))
 def literal_search(spark, sf):
     return search.literal_search(numbering.number_parts(desk.lines(spark, sf, marks=False)), QUERY)
 
 
-@query("hits_by_page", with_desk("SELECT page_id, count(*) AS hits FROM hits WHERE pos <= 80 GROUP BY page_id", hits=HITS))
+@query("hits_by_page", with_desk("SELECT page_id, count(*) AS hits FROM hits GROUP BY page_id", hits=HITS))
 def hits_by_page(spark, sf):
     return search.hits_by_page(numbering.number_parts(desk.lines(spark, sf, marks=False)), QUERY)
 

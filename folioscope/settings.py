@@ -10,8 +10,6 @@ GROUP_MAX_LINES = 8
 SEARCH_MAX = 20
 SEARCH_DEFAULT = 8
 QUERY_MAX_CHARS = 2000
-LITERAL_HIT_CAP = 80
-CONFIRMED_TEXTS_SCANNED = 4000
 MAX_FORMS = 40
 MIN_FORM_COUNT = 3
 MIN_NEIGHBOUR_SCORE = 0.55
@@ -20,7 +18,6 @@ MIN_GAP_QUERY_CHARS = 8
 NEIGHBOUR_CHARS = 400
 VECTOR_SIZE = 768
 EMBED_BATCH = 16
-BACKFILL_BATCH = 64
 REDETECT_OVERLAP = 0.4
 SNIPPET_CHARS = 180
 SNIPPET_LEAD = 56

@@ -37,12 +37,14 @@ def test_similarity_join_is_exact(spark, blocks):
     assert rows(found, "query_id", "part_id", "rank") == sorted(expected)
 
 
-def test_vector_search_clamps_and_orders(spark):
+def test_vector_search_orders_and_refuses(spark):
     table = spark.createDataFrame(
         [("b", [1.0, 0.0], 1, True), ("a", [2.0, 0.0], 1, True), ("c", [-1.0, 0.0], 2, True), ("z", [0.0, 0.0], None, True), ("n", None, 1, True)],
         "part_id string, embedding array<float>, user_id long, confirmed boolean",
     )
-    found = [(r.part_id, r.score) for r in search.vector_search(table, [1.0, 0.0], 99).collect()]
+    found = [(r.part_id, r.score) for r in search.vector_search(table, [1.0, 0.0], 20).collect()]
+    with pytest.raises(ValueError, match="99 rows where 20"):
+        search.vector_search(table, [1.0, 0.0], 99)
     assert found == [("a", 1.0), ("b", 1.0), ("c", 0.0), ("z", 0.0)]
     assert [r.part_id for r in search.vector_search(table, [1.0, 0.0], 0).collect()] == ["a"]
     assert [r.part_id for r in search.vector_search(table, [1.0, 0.0], user_id=2).collect()] == ["c", "z"]
