@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.llm.arrays import slices, span_hash
 from folioscope.llm.worker import PerWorker
 
 BLOCK = 128
@@ -35,48 +37,73 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 17
 HEADER = "<4sIQII"
 SEGMENT_SCHEMA = "part int, seq int, n_ids long, payload binary"
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 3_000_000  # about 30 bytes each
 
 
 class Pieces:
-    """Encodes texts piece by piece and remembers pieces.
+    """Encodes stretches of text once and remembers their ids, KNOWN_PIECES stretches at most before it starts afresh.
 
-    The vocabulary's pattern always starts a new token at a single blank between two other characters that are no
-    white space, so texts are cut there; every piece is encoded once by the library and kept, KNOWN_PIECES at most.
+    The vocabulary's pattern always begins a token at a blank that a character other than white space follows, and a
+    stretch before such a blank has the same tokens alone as in its text. So texts are cut there, and the library
+    encodes each different stretch.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
-        known = self.known
-        new = [p for p in {p for c in cut for p in c} if p not in known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join([known[p] for p in c]) for c in cut]
-
-
-def pieces(text: str) -> list[str]:
-    words = text.split(" ")
-    if len(words) == 1:
-        return words if text else []
-    out = [words[0]]
-    tight = bool(words[0]) and not words[0][-1].isspace()
-    for word in words[1:]:
-        if tight and word and not word[0].isspace():
-            out.append(" " + word)
-        else:
-            out[-1] += " " + word
-        tight = bool(word) and not word[-1].isspace()
-    return out if out[0] else out[1:]
+        self._forget()
+
+    def _forget(self):
+        self.hashes = np.zeros(0, dtype=np.uint64)  # ascending
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int32)
+        self.flat = np.zeros(0, dtype="<u4")
+
+    def _learn(self, hashes: np.ndarray, stretches: list[str]):
+        found: list[list[int]] = []
+        for at in range(0, len(stretches), 4096):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(stretches[at : at + 4096], add_special_tokens=False)]
+        count = np.array([len(f) for f in found], dtype=np.int32)
+        begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(count.sum()))))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.count = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.begin, begin), (self.count, count)))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts one after another, and how many each text has."""
+        starts = cuts(data, offs)
+        ends = np.append(starts[1:], len(data))
+        hashes, sample, inverse = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > KNOWN_PIECES:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), dtype=bool)
+        if new.any():
+            raw = data.tobytes()
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, hashes)
+        begin, n = self.begin[at][inverse], self.count[at][inverse].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
+        return ids, np.diff(total[np.searchsorted(starts, offs)])
+
+
+PLAIN = np.ones(256, dtype=bool)  # first bytes of characters that are surely no white space
+PLAIN[:0x21] = PLAIN[0x7F] = PLAIN[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where stretches begin: at texts, and at blanks before a plain character."""
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[: max(len(data) - 1, 0)] = (data[:-1] == 0x20) & PLAIN[data[1:]]
+    cut[offs] = True
+    cut[len(data)] = False
+    ends = offs[(offs > 0) & (offs < len(data))]
+    lone = ends[(data[ends - 1] == 0x20)] - 1  # a text's last blank is followed by another text
+    lone = lone[~np.isin(lone, offs)]
+    cut[lone] = False
+    return np.flatnonzero(cut)
 
 
 def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -186,12 +213,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, text:
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                encoded = encode([t or "" for t in some.column(1).to_pylist()])
-                for d, raw in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    held[0].append(d), held[1].append(len(raw) // 4 + 1), held[2].append(raw + end)
-                    n += held[1][-1]
+            doc_ids = batch.column(0).to_pylist()
+            for start, stop, data, offs in slices(batch.column(1)):
+                ids, counts = encode(data, offs)
+                raw, stops = ids.tobytes(), 4 * np.cumsum(counts)
+                for d, size, to in zip(doc_ids[start:stop], counts.tolist(), stops.tolist(), strict=True):
+                    held[0].append(d), held[1].append(size + 1), held[2].append(raw[to - 4 * size : to] + end)
+                    n += size + 1
                     if n >= SEGMENT_IDS:
                         yield flush()
                         seq, n, held = seq + 1, 0, ([], [], [])

@@ -23,11 +23,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_folder(spark)}/llm/tokens-{uuid.uuid4().hex}"
     pfor_tokens.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
-    rows = pfor_tokens.read_tokens(spark, path).join(pfor_tokens.segment_starts(spark, path), ["part", "seq"])
-    return rows.select(
-        "doc_id", (F.col("base") + F.col("offset")).alias("start"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
+    rows = pfor_tokens.read_tokens(spark, path).select(  # the ids themselves need not move
+        "doc_id", "part", "seq", "offset", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+    starts = pfor_tokens.segment_starts(spark, path)
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 @query("op9_source_mix")
