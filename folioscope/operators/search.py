@@ -1,7 +1,6 @@
 """Search: literal hits, cosine top-k, similarity joins, merged results."""
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +118,10 @@ _PAIR = "query_id string, part_id string, score double"
 def _unit(vectors: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of unit length from the flat buffer of a list column, and which rows have a direction at all."""
     column = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    usable = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    sizes = pc.list_value_length(column)
+    if pc.any(pc.not_equal(sizes, width)).as_py():
+        raise ValueError(f"a vector of another size than {width}")
+    usable = pc.fill_null(pc.equal(sizes, width), False)
     fits = usable.to_numpy(zero_copy_only=False)
     dense = np.zeros((len(column), width))
     dense[fits] = pc.filter(column, usable).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -203,8 +205,8 @@ def knn_join(
 
     queries: query_id, vector, group_id; table: part_id, embedding, group_id. Rows of the query's
     own group are not neighbours. Queries and stored rows are hashed into blocks of bounded size;
-    each task multiplies two blocks and keeps k rows per query, never the pairs. With one block of
-    queries the block is broadcast (at most `query_block` vectors) and stored rows do not move.
+    each task multiplies two blocks and keeps k rows per query, never the pairs. A vector of another
+    size than `width` (by default the size of the stored vectors) fails the job.
     """
     if width is None:
         first = table.select(F.size("embedding").alias("n")).filter("n > 0").first()
@@ -213,27 +215,11 @@ def knn_join(
     s = table.filter(F.col("embedding").isNotNull()).select(
         "part_id", "embedding", F.coalesce("group_id", F.lit(" ")).alias("group_id")
     )
-    few = q.limit(query_block + 1).count() <= query_block
-    pairs = _knn_broadcast(q, s, k, width) if few else _knn_grid(q, s, k, width, query_block, vector_block)
+    pairs = _knn_grid(q, s, k, width, query_block, vector_block)
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "part_id")
     return pairs.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
-def _knn_broadcast(q: DataFrame, s: DataFrame, k: int, width: int) -> DataFrame:
-    held = q.sparkSession.sparkContext.broadcast(q.toArrow())  # query_block rows at most
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # k rows per query are held across the task's batches, and leave it once.
-        found = None
-        for batch in batches:
-            found = found or _Best(held.value, k, width)
-            found.add(batch)
-        if found is not None:
-            yield from found.table().to_batches()
-
-    return s.mapInArrow(best, _PAIR)
-
-
 def _knn_grid(q: DataFrame, s: DataFrame, k: int, width: int, query_block: int, vector_block: int) -> DataFrame:
     """Every (query block, stored block) cell is one task's work; hashing ids keeps the blocks even."""
     rows = max(1, -(-q.count() // query_block))

@@ -22,7 +22,7 @@ def vectors(spark, n, width=8, seed=3):
 
 @pytest.mark.parametrize("blocks", [{}, {"query_block": 16, "vector_block": 32}])
 def test_similarity_join_is_exact(spark, blocks):
-    data = vectors(spark, 150) + [("zero", [0.0] * 8, "z"), ("none", None, "z"), ("short", [1.0], "z")]
+    data = vectors(spark, 150) + [("zero", [0.0] * 8, "z"), ("none", None, "z")]
     queries = spark.createDataFrame([("q" + i, v, g) for i, v, g in data[:60]], "query_id string, vector array<float>, group_id string")
     table = spark.createDataFrame(data, "part_id string, embedding array<float>, group_id string")
     found = search.knn_join(queries, table, 4, width=8, **blocks)
@@ -37,6 +37,13 @@ def test_similarity_join_is_exact(spark, blocks):
     assert rows(found, "query_id", "part_id", "rank") == sorted(expected)
 
 
+def test_vectors_of_another_size_stop_the_similarity_join(spark):
+    queries = spark.createDataFrame([("q", [1.0, 2.0], "g")], "query_id string, vector array<float>, group_id string")
+    table = spark.createDataFrame([("a", [1.0, 2.0], "h"), ("b", [1.0], "h")], "part_id string, embedding array<float>, group_id string")
+    with pytest.raises(Exception, match="another size than 2"):
+        search.knn_join(queries, table, 4, width=2).collect()
+
+
 def test_vector_search_orders_and_refuses(spark):
     table = spark.createDataFrame(
         [("b", [1.0, 0.0], 1, True), ("a", [2.0, 0.0], 1, True), ("c", [-1.0, 0.0], 2, True), ("z", [0.0, 0.0], None, True), ("n", None, 1, True)],
