@@ -136,6 +136,14 @@ def failure_kind(error_class: Column, message: Column) -> Column:
     )
 
 
+def failure_kind_of(error: BaseException) -> str:
+    """The same for an exception inside a task."""
+    name, full = type(error).__name__.lower(), f"{type(error).__name__} {error}".lower()
+    kinds = {"runner": RUNNER_ERRORS, "timeout": BUSY_ERRORS + TIMEOUT_ERRORS}
+    found = [kind for kind, words in kinds.items() if any(word in full for word in words)]
+    return (found or ["retry" if name in RETRY_CLASSES or EMPTY_ANSWER in full else ""])[0]
+
+
 def failure_pause(kind: Column) -> Column:
     pause = F.lit(0.0)
     for name, seconds in PAUSES.items():

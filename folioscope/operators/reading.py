@@ -1,9 +1,9 @@
 """Batch reading: read groups, prompts, the model call, written texts, outcomes."""
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -132,11 +132,13 @@ def build_prompts(
 Ask = Callable[[str, dict], str]
 
 
-def ask_groups(requests: DataFrame, ask_factory: Callable[[], Ask]) -> DataFrame:
-    """One model call per request; adds answer, or failure when the call raised.
+def ask_groups(
+    requests: DataFrame, ask_factory: Callable[[], Ask], attempts: int = 2, wait: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """Model answers per request; adds answer, or failure when every call raised.
 
     The factory runs once per task. `ask(prompt, row)` gets the other columns as a dict and
-    returns the raw answer.
+    returns the raw answer. A failure that may pass is tried again after its kind's pause, `attempts` calls in all.
     """
     added = [T.StructField("answer", T.StringType()), T.StructField("failure", T.StringType())]
     schema = T.StructType([*requests.schema.fields, *added])
@@ -146,12 +148,20 @@ def ask_groups(requests: DataFrame, ask_factory: Callable[[], Ask]) -> DataFrame
         for frame in batches:
             answers, failures = [], []
             for row in frame.to_dict("records"):
-                try:
-                    answers.append(ask(row["prompt"], row))
-                    failures.append(None)
-                except Exception as exc:  # a failed group is a row, the others go on
-                    answers.append(None)
-                    failures.append(str(exc) or exc.__class__.__name__)
+                answer = failure = None
+                for left in reversed(range(attempts)):
+                    try:
+                        answer, failure = ask(row["prompt"], row), None
+                        break
+                    except Exception as exc:  # a failed group is a row, the others go on
+                        failure = str(exc) or exc.__class__.__name__
+                        kind = rs.failure_kind_of(exc)
+                        if not kind:
+                            break
+                        if left:
+                            wait(rs.PAUSES[kind])
+                answers.append(answer)
+                failures.append(failure)
             yield frame.assign(answer=answers, failure=failures)
 
     return requests.mapInPandas(call, schema)
@@ -180,8 +190,9 @@ def line_readings(groups: DataFrame, answered: DataFrame) -> DataFrame:
     )
 
 
-def reading_outcome(results: DataFrame) -> DataFrame:
-    """Per page: groups, failures, status and message. results: page_id, group_no, span, failure (null when read)."""
+def reading_outcome(results: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Per page: groups, failures, status and message. results: page_id, group_no, span, failure (null when read).
+    Those of `pages` without a group had nothing to read."""
     failed = F.col("failure").isNotNull()
     first = F.min_by(
         F.concat(F.col("span"), F.lit(": "), F.col("failure")), F.when(failed, F.col("group_no"))
@@ -199,4 +210,11 @@ def reading_outcome(results: DataFrame) -> DataFrame:
         .when(status == "partial", F.concat(F.lit(PARTIAL), F.col("_first")))
         .otherwise(DONE)
     )
-    return counts.select("page_id", "groups", "failures", status.alias("status"), message.alias("message"))
+    read = counts.select("page_id", "groups", "failures", status.alias("status"), message.alias("message"))
+    if pages is None:
+        return read
+    none = F.lit(0).cast("bigint")
+    idle = pages.select("page_id").join(read, "page_id", "left_anti").select(
+        "page_id", none.alias("groups"), none.alias("failures"), F.lit("done").alias("status"), F.lit(NOTHING_TO_READ).alias("message")
+    )
+    return read.unionByName(idle)

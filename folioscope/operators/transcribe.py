@@ -107,7 +107,7 @@ def read_lines(
     written = review.set_line_texts(lines, by_line, only_empty)
     spans = reading.group_spans(groups).select("page_id", "group_no", "span")
     outcome = reading.reading_outcome(
-        spans.join(answered.select("page_id", "group_no", "failure"), ["page_id", "group_no"], "left")
+        spans.join(answered.select("page_id", "group_no", "failure"), ["page_id", "group_no"], "left"), pages
     )
     return written, outcome
 

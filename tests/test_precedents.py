@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions.responses import failure_kind, json_object, parse_embeddings, response_texts
-from folioscope.operators import embedding, precedents, search, transcribe
+from folioscope.operators import embedding, precedents, reading, search, transcribe
 from conftest import page, rows
 
 
@@ -112,7 +112,7 @@ def test_gap_uses_a_confirmed_neighbour_and_stays_a_draft(spark):
 
 def test_a_failed_group_leaves_the_others(spark):
     lines = page(spark, *[(f"l{i:02d}", (0, 60 * i, 90, 60 * i + 40), True, [(f"p{i}", "")]) for i in range(12)])
-    pages = spark.createDataFrame([("p001", 100, 800)], "page_id string, width int, height int")
+    pages = spark.createDataFrame([("p001", 100, 800), ("p002", 100, 800)], "page_id string, width int, height int")
 
     def factory():
         def ask(prompt, row):
@@ -124,6 +124,33 @@ def test_a_failed_group_leaves_the_others(spark):
 
     out, outcome = transcribe.read_lines(lines, pages, factory)
     assert out.filter("parts[0].text = 'ok'").count() == 4
-    found = outcome.first()
+    found, idle = sorted(outcome.collect(), key=lambda r: r.page_id)
+    assert (idle.groups, idle.status, idle.message) == (0, "done", "Nenhuma linha vazia para ler.")
     assert (found.groups, found.failures, found.status) == (2, 1, "partial")
     assert found.message == "Leitura parcial. D-001 a D-008: caiu a rede"
+
+
+def test_failures_that_may_pass_are_tried_again(spark, tmp_path):
+    requests = spark.createDataFrame([("p001", 1, "a"), ("p001", 2, "b"), ("p001", 3, "c")], "page_id string, group_no int, prompt string").coalesce(1)
+    folder = str(tmp_path)
+
+    def factory():
+        seen = {}
+
+        def ask(prompt, row):
+            seen[prompt] = seen.get(prompt, 0) + 1
+            with open(f"{folder}/{prompt}", "w") as f:
+                f.write(str(seen[prompt]))
+            if prompt == "a" and seen[prompt] == 1:
+                raise TimeoutError("timed out")
+            if prompt == "b":
+                raise TimeoutError("timed out again")
+            if prompt == "c":
+                raise ValueError("mal formado")
+            return "ok"
+
+        return ask
+
+    out = {r.prompt: (r.answer, r.failure) for r in reading.ask_groups(requests, factory, 3, wait=lambda seconds: None).collect()}
+    assert out == {"a": ("ok", None), "b": (None, "timed out again"), "c": (None, "mal formado")}
+    assert {p: (tmp_path / p).read_text() for p in "abc"} == {"a": "2", "b": "3", "c": "1"}
