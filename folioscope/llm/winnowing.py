@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.llm.store import stored
+
 K = 5
 WINDOW = 12
 LOW = 0x7FFFFFFF
@@ -99,7 +101,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_r
     heads = rows.groupBy("_bucket").agg(F.max(key).alias("_head"))
     order = W.orderBy("_bucket")  # a row per range
     lowest = F.min("_bucket").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    above = heads.select(F.col("_bucket").alias("_from"), "_head", F.coalesce(F.lead("_bucket").over(order), lowest).alias("_to"))
+    # stored, so that the planner knows how small it is before the texts move
+    above = stored(heads.select(F.col("_bucket").alias("_from"), "_head", F.coalesce(F.lead("_bucket").over(order), lowest).alias("_to")), "range-heads")
     copies = rows.join(above, (F.col("_bucket") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_head"))).withColumn("_bucket", F.col("_to"))
     both = rows.withColumn("_copy", F.lit(0)).unionByName(copies.select(*rows.columns, F.lit(1).alias("_copy")))
     w = W.partitionBy("_bucket").orderBy("_copy", F.col(key).desc_nulls_last(), F.xxhash64(text))
