@@ -241,12 +241,16 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", slot_bits: int = 21) -> Model:
-    table = estimate(count_grams(docs, text, lang), slot_bits).toArrow()  # at most 5 x 2**slot_bits rows and 5 per language
-    k = table.column("k").to_numpy()
-    columns = {c: table.column(c).to_numpy() for c in ("lang_key", "gram", "logp", "backoff")}
-    orders = {}
-    for order in range(1, ORDER + 1):
-        here = k == order
-        orders[order] = (entry_hash(columns["lang_key"][here], columns["gram"][here].astype(np.uint64)), columns["logp"][here], columns["backoff"][here])
-    roots = {int(x): float(b) for x, b in zip(columns["lang_key"][k == 0], columns["backoff"][k == 0], strict=True)}
+    """The model of `docs`, collected one order after another: at most 2**slot_bits rows, and one per language, at a time."""
+    table = stored(estimate(count_grams(docs, text, lang), slot_bits), "ngram-model")
+    orders, roots = {}, {}
+    for order in range(ORDER + 1):
+        rows = table.filter(F.col("k") == order).drop("k").coalesce(1 if order < 2 else 8).toArrow()
+        lang_key, gram, logp, backoff = (rows.column(c).to_numpy() for c in ("lang_key", "gram", "logp", "backoff"))
+        if order:
+            orders[order] = (entry_hash(lang_key, gram.astype(np.uint64)), logp.copy(), backoff.copy())
+        else:
+            roots = {int(x): float(b) for x, b in zip(lang_key, backoff, strict=True)}
+        del rows, lang_key, gram, logp, backoff
+        pa.default_memory_pool().release_unused()
     return Model(orders, roots)
