@@ -108,7 +108,7 @@ def delete_user(table: DataFrame, users: DataFrame) -> DataFrame:
     return table.join(users.select("user_id"), "user_id", "left_anti")
 
 
-def legacy_import(table: DataFrame, legacy: DataFrame) -> DataFrame:
+def legacy_import(table: DataFrame, legacy: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows of an older index that the table does not have; of equal ids the smallest row counts."""
     columns = ["page_id", "page_name", "line_id", "linha_documento", "linha_transcrita", "text", "content_hash", "embedding"]
     first = legacy.groupBy("part_id").agg(
@@ -117,7 +117,7 @@ def legacy_import(table: DataFrame, legacy: DataFrame) -> DataFrame:
     known = [f for f in TRANSCRIPTIONS.fieldNames() if f in table.columns]
     moved = first.join(table.select("part_id"), "part_id", "left_anti").select("part_id", "_row.*").withColumns({
         "id": F.lit(None).cast("bigint"), "user_id": F.lit(None).cast("bigint"), "confirmed": F.lit(False),
-        "updated_at": F.current_timestamp(),
+        "updated_at": F.current_timestamp() if now is None else now,
     })
     return table.select(*known).unionByName(moved.select(*known))
 

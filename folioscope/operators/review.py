@@ -12,7 +12,6 @@ from folioscope.settings import MAX_TEXT_CHARS
 
 # What ids may look like.
 ITEM_ID = r"\A[A-Za-z0-9_-]{1,48}\z"
-PAGE_ID = r"^p\d{3,6}$"
 
 
 def derived_id(prefix: str, *parts: Column | str) -> Column:

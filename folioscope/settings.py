@@ -9,7 +9,6 @@ GROUP_MAX_HEIGHT = 520
 GROUP_MAX_LINES = 8
 SEARCH_MAX = 20
 SEARCH_DEFAULT = 8
-QUERY_MAX_CHARS = 2000
 MAX_FORMS = 40
 MIN_FORM_COUNT = 3
 MIN_NEIGHBOUR_SCORE = 0.55

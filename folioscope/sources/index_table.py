@@ -46,9 +46,3 @@ def with_vectors(table: DataFrame, vectors: DataFrame) -> DataFrame:
         .withColumn("embedding", F.coalesce("embedding", "_vector"))
         .select(*table.columns)
     )
-
-
-def unique_parts(table: DataFrame) -> DataFrame:
-    """One row per part id, the one written last, for tables where a part moved between pages."""
-    order = W.partitionBy("part_id").orderBy(F.desc("updated_at"), F.desc("page_id"))
-    return table.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
