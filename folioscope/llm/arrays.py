@@ -11,30 +11,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15 | 5
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
-
-
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULTIPLIER**i and its inverse modulo 2**64 for i < n, grown when a longer text comes."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, min(2 * len(_powers), SLICE_BYTES), 1 << 16)
-        for inverse in (False, True):
-            base = pow(MULTIPLIER, -1, 1 << 64) if inverse else MULTIPLIER
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            table = np.cumprod(steps, dtype=np.uint64)
-            if inverse:
-                _inverses = table
-            else:
-                _powers = table
-    return _powers, _inverses
+    """MULTIPLIER**i and its inverse modulo 2**64 for i < n.
+
+    Made anew for each slice, which takes milliseconds: functions travel to tasks by value, so a table kept in the module
+    would stay behind in every task's copy until its worker collects garbage.
+    """
+    tables = []
+    for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[:1] = 1
+        tables.append(np.cumprod(steps, dtype=np.uint64))
+    return tables[0], tables[1]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
