@@ -272,7 +272,9 @@ def near_duplicates(
     parts = components(candidates(reps, threshold, runs, limit, depth))
     sized = parts.groupBy("component").agg(F.count("*").alias("part_size"))
     members = parts.join(sized, "component").select(F.col("vertex").alias("_row"), F.col("component").alias("part"), "part_size")
-    links = stored(exact_links(members.join(table.select("_row", text), "_row"), words_, threshold, text), "links")
+    # Members may be any share of all rows: nothing bounds them, so they are merged and never broadcast.
+    with_text = members.hint("merge").join(table.select("_row", text), "_row")
+    links = stored(exact_links(with_text, words_, threshold, text), "links")
     groups = components(links.select(F.col("_row").alias("a"), "b"))
     n_links = links.groupBy("_row").agg(F.sum("links").alias("n_links"))
     # Row numbers do not follow keys: the group's first member is the one with the smallest key.
