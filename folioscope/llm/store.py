@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Adds to `paths` the folders of tables stored inside the block."""
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nobody reads any more, and empty the list."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recorders:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
