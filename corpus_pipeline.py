@@ -14,17 +14,35 @@ iterative stages, so ORACLE_SQL is None and tests compare stages with plain comp
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import chosen_path, line_patience, mixture_language, piece_viterbi, source_mix
-from folioscope.llm.store import documents, stored
+from folioscope.llm.store import documents, dropped, recorded, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.5
 ORACLE_SQL = None
 
 
+_earlier: list[str] = []  # tables the stage before has stored; its rows are written by now
+
+
+def stage(fn):
+    """A stage that first deletes what the one before has stored, so that disk follows one stage and not all of them."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(spark, _earlier)
+        with recorded(_earlier):
+            return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mixture_language.fit(docs.select("text", "lang"))
     found = mixture_language.identify(docs, model)
@@ -32,26 +50,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = line_patience.without_repeats(docs).filter((F.col("text") != "") | (F.col("lines_cut") == 0))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(docs).filter("first_of_class").select(*COLUMNS)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.mixed_documents(docs.select(*COLUMNS))
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | None = None) -> DataFrame:
-    """`model` is the path of a piece vocabulary on executors; by default that of the public_tokenizers package."""
-    if model is None:
-        import public_tokenizers
+@stage
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With the piece vocabulary of the public_tokenizers package, at the same path on executors."""
+    import public_tokenizers
 
-        model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = piece_viterbi.encode(docs, model, keep_text=False)
+    rows = piece_viterbi.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
     return rows.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "ids")
 
 
@@ -66,6 +86,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, run_stage in STAGES:
+        docs = stored(run_stage(spark, docs, sf_dir), f"pipeline-{name}")
+    dropped(spark, _earlier)
     return docs
