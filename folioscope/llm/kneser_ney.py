@@ -6,17 +6,19 @@ count the longest n-grams of all texts per language; Spark adds the counts up, d
 the three discounts of every order and language, interpolated probabilities and backoff weights.
 
 Storage: per order, hashes of (language, n-gram) in ascending order beside log-probabilities and backoff weights.
-An order has at most 2**slot_bits entries: n-grams are dealt into that many slots by hash and the most frequent of a
-slot stays, the others back off to the next order. This bound holds for any corpus and covers what the driver
-collects and the tasks receive; it is the same rule at every size.
+Every counted n-gram is kept. An order is cut by ranges of the hash into parts of about PART entries, each of which is
+collected and broadcast by itself; a task looks up the different n-grams of a group of texts, and holds one part
+at a time. So memory does not grow with the model; the parts together do, with the n-grams of the corpus.
 """
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zlib
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ ORDER = 5
 BITS = 12
 SYMBOLS = 1 << BITS
 NO_LANGUAGE = -1
+PART = 1 << 20
 
 
 def language_key(lang: str | None) -> int:
@@ -125,8 +128,8 @@ def of_count(prefix: str):
     return F.when(F.col("n") == 1, F.col(f"{prefix}1")).when(F.col("n") == 2, F.col(f"{prefix}2")).otherwise(F.col(f"{prefix}3"))
 
 
-def estimate(counts: DataFrame, slot_bits: int) -> DataFrame:
-    """k, lang_key, gram, logp, backoff, of every order, within the bound on entries per order."""
+def estimate(counts: DataFrame) -> DataFrame:
+    """k, lang_key, gram, logp, backoff, of every order and counted n-gram."""
     tables = {ORDER: stored(counts, "ngrams")}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
@@ -153,12 +156,10 @@ def estimate(counts: DataFrame, slot_bits: int) -> DataFrame:
         entries.append((k, lower))
     out = None
     for k, table in entries:
-        slot = F.pmod(F.xxhash64("lang_key", "gram"), F.lit(1 << slot_bits))
-        kept = table.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "lang_key", "gram", "p")).alias("best")).select("best.*")
         if k < ORDER:
-            kept = kept.join(weights[k + 1], ["lang_key", "gram"], "left")
+            kept = table.join(weights[k + 1], ["lang_key", "gram"], "left")
         else:
-            kept = kept.withColumn("backoff", F.lit(None).cast("double"))
+            kept = table.withColumn("backoff", F.lit(None).cast("double"))
         kept = kept.select(F.lit(k).alias("k"), "lang_key", "gram", F.log("p").cast("float").alias("logp"), F.coalesce("backoff", F.lit(0.0)).cast("float").alias("backoff"))
         out = kept if out is None else out.unionByName(kept)
     # contexts that are no n-grams themselves: none at all, and a text's start; one row each per language
@@ -204,53 +205,121 @@ class Order:
         return out
 
 
+def distinct(texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different longest n-grams of texts given as symbols, begins and language keys, and the language of each."""
+    held: dict[int, list] = {}
+    for points, begins, lang_keys in texts:
+        found, of = grams(points, begins), np.repeat(lang_keys, np.diff(begins))
+        for key in np.unique(of):
+            held.setdefault(int(key), []).append(counted(found[of == key])[0])
+    each = {key: counted(np.concatenate(parts))[0] for key, parts in held.items()}
+    if not each:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(list(each.values())), np.repeat(np.array(list(each), dtype=np.int64), [len(x) for x in each.values()])
+
+
+class Scores:
+    """Log-probabilities of the n-grams of some texts."""
+
+    def __init__(self, gram: np.ndarray, lang_key: np.ndarray, logp: np.ndarray):
+        self.table = Order(entry_hash(lang_key, gram), logp, logp)
+
+    def log_probabilities(self, points: np.ndarray, begins: np.ndarray, lang_keys: np.ndarray) -> np.ndarray:
+        at = self.table.find(entry_hash(np.repeat(lang_keys, np.diff(begins)), grams(points, begins)))
+        if (at < 0).any():
+            raise ValueError("an n-gram was not looked up")
+        return self.table.logp[at]
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds a hash: equal ranges of it as a signed number."""
+    return ((((hashes ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def part_begins(parts: int) -> list[int]:
+    """The smallest signed hash of each part, but for the first."""
+    return [(-((-i << 32) // parts) << 32) - (1 << 63) for i in range(1, parts)]
+
+
 @dataclass
 class Model:
-    orders: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    orders: dict[int, list[Broadcast]]
     roots: dict[int, float]
 
-    def ready(self) -> dict[int, Order]:
-        if not hasattr(self, "_ready"):
-            self._ready = {k: Order(*v) for k, v in self.orders.items()}
-        return self._ready
-
-    def log_probabilities(self, points: np.ndarray, begins: np.ndarray, lang_keys: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each symbol after the four before it, under its text's language."""
-        gram = grams(points, begins)
-        lang = mix(np.repeat(lang_keys, np.diff(begins)).astype(np.uint64) + np.uint64(0x1234567))
-        out = np.zeros(len(points), dtype=np.float32)
-        todo = np.arange(len(points))
-        ready = self.ready()
+    def find(self, k: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether order k has each hash, its log-probability and its backoff weight."""
+        hit = np.zeros(len(wanted), dtype=bool)
+        logp, backoff = np.zeros(len(wanted), dtype=np.float32), np.zeros(len(wanted), dtype=np.float32)
+        parts = self.orders[k]
+        of = part_of(wanted, len(parts))
+        for i in np.unique(of):
+            mine = np.flatnonzero(of == i)
+            order = Order(*parts[i].value)
+            if getattr(parts[i], "_path", None):  # a worker would keep the value; it can be read again
+                vars(parts[i]).pop("_value", None)
+            at = order.find(wanted[mine])
+            mine, at = mine[at >= 0], at[at >= 0]
+            hit[mine], logp[mine], backoff[mine] = True, order.logp[at], order.backoff[at]
+        return hit, logp, backoff
+
+    def scores(self, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Scores:
+        """The n-grams of these texts: natural log-probability of the last symbol after the four before it, under the text's language."""
+        gram, lang_key = distinct(texts)
+        out = np.zeros(len(gram), dtype=np.float32)
+        todo = np.arange(len(gram))
         for k in range(ORDER, 0, -1):
-            here, salt = gram[todo], lang[todo]
-            at = ready[k].find(mix((here & np.uint64((1 << BITS * k) - 1)) ^ salt))
-            hit = at >= 0
-            out[todo[hit]] += ready[k].logp[at[hit]]
-            todo, here, salt = todo[~hit], here[~hit], salt[~hit]
             if not len(todo):
-                return out
+                break
+            here, lang = gram[todo], lang_key[todo]
+            hit, logp, _ = self.find(k, entry_hash(lang, here & np.uint64((1 << BITS * k) - 1)))
+            out[todo[hit]] += logp[hit]
+            todo, here, lang = todo[~hit], here[~hit], lang[~hit]
             if k > 1:
                 context = (here >> np.uint64(BITS)) & np.uint64((1 << BITS * (k - 1)) - 1)
-                at = ready[k - 1].find(mix(context ^ salt))
-                out[todo] += np.where(at >= 0, ready[k - 1].backoff[np.maximum(at, 0)], 0) if len(ready[k - 1].hashes) else 0
+                out[todo] += self.find(k - 1, entry_hash(lang, context))[2]
         out[todo] -= np.log(SYMBOLS)
-        if self.roots:
-            of = np.repeat(lang_keys, np.diff(begins))[todo]
-            out[todo] += np.array([self.roots.get(int(x), 0.0) for x in of], dtype=np.float32)
-        return out
+        if self.roots and len(todo):
+            out[todo] += np.array([self.roots.get(int(x), 0.0) for x in lang_key[todo]], dtype=np.float32)
+        return Scores(gram, lang_key, out)
+
+    def log_probabilities(self, points: np.ndarray, begins: np.ndarray, lang_keys: np.ndarray) -> np.ndarray:
+        return self.scores([(points, begins, lang_keys)]).log_probabilities(points, begins, lang_keys)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", slot_bits: int = 21) -> Model:
-    """The model of `docs`, collected one order after another: at most 2**slot_bits rows, and one per language, at a time."""
-    table = stored(estimate(count_grams(docs, text, lang), slot_bits), "ngram-model")
-    orders, roots = {}, {}
-    for order in range(ORDER + 1):
-        rows = table.filter(F.col("k") == order).drop("k").coalesce(1 if order < 2 else 8).toArrow()
-        lang_key, gram, logp, backoff = (rows.column(c).to_numpy() for c in ("lang_key", "gram", "logp", "backoff"))
-        if order:
-            orders[order] = (entry_hash(lang_key, gram.astype(np.uint64)), logp.copy(), backoff.copy())
-        else:
-            roots = {int(x): float(b) for x, b in zip(lang_key, backoff, strict=True)}
-        del rows, lang_key, gram, logp, backoff
-        pa.default_memory_pool().release_unused()
-    return Model(orders, roots)
+def with_hash(entries: DataFrame) -> DataFrame:
+    """k, lang_key, hash, logp, backoff of entries with n-grams."""
+
+    def run(batches):
+        for batch in batches:
+            lang_key, gram = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(entry_hash(lang_key, gram).view(np.int64)), batch.column(3), batch.column(4)],
+                ["k", "lang_key", "hash", "logp", "backoff"],
+            )
+
+    rows = entries.select("k", "lang_key", "gram", "logp", "backoff")
+    return rows.mapInArrow(run, "k int, lang_key long, hash long, logp float, backoff float")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", part: int = PART) -> Model:
+    """The model of `docs`; about `part` entries, and one per language, pass the driver at a time."""
+    entries = with_hash(estimate(count_grams(docs, text, lang)))
+    # sorted, so that the rows of a part are found by the statistics of the files
+    table = stored(entries.repartitionByRange("k", "hash").sortWithinPartitions("k", "hash"), "ngram-model")
+    sizes = {r.k: r["count"] for r in table.groupBy("k").count().collect()}
+    root = table.filter("k = 0").select("lang_key", "backoff").collect()
+    orders: dict[int, list[Broadcast]] = {}
+    for k in range(1, ORDER + 1):
+        parts = max(1, -(-sizes.get(k, 0) // part))
+        begins = part_begins(parts)
+        orders[k] = []
+        for lo, hi in zip([None, *begins], [*begins, None], strict=True):
+            rows = table.filter(F.col("k") == k)
+            rows = rows if lo is None else rows.filter(F.col("hash") >= lo)
+            rows = rows if hi is None else rows.filter(F.col("hash") < hi)
+            found = rows.select("hash", "logp", "backoff").toArrow()
+            arrays = tuple(found.column(c).to_numpy() for c in ("hash", "logp", "backoff"))
+            orders[k].append(docs.sparkSession.sparkContext.broadcast((arrays[0].view(np.uint64), *arrays[1:])))
+            del rows, found, arrays
+            pa.default_memory_pool().release_unused()
+    return Model(orders, {r.lang_key: r.backoff for r in root})

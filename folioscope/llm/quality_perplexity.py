@@ -18,6 +18,7 @@ from folioscope.llm.arrays import SEPARATOR, code_points, mix, per_text, runs, s
 from folioscope.llm.store import stored
 
 PRIOR_CHARS = 300
+GROUP_BYTES = 32_000_000
 FENCE = 3.0
 REPEAT_WINDOW = 5
 SYMBOL = np.zeros(256, dtype=bool)
@@ -63,32 +64,47 @@ def word_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 def measured(docs: DataFrame, model: kneser_ney.Model, text: str = "text", lang: str = "lang") -> DataFrame:
     """Adds the counts, the number of characters scored (n_scored) and the mean negative log-probability (nll)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     added = {**{c: "bigint" for c in COUNTS}, "n_scored": "bigint", "nll": "double"}
     kept = [f for f in docs.schema if f.name not in added]
     names = [f.name for f in kept if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept if f.name != text] + [f"{c} {t}" for c, t in added.items()])
 
-    def measure(batches):
-        model_ = shared.value
+    def symbols(batch):
+        keys = np.array([kneser_ney.language_key(x) for x in batch.column(batch.schema.get_field_index(lang)).to_pylist()], dtype=np.int64)
+        for start, stop, data, offs in slices(batch.column(batch.schema.get_field_index(text))):
+            yield data, offs, (*kneser_ney.symbols(data, offs), keys[start:stop])
+
+    def groups(batches):
+        group, size = [], 0
         for batch in batches:
-            keys = np.array([kneser_ney.language_key(x) for x in batch.column(batch.schema.get_field_index(lang)).to_pylist()], dtype=np.int64)
-            found: dict[str, list] = {c: [] for c in added}
-            for start, stop, data, offs in slices(batch.column(batch.schema.get_field_index(text))):
-                for c, values in word_counts(data, offs).items():
-                    found[c].append(values)
-                points, begins = kneser_ney.symbols(data, offs)
-                logp = model_.log_probabilities(points, begins, keys[start:stop])
-                sums = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
-                n = np.diff(begins)
-                found["n_scored"].append(n)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    found["nll"].append(np.where(n > 0, -(sums[begins[1:]] - sums[begins[:-1]]) / np.maximum(n, 1), np.nan))
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            for c, kind in added.items():
-                values = np.concatenate(found[c]) if found[c] else np.zeros(0)
-                arrays.append(pa.array(values, pa.float64(), from_pandas=True) if kind == "double" else pa.array(values.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
+            group.append(batch)
+            size += batch.column(batch.schema.get_field_index(text)).nbytes
+            if size > GROUP_BYTES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+    def measure(batches):
+        for group in groups(batches):
+            # the model's parts are read once for all texts of a group
+            scores = model.scores(x for batch in group for _, _, x in symbols(batch))
+            for batch in group:
+                found: dict[str, list] = {c: [] for c in added}
+                for data, offs, (points, begins, keys) in symbols(batch):
+                    for c, values in word_counts(data, offs).items():
+                        found[c].append(values)
+                    logp = scores.log_probabilities(points, begins, keys)
+                    sums = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
+                    n = np.diff(begins)
+                    found["n_scored"].append(n)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        found["nll"].append(np.where(n > 0, -(sums[begins[1:]] - sums[begins[:-1]]) / np.maximum(n, 1), np.nan))
+                arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                for c, kind in added.items():
+                    values = np.concatenate(found[c]) if found[c] else np.zeros(0)
+                    arrays.append(pa.array(values, pa.float64(), from_pandas=True) if kind == "double" else pa.array(values.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
 
     return docs.select(*[f.name for f in kept]).mapInArrow(measure, schema)
 

@@ -86,6 +86,20 @@ def test_kneser_ney_equals_plain_estimate(spark):
         assert got.tolist() == pytest.approx([math.log(p(tuple(symbols[i : i + 5]))) for i in range(len(text))], abs=1e-3)
 
 
+def test_no_ngram_is_dropped(spark):
+    rng = np.random.default_rng(5)
+    rows = [("".join(map(chr, rng.integers(97, 123, 400))), lang) for lang, n in (("en", 120), ("fr", 20), (None, 2)) for _ in range(n)]
+    counts = Counter((lang, ("\0" * 4 + t)[i : i + 5]) for t, lang in rows for i in range(len(t)))
+    model = kneser_ney.fit(stored(spark.createDataFrame(rows, "text string, lang string"), "kn"), part=10_000)
+    assert len(model.orders[5]) > 3
+    assert sum(len(part.value[0]) for part in model.orders[5]) == len(counts) > 50_000
+    for lang in ("en", "fr", None):  # every n-gram of the texts is found, those of small languages too
+        texts = [t.encode() for t, x in rows if x == lang]
+        points, begins = kneser_ney.symbols(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+        gram, key = kneser_ney.distinct([(points, begins, np.full(len(texts), kneser_ney.language_key(lang)))])
+        assert model.find(5, kneser_ney.entry_hash(key, gram))[0].all()
+
+
 def test_held_out_accuracy(spark, tiny, docs):
     lang = {d: x for d, _, x in docs}
     rows = all_queries()["op6_language_mixture"](spark, tiny).collect()
