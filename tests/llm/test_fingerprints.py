@@ -280,3 +280,37 @@ def test_fuzzy_passages(spark):
     assert p.source == 0 and abs(p.start - 90) <= 1 and abs(p.stop - 169) <= 1 and abs(p.source_start - 50) <= 1 and p.matches >= 72
     assert rows[2].n_repeated == rows[3].n_repeated == 0
     assert all(r.n_repeated == 80 for r in rows[4:])
+
+
+@pytest.mark.parametrize("first,between,second", [(300, 200, 60), (60, 100, 60), (300, 60, 60), (60, 300, 400), (60, 150, 300)])
+def test_all_passages_of_two_documents(spark, first, between, second):
+    shared = [f"s{i}" for i in range(first + second)]
+    own = lambda k, n: [f"own{k}n{i}" for i in range(n)]
+    texts = [[*own(k, 20), *shared[:first], *own(k + 10, between), *shared[first:], *own(k + 20, 20)] for k in range(2)]
+    rows = run(spark, [" ".join(t) for t in texts], collinear_chains.repeated_passages)
+    if first > between < second:  # one passage, as the words between cost less than either side gives
+        assert [(p.start, p.stop) for p in rows[1].passages] == [(20, 20 + first + between + second)]
+        return
+    at = 20 + first + between
+    assert [(p.start, p.stop) for p in rows[1].passages] == [(20, 20 + first), (at, at + second)]
+    assert rows[1].n_repeated == first + second and rows[0].n_repeats == 2
+
+
+def test_stretches_are_all_maximal():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = list(range(n))
+        c = [x if rng.random() < 0.6 else 1000 + x for x in a]
+        value = [1 if x == y else -1 for x, y in zip(a, c, strict=True)]
+        want, todo = [], [(0, n)]
+        while todo:  # the best range, the shortest of equals; then left and right of it
+            lo, hi = todo.pop()
+            best = max(((sum(value[i:j]), i - j, -i) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0,))
+            if best[0] > 0:
+                i, j = -best[2], -best[2] - best[1]
+                want.append((best[0], i, j))
+                todo += [(lo, i), (j, hi)]
+        got = collinear_chains.stretches(a, c)
+        assert sum(2 * m - (stop - start) for start, stop, _, _, m in got) == sum(v for v, _, _ in want)
+        assert max((2 * m - (stop - start) for start, stop, _, _, m in got), default=0) == max((v for v, _, _ in want), default=0)
