@@ -1,9 +1,8 @@
 """Line dedup by pairwise alignment.
 
 Lines are the \\n-split pieces of a text, compared whole. A document's links go from its lines to the earliest
-document with the same line (a star per line, never all pairs), through rare lines: those in at most `rare` distinct
-texts, and for each document its RAREST rarest repeated lines however frequent, so that large groups of copies are
-linked too. Each linked pair is aligned by patience diff: lines unique in both texts, their longest increasing
+document with the same line (a star per line, never all pairs), however frequent the line is: a document is
+aligned with every different earlier holder of its lines. Each linked pair is aligned by patience diff: lines unique in both texts, their longest increasing
 chain, and the same again between its members, with equal lines joined at both ends. Lines of the later
 document that are aligned with some earlier one are covered; runs of covered lines with `min_words` words or more are
 deleted.
@@ -21,14 +20,12 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.arrays import SEPARATOR, slices, span_hash
 from folioscope.llm.store import stored
 
 RARE = 50
-RAREST = 5
 MIN_WORDS = 10
 LAST = (1 << 63) - 1
 
@@ -83,16 +80,14 @@ def unique_lines(reps: DataFrame) -> DataFrame:
     return reps.select("_key", "_row", "_lines").mapInArrow(run, "hash long, _key long, _row long, pos long")
 
 
-def linked_pairs(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """later, earlier: rows whose lines are to be aligned."""
+def linked_pairs(lines: DataFrame) -> DataFrame:
+    """later, earlier: rows whose lines are to be aligned, a document with each earliest holder of one of its lines."""
     # stored, so that both sides of the join come from exchanges whose large partitions can be split
     first = stored(
         lines.groupBy("hash").agg(F.count("*").alias("df"), F.min(F.struct("_key", "_row")).alias("first"))
-        .filter("df > 1").select("hash", "df", F.col("first._row").alias("earlier")), "line-first",
+        .filter("df > 1").select("hash", F.col("first._row").alias("earlier")), "line-first",
     )
-    links = lines.join(first, "hash").filter("_row <> earlier").select(F.col("_row").alias("later"), "earlier", "df", "hash")
-    rank = F.row_number().over(W.partitionBy("later").orderBy("df", "earlier", "hash"))  # a document's own lines
-    return links.withColumn("_rank", rank).filter((F.col("df") <= rare) | (F.col("_rank") <= RAREST)).select("later", "earlier").distinct()
+    return lines.join(first, "hash").filter("_row <> earlier").select(F.col("_row").alias("later"), "earlier").distinct()
 
 
 def longest_chain(values: list[int]) -> list[int]:
@@ -207,7 +202,8 @@ BLANKS = {c: " " for c in (0x09, 0x0B, 0x0C, 0x0D)}
 
 def without_repeats(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with repeated line blocks cut out of their texts, and n_lines, lines_cut, words_cut, sources
-    (keys of the earlier documents that blocks were aligned with, ascending)."""
+    (keys of the earlier documents that blocks were aligned with, ascending). `rare` is taken for older callers only: lines
+    link however frequent they are."""
     docs = docs.drop("_row", "_key", "_lines", "_covered", "n_lines", "lines_cut", "words_cut", "sources")
     table = stored(with_lines(docs, text).withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LAST))), "lines")
     hashed = table.filter(F.col("_lines").isNotNull()).select("_row", "_key", F.xxhash64("_lines").alias("_h"), F.length("_lines").alias("_n"))
@@ -218,7 +214,7 @@ def without_repeats(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORD
     )
     first_rows = firsts.select(F.col("first._row").alias("_row"))
     reps = stored(table.select("_row", "_key", "_lines").join(first_rows, "_row", "left_semi"), "line-firsts")
-    found = aligned(linked_pairs(unique_lines(reps), rare), reps)
+    found = aligned(linked_pairs(unique_lines(reps)), reps)
     whole = copies.select("later", "earlier", F.array(F.array(F.lit(0).cast("bigint"), F.col("_n"))).alias("covered"))
     keys = table.select(F.col("_row").alias("earlier"), F.col(key).alias("_source"))
     per_doc = (

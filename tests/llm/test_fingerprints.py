@@ -76,6 +76,18 @@ def test_large_groups_of_near_copies_are_linked(spark):
     assert [r.text for r in rows[1:]] == [line(1000 + k) for k in range(1, 80)]
 
 
+def test_frequent_blocks_are_cut_beside_rare_lines(spark):
+    one, other, rare = ([line(k + i) for i in range(8)] for k in (0, 100, 200))
+    texts = [[line(1000), *one], [line(1001), *other], [line(1002), *rare[:6]]]
+    texts += [[line(2000 + 2 * k + i), *block] for k in range(70) for i, block in enumerate((one, other))]
+    texts += [[line(3000), *rare[:6], *one], [line(3001), *one, line(3002), *other]]
+    rows = run(spark, ["\n".join(t) for t in texts], line_patience.without_repeats)
+    assert [r.text for r in rows[:3]] == ["\n".join(t) for t in texts[:3]]
+    assert [r.text for r in rows[3:-2]] == [t[0] for t in texts[3:-2]]
+    assert rows[-2].text == line(3000) and rows[-2].sources == [0, 2]
+    assert rows[-1].text == line(3001) + "\n" + line(3002) and rows[-1].sources == [0, 1]
+
+
 def test_unique_lines_stay_and_exact_copies_go(spark, tiny, docs):
     rows = {r.doc_id: r for r in line_patience.without_repeats(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
     lines = Counter(x for _, t in docs for x in t.split("\n"))
