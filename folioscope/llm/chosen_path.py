@@ -7,7 +7,9 @@ drawn from the bucket's path, 1 / threshold of them on average, so a pair above
 survive every level; buckets of at most `limit` sets are compared by brute force, larger ones split again. `runs`
 independent runs bring the recall of pairs at the threshold to the target. After `depth` splits what is
 still large is mostly one group of near copies: it is compared in random blocks of `limit` sets, the blocks' leaders
-again, differently in every run.
+again, differently in every run. A bucket whose members are one part by then is done; all members of any other are split
+on, and so again, until buckets are small or one part. What is neither after DEEPEST splits is compared whole, in cells
+of two blocks.
 
 Compared sets whose token shares come within SLACK of the threshold are candidates. Only the connected parts of the
 candidates go on: every part's exact shingle sets are compared with each other, in cells of two blocks of CELL sets
@@ -37,6 +39,7 @@ POSITIONS = 128
 RUNS = 8
 LIMIT = 200
 DEPTH = 5
+DEEPEST = 30
 SLACK = 0.13
 CELL = 256
 LAST = (1 << 63) - 1
@@ -163,28 +166,49 @@ def compared(cells: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame
     return together(full, "path", "block").mapInArrow(run, "path long, a long, b long")
 
 
+def met_in_blocks(large: DataFrame, reps: DataFrame, threshold: float, limit: int) -> tuple[list[DataFrame], DataFrame]:
+    """Edges found in random blocks of large buckets, and the rows of those whose members are not one part by then."""
+    edges, heads = [], large
+    for turn in range(3):
+        blocks = F.ceil(F.col("size") / limit)
+        cells = heads.withColumn("block", F.pmod(F.xxhash64("_row", "path", F.lit(turn)), blocks).cast("int"))
+        found = stored(compared(cells, reps, threshold), "blocks")
+        edges.append(found)
+        heads = stored(counted(found.select("path", F.col("b").alias("_row")).distinct()), "paths")
+        if heads.isEmpty():
+            break
+    return edges, large.join(heads.select("path").distinct(), "path", "left_semi")
+
+
+def met_in_pairs(large: DataFrame, reps: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Edges of large buckets whose sets are all compared, in cells of two blocks."""
+    blocks = F.ceil(F.col("size") / limit)
+    dealt = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("_row", "path"), blocks))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    cells = dealt.withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    return compared(cells, reps, threshold)
+
+
 def candidates(reps: DataFrame, threshold: float, runs: int, limit: int, depth: int) -> DataFrame:
     """Edges a, b whose connected parts hold every candidate pair that some run has met."""
     start = reps.select("_row", "_tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])).alias("path"))
     rows = children(start, threshold)
     edges = []
-    for level in range(depth):
+    for level in range(max(depth, DEEPEST)):
         buckets = stored(counted(rows), "paths")
         edges.append(compared(buckets.filter(F.col("size") <= limit).withColumn("block", F.lit(0)), reps, threshold))
         large = buckets.filter(F.col("size") > limit)
         if large.isEmpty():
             break
-        if level + 1 < depth:
-            rows = children(large.join(reps.select("_row", "_tokens"), "_row"), threshold)
-    else:
-        for turn in range(3):
-            blocks = F.ceil(F.col("size") / limit)
-            cells = large.withColumn("block", F.pmod(F.xxhash64("_row", "path", F.lit(turn)), blocks).cast("int"))
-            found = stored(compared(cells, reps, threshold), "blocks")
-            edges.append(found)
-            large = stored(counted(found.select("path", F.col("b").alias("_row")).distinct()), "paths")
+        if level + 1 >= depth:
+            found, large = met_in_blocks(large, reps, threshold, limit)
+            edges += found
+            large = stored(large, "paths")
             if large.isEmpty():
                 break
+        rows = children(large.join(reps.select("_row", "_tokens"), "_row"), threshold)
+    else:
+        edges.append(met_in_pairs(large, reps, threshold, limit))
     return reduce(DataFrame.unionByName, edges).filter("a <> b").select("a", "b").distinct()
 
 

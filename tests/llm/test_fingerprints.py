@@ -224,6 +224,17 @@ def test_large_groups_meet_in_blocks(spark):
     assert sum(r.first_of_class for r in rows) == len({r.class_id for r in rows})
 
 
+def test_what_cannot_be_split_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "DEEPEST", 1, raising=False)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for k in range(60):
+        own = [*base[:50], *(f"own{k}x{i}" for i in range(60)), *base[50:]]
+        texts += [" ".join(own), " ".join([*own[:80], f"edit{k}", *own[81:]])]
+    rows = run(spark, texts, chosen_path.near_duplicates, limit=10, depth=1)
+    assert sum(rows[i].class_id == i - 1 for i in range(1, 120, 2)) == 60
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(3)
     texts, pairs = [], []
