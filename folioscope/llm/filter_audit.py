@@ -78,7 +78,7 @@ def with_repeats(rows: DataFrame) -> DataFrame:
     firsts = rows.groupBy("_same").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     later = F.col("_first").isNotNull() & (F.col("_key").isNull() | (F.col("_key") > F.col("_first")))
     fails = F.col("fails") + F.when(later, F.lit(16)).otherwise(F.lit(0))
-    return rows.join(firsts.hint("shuffle_hash"), "_same", "left").select("_key", "part", fails.alias("fails"))
+    return rows.join(firsts, "_same", "left").select("_key", "part", fails.alias("fails"))
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
