@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import filter_audit, spelling_variants
+from folioscope.llm import filter_audit, personal_data, spelling_variants
 from folioscope.llm.queries import query
 from folioscope.llm.store import documents
 
@@ -83,3 +84,18 @@ SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LE
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the corpus, the frequent form one edit away, and the last form of its chain."""
     return spelling_variants.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op13_personal_data")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the plain rules' spans, and all spans."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = personal_data.find(docs, personal_data.fit(docs)).drop("text")
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    base = F.filter("pii", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("pii")).alias("spans"))
