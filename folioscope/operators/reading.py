@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import responses as rs
+from folioscope.operators.spread import durable
 from folioscope.settings import GROUP_MAX_HEIGHT, GROUP_MAX_LINES
 
 # Wording of the prompt and of progress messages.
@@ -34,6 +36,7 @@ PROMPT_NEIGHBOURS_END = (
 DONE = "Transcrição pronta."
 PARTIAL = "Leitura parcial. "
 NOTHING_TO_READ = "Nenhuma linha vazia para ler."
+NO_JSON = "A resposta não trouxe JSON."
 
 _GROUP = "page_id string, linha_documento int, group_no int"
 
@@ -130,49 +133,78 @@ def build_prompts(
 
 
 Ask = Callable[[str, dict], str]
+Wait = Callable[[float], None]
 
 
-def ask_groups(
-    requests: DataFrame, ask_factory: Callable[[], Ask], attempts: int = 2, wait: Callable[[float], None] = time.sleep
-) -> DataFrame:
-    """Model answers per request; adds answer, or failure when every call raised.
-
-    The factory runs once per task. `ask(prompt, row)` gets the other columns as a dict and
-    returns the raw answer. A failure that may pass is tried again after its kind's pause, `attempts` calls in all.
-    """
-    added = [T.StructField("answer", T.StringType()), T.StructField("failure", T.StringType())]
+def _ask_once(requests: DataFrame, ask_factory: Callable[[], Ask]) -> DataFrame:
+    """One call per request; adds answer, or failure and its kind ('' when it is final)."""
+    added = [T.StructField(name, T.StringType()) for name in ("answer", "failure", "kind")]
     schema = T.StructType([*requests.schema.fields, *added])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = ask_factory()
         for frame in batches:
-            answers, failures = [], []
+            found = []
             for row in frame.to_dict("records"):
-                answer = failure = None
-                for left in reversed(range(attempts)):
-                    try:
-                        answer, failure = ask(row["prompt"], row), None
-                        break
-                    except Exception as exc:  # a failed group is a row, the others go on
-                        failure = str(exc) or exc.__class__.__name__
-                        kind = rs.failure_kind_of(exc)
-                        if not kind:
-                            break
-                        if left:
-                            wait(rs.PAUSES[kind])
-                answers.append(answer)
-                failures.append(failure)
-            yield frame.assign(answer=answers, failure=failures)
+                try:
+                    found.append((ask(row["prompt"], row), None, None))
+                except Exception as exc:  # a failed group is a row, the others go on
+                    found.append((None, str(exc) or exc.__class__.__name__, rs.failure_kind_of(exc)))
+            answers, failures, kinds = zip(*found, strict=True) if found else ((), (), ())
+            yield frame.assign(answer=list(answers), failure=list(failures), kind=list(kinds))
 
     return requests.mapInPandas(call, schema)
 
 
+def _dealt(requests: DataFrame, per_task: int) -> DataFrame:
+    """Requests spread evenly over tasks, by hash of the group, `per_task` or so in each and at least a task per core."""
+    cores = requests.sparkSession.sparkContext.defaultParallelism
+    return requests.repartition(max(cores, -(-requests.count() // per_task)), "page_id", "group_no")
+
+
+def ask_groups(
+    requests: DataFrame, ask_factory: Callable[[], Ask], attempts: int = 2, wait: Wait = time.sleep, per_task: int = 64
+) -> DataFrame:
+    """Model answers per request; adds answer, or failure when every call raised.
+
+    The factory runs once per task. `ask(prompt, row)` gets the other columns as a dict and
+    returns the raw answer. Calls go in rounds. A round's results are written to the checkpoint folder, so later rounds
+    and stages never ask again what is answered, whatever executors are lost meanwhile. Failures that may pass make the
+    next round: those of one kind are asked together after the kind's pause, which the driver waits once per round,
+    counted from the round's end. No task ever waits. `attempts` calls in all; tables may be empty.
+    """
+    left = durable(requests)
+    finished: list[DataFrame] = []
+    for attempt in range(attempts):
+        if attempt == 0:
+            rounds = [durable(_ask_once(_dealt(left, per_task), ask_factory))]
+        else:
+            waited, rounds = 0.0, []
+            for kind in kinds:
+                wait(max(0.0, rs.PAUSES[kind] - waited))
+                waited = max(waited, rs.PAUSES[kind])
+                again = left.filter(F.col("kind") == kind).drop("answer", "failure", "kind")
+                rounds.append(durable(_ask_once(_dealt(again, per_task), ask_factory)))
+        asked = reduce(DataFrame.unionByName, rounds)
+        may_pass = F.coalesce(F.col("kind"), F.lit("")) != ""
+        if attempt + 1 == attempts:
+            finished.append(asked)
+            break
+        kinds = sorted((r["kind"] for r in asked.filter(may_pass).select("kind").distinct().collect()), key=rs.PAUSES.get)  # three kinds at most
+        if not kinds:
+            finished.append(asked)
+            break
+        finished.append(asked.filter(~may_pass))
+        left = asked.filter(may_pass)
+    return reduce(DataFrame.unionByName, finished).drop("kind")
+
+
 def parsed_answers(answered: DataFrame) -> DataFrame:
     """Adds texts (one per line of the group) and turns unreadable answers into failures."""
     found = rs.json_object(rs.after_think(F.coalesce("answer", F.lit(""))))
     held = answered.withColumn("_json", found)
     failure = F.when(F.col("failure").isNotNull(), F.col("failure")).when(
-        F.col("_json").isNull(), "A resposta não trouxe JSON."
+        F.col("_json").isNull(), NO_JSON
     )
     texts = F.when(F.col("_json").isNotNull(), rs.response_texts(F.col("_json"), F.col("lines")))
     return held.withColumns({"failure": failure, "texts": texts}).drop("_json")

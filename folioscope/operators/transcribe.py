@@ -1,6 +1,7 @@
 """Batch transcription end to end: pending lines to texts, with a second reading of gaps."""
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,7 @@ def corrections(
     crops: DataFrame | None = None,
     forms: list[str] | None = None,
     user_id: int | None = None,
+    wait: reading.Wait = time.sleep,
 ) -> DataFrame:
     """Gapped readings looked up among confirmed rows and read again with what was found.
 
@@ -69,7 +71,7 @@ def corrections(
     )
     if crops is not None:
         again = _requests(again, crops, groups)
-    answered = durable(reading.ask_groups(again, ask_factory))
+    answered = reading.ask_groups(again, ask_factory, wait=wait)
     second = reading.line_readings(groups, reading.parsed_answers(answered)).withColumn("group_id", group_id)
     return precedents.merge_reread(first, second.select("group_id", "position", "text")).drop("group_id")
 
@@ -82,10 +84,12 @@ def read_lines(
     table: DataFrame | None = None,
     model_factory: Callable[[], Model] | None = None,
     user_id: int | None = None,
+    wait: reading.Wait = time.sleep,
 ) -> tuple[DataFrame, DataFrame]:
     """(lines with the readings, outcome per page). `table`, the passage index, turns precedents on.
 
-    Answers are written to the checkpoint folder, so that no call is repeated when a later stage is.
+    Answers are written to the checkpoint folder round by round, so that no call is repeated when a later stage is. `wait`
+    is called on the driver with the seconds to wait before a round of repeated calls.
     """
     # Both tables feed several steps.
     pending = durable(review.pending_lines(lines, only_empty))
@@ -97,11 +101,11 @@ def read_lines(
         recent = confirmed_texts(searchable_texts(table, user_id))
         forms = [row["form"] for row in precedents.word_forms(recent).collect()]  # 40 at most
     requests = _requests(reading.build_prompts(groups, gutters, forms), crops, groups)
-    answered = reading.parsed_answers(durable(reading.ask_groups(requests, ask_factory)))
+    answered = durable(reading.parsed_answers(reading.ask_groups(requests, ask_factory, wait=wait)))
     readings = reading.line_readings(groups, answered)
     if table is not None and not readings.filter(has_gap(F.col("text"))).isEmpty():
         readings = corrections(
-            readings, groups, pending, table, ask_factory, model_factory, gutters, crops, forms, user_id
+            readings, groups, pending, table, ask_factory, model_factory, gutters, crops, forms, user_id, wait
         )
     by_line = readings.join(pending.select("page_id", "linha_documento", "line_id"), ["page_id", "linha_documento"])
     written = review.set_line_texts(lines, by_line, only_empty)

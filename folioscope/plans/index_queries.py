@@ -324,11 +324,12 @@ def _gap_inputs(spark, sf):
     return durable(gaps), durable(embedded(spark, table))
 
 
-@query("gap_neighbours", with_desk("SELECT query_id, part_id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS score FROM nearest", **{**HASH_CTES, **GAPS}))
+@query("gap_neighbours", with_desk("""
+SELECT query_id, part_id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS score, neighbour FROM near_texts WHERE neighbour <> ''
+QUALIFY row_number() OVER (PARTITION BY query_id, neighbour ORDER BY rank) = 1""", **{**HASH_CTES, **GAPS}))
 def gap_neighbours(spark, sf):
     gaps, table = _gap_inputs(spark, sf)
-    close = search.knn_join(gaps, table, 4).filter("score >= 0.55")
-    return close.select("query_id", "part_id", "rank", F.round("score", 4).alias("score"))
+    return precedents.gap_neighbours(gaps, table).select("query_id", "part_id", "rank", "score", "neighbour")
 
 
 @query("gap_precedents", with_desk("SELECT group_id, CAST(rank AS INTEGER) AS rank, neighbour FROM listed WHERE rank <= 4", **{**HASH_CTES, **GAPS}))

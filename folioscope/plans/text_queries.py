@@ -136,10 +136,11 @@ ANSWER_TEXT = f"CASE WHEN (t.i - 1) % 5 = 3 THEN '' ELSE {strip_sql('t.t')} END"
 
 
 @query("json_object", f"""
-SELECT conv_id, turn, true AS parsed, CAST(len(string_split(text, chr(10))) AS INTEGER) AS items
-FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 4""")
+SELECT conv_id, turn, true AS parsed, CASE WHEN conv_id % 5 <> 4 THEN CAST(len(string_split(text, chr(10))) AS INTEGER) END AS items
+FROM conversations WHERE role = 'assistant'""")
 def json_object(spark, sf):
-    rows = desk.responses(spark, sf).filter(F.col("conv_id") % 5 != 4)
+    """All answers; those whose list is one string have no items to count."""
+    rows = desk.responses(spark, sf)
     found = rs.json_object(rs.after_think(F.col("response")))
     return rows.select("conv_id", "turn", found.isNotNull().alias("parsed"), F.json_array_length(F.get_json_object(found, "$.linhas")).alias("items"))
 
