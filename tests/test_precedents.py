@@ -1,4 +1,9 @@
+import glob
+import json
+import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,10 +14,23 @@ from folioscope.operators import embedding, precedents, reading, search, transcr
 from conftest import page, rows
 
 
-def test_repeated_forms(spark):
-    texts = ["vendeu Braz tonel", "vendeu Braz vinho", "levou tonel Braz", "vendeu barril Braz", "[ilegível]", "[ilegível]", "[ilegível]"]
-    forms = [r.form for r in precedents.word_forms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
-    assert forms == ["Braz", "vendeu"]
+def plain_forms(texts, least, most):
+    """Words of the texts by how many texts hold them."""
+    held = {}
+    for text in texts:
+        for word in set(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", re.sub(r"(?i)\[ileg[ií]vel\]", " ", text))):
+            if 2 <= len(word) <= 40 and word.lower() not in precedents.STOP_WORDS:
+                held[word] = held.get(word, 0) + 1
+    return sorted(((w, n) for w, n in held.items() if n >= least), key=lambda x: (-x[1], x[0]))[:most]
+
+
+def test_forms_of_random_texts(spark):
+    rnd = random.Random(11)
+    pool = ["d'água", "Óbidos", "óbidos", "x", "de", "DA", "w" * 41, "w" * 40, "[ilegível]", "[ILEGIVEL]", "1815", "moinho2", "légua-e-meia", "ñ’andu", "mó", "reis"]
+    texts = [" ".join(rnd.choices(pool, k=rnd.randrange(9))) for _ in range(80)] + ["", " "]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    for least, most in ((1, 100), (9, 3)):
+        assert [tuple(r) for r in precedents.word_forms(table, least, most).collect()] == plain_forms(texts, least, most)
 
 
 def vectors(spark, n, width=8, seed=3):
@@ -86,28 +104,44 @@ def test_wrong_vector_size_stops_the_job(spark):
         embedding.embed_texts(df, lambda: lambda texts: [[0.0] for _ in texts], width=2).collect()
 
 
-def test_gap_uses_a_confirmed_neighbour_and_stays_a_draft(spark):
-    lines = page(spark, ("gap", (20, 30, 300, 70), True, [("pt_gap", "")]))
-    pages = spark.createDataFrame([("p001", 360, 180)], "page_id string, width int, height int")
-    confirmed = [(f"c{i}", t, True) for i, t in enumerate(["recebeu tonel grande vinho", "recebeu tonel grande azeite", "recebeu tonel grande sal"])]
-    table = embedding.embed_texts(
-        spark.createDataFrame(confirmed + [("pt_gap", "recebeu tonel vinho", True)], "part_id string, text string, confirmed boolean")
-    ).withColumns({"user_id": F.lit(None).cast("bigint"), "updated_at": F.current_timestamp()})
+def test_second_reading_over_several_groups(spark):
+    """Two pages and three read groups: gaps that share a neighbour, a group whose second answer is short, one without precedents."""
+    firsts = {
+        ("p001", 1): ["casa [ilegível] do rio fundo", "sem falha nenhuma", "ponte [ILEGIVEL] da serra alta"],
+        ("p001", 2): ["casa velha [ilegível] rio fundo", "outra [ilegível] linha do rio fundo"],
+        ("p002", 1): ["[ilegível] qualquer coisa distinta"],
+    }
+    seconds = {("p001", 1): ["casa nova do rio fundo", "nunca usada", " "], ("p001", 2): ["só uma"], ("p002", 1): ["nem pedida"]}
+    boxes = {"p001": [(f"a{i}", (0, 60 * i, 200, 60 * i + 40)) for i in range(3)] + [(f"b{i}", (0, 600 + 60 * i, 200, 640 + 60 * i)) for i in range(2)], "p002": [("c0", (0, 0, 200, 40))]}
+    lines = None
+    for page_id, held in boxes.items():
+        more = page(spark, *[(i, box, True, [(f"pt_{page_id}_{i}", "")]) for i, box in held], page_id=page_id)
+        lines = more if lines is None else lines.unionByName(more)
+    pages = spark.createDataFrame([("p001", 300, 900), ("p002", 300, 900)], "page_id string, width int, height int")
+    known = [("k1", "casa velha do rio fundo", True), ("k2", "ponte nova da serra alta", True), ("k3", "casa  velha do rio fundo", True), ("k4", "outra casa do rio fundo", False)]
+    table = embedding.embed_texts(spark.createDataFrame(known, "part_id string, text string, confirmed boolean")).withColumns(
+        {"user_id": F.lit(None).cast("bigint"), "updated_at": F.current_timestamp()}
+    )
 
     def factory():
         def ask(prompt, row):
+            key = (row["page_id"], row["group_no"])
             if "fraseado parecido" not in prompt:
-                assert "tonel" in prompt  # a repeated form
-                return '{"linhas": ["recebeu tonel [ilegível] vinho"]}'
-            assert "- recebeu tonel grande vinho" in prompt and "- recebeu tonel vinho" not in prompt
-            return '{"linhas": ["recebeu tonel grande vinho"]}'
+                return json.dumps({"linhas": firsts[key]})
+            assert prompt.count("- casa velha do rio fundo") == 1 and "outra casa do rio fundo" not in prompt
+            assert ("- ponte nova da serra alta" in prompt) == (key == ("p001", 1))
+            return json.dumps({"linhas": seconds[key]} if key != ("p001", 2) else {"linhas": None})
 
         return ask
 
     out, outcome = transcribe.read_lines(lines, pages, factory, table=table)
-    part = out.first().parts[0]
-    assert (part.text, part.confirmed) == ("recebeu tonel grande vinho", False)
-    assert outcome.first().status == "done"
+    texts = {(r.page_id, r.line_id): (r.parts[0].text, r.parts[0].confirmed) for r in out.collect()}
+    assert texts == {
+        ("p001", "a0"): ("casa nova do rio fundo", False), ("p001", "a1"): ("sem falha nenhuma", False), ("p001", "a2"): ("ponte [ILEGIVEL] da serra alta", False),
+        ("p001", "b0"): ("casa velha [ilegível] rio fundo", False), ("p001", "b1"): ("outra [ilegível] linha do rio fundo", False),
+        ("p002", "c0"): ("[ilegível] qualquer coisa distinta", False),
+    }
+    assert {r.status for r in outcome.collect()} == {"done"}
 
 
 def test_a_failed_group_leaves_the_others(spark):
@@ -130,27 +164,35 @@ def test_a_failed_group_leaves_the_others(spark):
     assert found.message == "Leitura parcial. D-001 a D-008: caiu a rede"
 
 
-def test_failures_that_may_pass_are_tried_again(spark, tmp_path):
-    requests = spark.createDataFrame([("p001", 1, "a"), ("p001", 2, "b"), ("p001", 3, "c")], "page_id string, group_no int, prompt string").coalesce(1)
+def test_rounds_of_repeated_calls(spark, tmp_path):
+    """Kinds wait once each, on the driver; nothing that is answered or final is asked again; requests are dealt out."""
     folder = str(tmp_path)
+    errors = {"slow": "timed out", "dead": "model runner has unexpectedly stopped", "final": "mal formado"}
+    requests = spark.createDataFrame(
+        [("p001", n, f"{kind}-{n}") for n, kind in enumerate(["fine", "slow", "dead", "final", "never"] * 40)], "page_id string, group_no int, prompt string"
+    ).coalesce(1)
 
     def factory():
-        seen = {}
-
         def ask(prompt, row):
-            seen[prompt] = seen.get(prompt, 0) + 1
-            with open(f"{folder}/{prompt}", "w") as f:
-                f.write(str(seen[prompt]))
-            if prompt == "a" and seen[prompt] == 1:
-                raise TimeoutError("timed out")
-            if prompt == "b":
-                raise TimeoutError("timed out again")
-            if prompt == "c":
-                raise ValueError("mal formado")
-            return "ok"
+            asked = len(glob.glob(f"{folder}/{prompt}.*"))
+            open(f"{folder}/{prompt}.{asked}.{os.getpid()}.{row['group_no'] // 64}", "w").close()
+            kind = prompt.split("-")[0]
+            if kind == "never" or (kind in errors and (asked == 0 or kind == "final")):
+                raise RuntimeError(errors.get(kind, "timed out"))
+            return f"{prompt} {asked}"
 
         return ask
 
-    out = {r.prompt: (r.answer, r.failure) for r in reading.ask_groups(requests, factory, 3, wait=lambda seconds: None).collect()}
-    assert out == {"a": ("ok", None), "b": (None, "timed out again"), "c": (None, "mal formado")}
-    assert {p: (tmp_path / p).read_text() for p in "abc"} == {"a": "2", "b": "3", "c": "1"}
+    waits = []
+    out = {r.prompt: (r.answer, r.failure) for r in reading.ask_groups(requests, factory, 3, wait=waits.append, per_task=16).collect()}
+    calls = Counter(os.path.basename(f).split(".")[0].split("-")[0] for f in glob.glob(f"{folder}/*"))
+    assert len(out) == 200 and calls == {"fine": 40, "slow": 80, "dead": 80, "final": 40, "never": 120}
+    assert all(out[f"fine-{n}"] == (f"fine-{n} 0", None) for n in range(0, 200, 5))
+    assert all(out[f"{k}-{n}"] == (f"{k}-{n} 1", None) for at, k in ((1, "slow"), (2, "dead")) for n in range(at, 200, 5))
+    assert out["final-3"] == (None, "mal formado") and out["never-4"] == (None, "timed out")
+    # first round: 20 s for what timed out, 25 more for the runner; second round: 20 s for what never comes
+    assert waits == [20.0, 25.0, 20.0]
+    dealt = reading._dealt(requests, 16)
+    sizes = [len(list(p)) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == max(13, spark.sparkContext.defaultParallelism) and max(sizes) < 45
+    assert reading.ask_groups(requests.limit(0), factory, wait=waits.append).collect() == []
