@@ -4,12 +4,15 @@ Sets are shingles of `words` words, hashed. Equal sets are one class with one me
 embedded as POSITIONS minhash tokens (position, value): the share of tokens two sets have in common is an
 estimate of their Jaccard similarity. Each run starts a bucket of all sets and splits it by the values at positions
 drawn from the bucket's path, 1 / threshold of them on average, so a pair above the threshold is expected to
-survive every level; buckets of at most `limit` sets are compared by brute force, larger ones split again. `runs`
-independent runs bring the recall of pairs at the threshold to the target. After `depth` splits what is
-still large is mostly one group of near copies: it is compared in random blocks of `limit` sets, the blocks' leaders
-again, differently in every run. A bucket whose members are one part by then is done; all members of any other are split
-on, and so again, until buckets are small or one part. What is neither after DEEPEST splits is compared whole, in cells
-of two blocks.
+survive every level; buckets of at most `limit` sets are compared by brute force, larger ones split again. Before a large
+bucket is split, at every level, it is compared in random blocks of `limit` sets, and the blocks' leaders among
+themselves. A bucket whose members are one part by then (a group of near copies) is done; all members of any
+other are split on, until buckets are small or one part. What is neither after DEEPEST splits is compared whole, in
+cells of two blocks.
+
+Runs come in rounds of `runs`, repeated until the target recall: two rounds are independent draws, so the share of the sets with
+a candidate in one round that have one in the other estimates each round's recall, and that of all rounds together
+(`recall_of`). Rounds go on until the estimate reaches `recall`, `most_rounds` at most.
 
 Compared sets whose token shares come within SLACK of the threshold are candidates. Only the connected parts of the
 candidates go on: every part's exact shingle sets are compared with each other, in cells of two blocks of CELL sets
@@ -36,12 +39,13 @@ from folioscope.llm.store import stored
 WORDS = 5
 THRESHOLD = 0.8
 POSITIONS = 128
-RUNS = 8
+RUNS = 4
+RECALL = 0.995
+MOST_ROUNDS = 8
 LIMIT = 200
-DEPTH = 5
 DEEPEST = 30
 SLACK = 0.13
-CELL = 256
+CELL = 512
 LAST = (1 << 63) - 1
 
 
@@ -168,16 +172,15 @@ def compared(cells: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame
 
 def met_in_blocks(large: DataFrame, reps: DataFrame, threshold: float, limit: int) -> tuple[list[DataFrame], DataFrame]:
     """Edges found in random blocks of large buckets, and the rows of those whose members are not one part by then."""
-    edges, heads = [], large
-    for turn in range(3):
-        blocks = F.ceil(F.col("size") / limit)
-        cells = heads.withColumn("block", F.pmod(F.xxhash64("_row", "path", F.lit(turn)), blocks).cast("int"))
-        found = stored(compared(cells, reps, threshold), "blocks")
-        edges.append(found)
-        heads = stored(counted(found.select("path", F.col("b").alias("_row")).distinct()), "paths")
-        if heads.isEmpty():
-            break
-    return edges, large.join(heads.select("path").distinct(), "path", "left_semi")
+    blocks = F.ceil(F.col("size") / limit)
+    cells = large.withColumn("block", F.pmod(F.xxhash64("_row", "path", F.lit(0)), blocks).cast("int"))
+    edges = [stored(compared(cells, reps, threshold), "blocks")]
+    heads = stored(counted(edges[0].select("path", F.col("b").alias("_row")).distinct()), "paths")
+    # Leaders are compared again where blocks have shrunk to a few; elsewhere the next split does more.
+    few = heads.filter(F.col("size") <= limit)
+    met = stored(compared(few.withColumn("block", F.lit(0)), reps, threshold), "leaders")
+    open_ = heads.filter(F.col("size") > limit).select("path").unionByName(counted(met.select("path", F.col("b").alias("_row")).distinct()).select("path"))
+    return [*edges, met], large.join(open_.distinct(), "path", "left_semi")
 
 
 def met_in_pairs(large: DataFrame, reps: DataFrame, threshold: float, limit: int) -> DataFrame:
@@ -189,27 +192,46 @@ def met_in_pairs(large: DataFrame, reps: DataFrame, threshold: float, limit: int
     return compared(cells, reps, threshold)
 
 
-def candidates(reps: DataFrame, threshold: float, runs: int, limit: int, depth: int) -> DataFrame:
-    """Edges a, b whose connected parts hold every candidate pair that some run has met."""
-    start = reps.select("_row", "_tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])).alias("path"))
+def one_round(reps: DataFrame, threshold: float, runs: range, limit: int) -> DataFrame:
+    """Edges a, b met in these runs."""
+    start = reps.select("_row", "_tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs])).alias("path"))
     rows = children(start, threshold)
     edges = []
-    for level in range(max(depth, DEEPEST)):
+    for _ in range(DEEPEST):
         buckets = stored(counted(rows), "paths")
         edges.append(compared(buckets.filter(F.col("size") <= limit).withColumn("block", F.lit(0)), reps, threshold))
         large = buckets.filter(F.col("size") > limit)
         if large.isEmpty():
             break
-        if level + 1 >= depth:
-            found, large = met_in_blocks(large, reps, threshold, limit)
-            edges += found
-            large = stored(large, "paths")
-            if large.isEmpty():
-                break
+        found, large = met_in_blocks(large, reps, threshold, limit)
+        edges += found
+        large = stored(large, "paths")
+        if large.isEmpty():
+            break
         rows = children(large.join(reps.select("_row", "_tokens"), "_row"), threshold)
     else:
         edges.append(met_in_pairs(large, reps, threshold, limit))
-    return reduce(DataFrame.unionByName, edges).filter("a <> b").select("a", "b").distinct()
+    return stored(reduce(DataFrame.unionByName, edges).filter("a <> b").select("a", "b").distinct(), "met")
+
+
+def recall_of(rounds: list[DataFrame]) -> float:
+    """Estimated share of the sets with a candidate that the rounds together have found, from how far the last two agree."""
+    first, second = (
+        e.select("a").unionByName(e.select(F.col("b").alias("a"))).distinct().withColumn(c, F.lit(1)) for e, c in zip(rounds[-2:], ("in_1", "in_2"), strict=True)
+    )
+    n = first.join(second, "a", "full").agg(F.count("in_1").alias("n1"), F.count("in_2").alias("n2"), F.count_if(F.expr("in_1 = 1 and in_2 = 1")).alias("both")).first()
+    if not n["n1"] and not n["n2"]:
+        return 1.0
+    missed = (1 - n["both"] / max(n["n2"], 1)) * (1 - n["both"] / max(n["n1"], 1))
+    return 1 - missed ** (len(rounds) / 2)
+
+
+def candidates(reps: DataFrame, threshold: float, runs: int, limit: int, recall: float = RECALL, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Edges a, b whose connected parts hold every candidate pair that some run has met."""
+    rounds: list[DataFrame] = []
+    while len(rounds) < 2 or (len(rounds) < most_rounds and recall_of(rounds) < recall):
+        rounds.append(one_round(reps, threshold, range(runs * len(rounds), runs * (len(rounds) + 1)), limit))
+    return reduce(DataFrame.unionByName, rounds).distinct()
 
 
 def exact_links(members: DataFrame, size: int, threshold: float, text: str) -> DataFrame:
@@ -278,8 +300,8 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> tuple[np.ndarr
 
 
 def near_duplicates(
-    docs: DataFrame, words_: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS, limit: int = LIMIT, depth: int = DEPTH,
-    key: str = "doc_id", text: str = "text",
+    docs: DataFrame, words_: int = WORDS, threshold: float = THRESHOLD, runs: int = RUNS, limit: int = LIMIT,
+    key: str = "doc_id", text: str = "text", recall: float = RECALL,
 ) -> DataFrame:
     """The rows of `docs` with class_id (the smallest key in its connected group of links and equal sets), copy_of (the
     smallest key with an equal set), n_copies (rows with an equal set) and n_links (other sets linked to its own), and
@@ -293,7 +315,7 @@ def near_duplicates(
     )
     rep_rows = same.select(F.col("_first._row").alias("_row"))
     reps = stored(table.select("_row", "_n", "_tokens", "_short").join(rep_rows, "_row", "left_semi"), "set-firsts")
-    parts = components(candidates(reps, threshold, runs, limit, depth))
+    parts = components(candidates(reps, threshold, runs, limit, recall))
     sized = parts.groupBy("component").agg(F.count("*").alias("part_size"))
     members = parts.join(sized, "component").select(F.col("vertex").alias("_row"), F.col("component").alias("part"), "part_size")
     # Members may be any share of all rows: nothing bounds them, so they are merged and never broadcast.

@@ -217,7 +217,7 @@ def test_large_groups_meet_in_blocks(spark):
         texts.append(" ".join(words))
     for k in range(300):  # one common passage of 60 words, otherwise different
         texts.append(" ".join([*base[:60], *(f"own{k}x{i}" for i in range(120))]))
-    rows = run(spark, texts, chosen_path.near_duplicates, limit=40, depth=2)
+    rows = run(spark, texts, chosen_path.near_duplicates, limit=40)
     classes, links = brute_force(texts)
     assert sum(r.class_id == c for r, c in zip(rows, classes, strict=True)) >= 0.995 * len(texts)
     assert sum(r.n_links == n for r, n in zip(rows, links, strict=True)) >= 0.99 * len(texts)
@@ -231,7 +231,7 @@ def test_what_cannot_be_split_is_compared_whole(spark, monkeypatch):
     for k in range(60):
         own = [*base[:50], *(f"own{k}x{i}" for i in range(60)), *base[50:]]
         texts += [" ".join(own), " ".join([*own[:80], f"edit{k}", *own[81:]])]
-    rows = run(spark, texts, chosen_path.near_duplicates, limit=10, depth=1)
+    rows = run(spark, texts, chosen_path.near_duplicates, limit=10)
     assert sum(rows[i].class_id == i - 1 for i in range(1, 120, 2)) == 60
 
 
