@@ -337,3 +337,21 @@ def test_stretches_are_all_maximal():
         got = collinear_chains.stretches(a, c)
         assert sum(2 * m - (stop - start) for start, stop, _, _, m in got) == sum(v for v, _, _ in want)
         assert max((2 * m - (stop - start) for start, stop, _, _, m in got), default=0) == max((v for v, _, _ in want), default=0)
+
+
+@pytest.mark.parametrize("length,every,least", [(30, 0, 0.93), (33, 0, 0.93), (60, 10, 0.93), (60, 8, 0.9), (80, 10, 0.95), (100, 8, 0.97)])
+def test_recall_of_passages_with_evenly_spread_edits(spark, length, every, least):
+    """Pairs of documents that share one passage, every so many words of it changed in the later one."""
+    rng = np.random.default_rng(length + every)
+    pairs, texts = 150, []
+    for k in range(pairs):
+        passage = [f"s{k}w{i}" for i in range(length)]
+        shift = int(rng.integers(0, every)) if every else 0
+        edited = [f"e{k}w{i}" if every and (i + shift) % every == every - 1 else w for i, w in enumerate(passage)]
+        for side, middle in enumerate((passage, edited)):
+            texts.append(" ".join([*(f"o{k}{side}a{i}" for i in range(60)), *middle, *(f"o{k}{side}b{i}" for i in range(60))]))
+    rows = run(spark, texts, lambda d: collinear_chains.repeated_passages(d, min_words=25))
+    assert all(r.n_repeated == 0 for r in rows[::2])
+    found = sum(any(p.source == 2 * k and p.start < 60 + length and p.stop > 60 for p in rows[2 * k + 1].passages) for k in range(pairs))
+    covered = [r.n_repeated for r in rows[1::2] if r.passages]
+    assert found >= least * pairs and min(covered) >= 0.6 * length and max(covered) <= length + 4
