@@ -42,7 +42,7 @@ POSITIONS = 128
 RUNS = 4
 RECALL = 0.995
 MOST_ROUNDS = 8
-LIMIT = 200
+LIMIT = 2000
 DEEPEST = 30
 SLACK = 0.13
 CELL = 512
@@ -120,14 +120,14 @@ def with_sets(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def children(rows: DataFrame, threshold: float) -> DataFrame:
-    """path, _row after one split. Rows carry path and _tokens."""
+    """round, path, _row after one split. Rows carry round, path and _tokens."""
     split = F.pmod(F.xxhash64("path", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * (1 / threshold - 1))
 
     def child(k: int):
         position = F.pmod(F.xxhash64("path", F.lit(k)), F.lit(POSITIONS)).cast("int")
         return F.xxhash64("path", F.lit(k), position, F.element_at("_tokens", position + 1))
 
-    return rows.select("_row", F.explode(F.when(split, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("path"))
+    return rows.select("round", "_row", F.explode(F.when(split, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("path"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -137,14 +137,14 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def compared(cells: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
-    """path, a (a row), b (the smallest row its candidates in the cell lead to), for all rows of cells path, block."""
+    """round, path, a (a row), b (the smallest row its candidates in the cell lead to), for all rows of cells path, block."""
     least = threshold - SLACK
     # equal bytes are the tokens in common and a 256th of the others
     need = int(np.ceil(POSITIONS * (least + (1 - least) / 256)))
 
     def run(batches):
         for table, at in whole_groups(batches, "path", "block"):
-            row, path, n = (table.column(c).to_numpy() for c in ("_row", "path", "_n"))
+            row, path, n, round_ = (table.column(c).to_numpy() for c in ("_row", "path", "_n", "round"))
             short = np.frombuffer(b"".join(table.column("_short").to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
             leader = row.copy()
             for lo, hi in zip(at[:-1], at[1:], strict=True):
@@ -164,10 +164,10 @@ def compared(cells: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame
                 smallest = np.full(hi - lo, np.iinfo(np.int64).max)
                 np.minimum.at(smallest, label, row[lo:hi])
                 leader[lo:hi] = smallest[label]
-            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(row), pa.array(leader)], ["path", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(round_), pa.array(path), pa.array(row), pa.array(leader)], ["round", "path", "a", "b"])
 
-    full = cells.join(tokens.select("_row", "_n", "_short"), "_row").select("path", "block", "_row", "_n", "_short")
-    return together(full, "path", "block").mapInArrow(run, "path long, a long, b long")
+    full = cells.join(tokens.select("_row", "_n", "_short"), "_row").select("round", "path", "block", "_row", "_n", "_short")
+    return together(full, "path", "block").mapInArrow(run, "round int, path long, a long, b long")
 
 
 def met_in_blocks(large: DataFrame, reps: DataFrame, threshold: float, limit: int) -> tuple[list[DataFrame], DataFrame]:
@@ -175,7 +175,7 @@ def met_in_blocks(large: DataFrame, reps: DataFrame, threshold: float, limit: in
     blocks = F.ceil(F.col("size") / limit)
     cells = large.withColumn("block", F.pmod(F.xxhash64("_row", "path", F.lit(0)), blocks).cast("int"))
     edges = [stored(compared(cells, reps, threshold), "blocks")]
-    heads = stored(counted(edges[0].select("path", F.col("b").alias("_row")).distinct()), "paths")
+    heads = stored(counted(edges[0].select("round", "path", F.col("b").alias("_row")).distinct()), "paths")
     # Leaders are compared again where blocks have shrunk to a few; elsewhere the next split does more.
     few = heads.filter(F.col("size") <= limit)
     met = stored(compared(few.withColumn("block", F.lit(0)), reps, threshold), "leaders")
@@ -192,26 +192,29 @@ def met_in_pairs(large: DataFrame, reps: DataFrame, threshold: float, limit: int
     return compared(cells, reps, threshold)
 
 
-def one_round(reps: DataFrame, threshold: float, runs: range, limit: int) -> DataFrame:
-    """Edges a, b met in these runs."""
-    start = reps.select("_row", "_tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs])).alias("path"))
-    rows = children(start, threshold)
+def met(reps: DataFrame, threshold: float, runs: int, rounds: range, limit: int) -> list[DataFrame]:
+    """Edges a, b met in each of these rounds of `runs` runs. All runs go through the levels together."""
+    draws = [F.struct(F.lit(r).alias("round"), F.xxhash64(F.lit(f"run {r * runs + k}")).alias("path")) for r in rounds for k in range(runs)]
+    start = reps.select("_row", "_tokens", F.explode(F.array(*draws)).alias("_d")).select("_row", "_tokens", "_d.round", "_d.path")
     edges = []
-    for _ in range(DEEPEST):
+    rows = children(start, threshold)
+    for level in range(DEEPEST):
         buckets = stored(counted(rows), "paths")
         edges.append(compared(buckets.filter(F.col("size") <= limit).withColumn("block", F.lit(0)), reps, threshold))
         large = buckets.filter(F.col("size") > limit)
         if large.isEmpty():
             break
-        found, large = met_in_blocks(large, reps, threshold, limit)
-        edges += found
-        large = stored(large, "paths")
-        if large.isEmpty():
-            break
+        if level:
+            found, large = met_in_blocks(large, reps, threshold, limit)
+            edges += found
+            large = stored(large, "paths")
+            if large.isEmpty():
+                break
         rows = children(large.join(reps.select("_row", "_tokens"), "_row"), threshold)
     else:
         edges.append(met_in_pairs(large, reps, threshold, limit))
-    return stored(reduce(DataFrame.unionByName, edges).filter("a <> b").select("a", "b").distinct(), "met")
+    found = stored(reduce(DataFrame.unionByName, edges).filter("a <> b").select("round", "a", "b").distinct(), "met")
+    return [found.filter(F.col("round") == r).select("a", "b") for r in rounds]
 
 
 def recall_of(rounds: list[DataFrame]) -> float:
@@ -228,10 +231,10 @@ def recall_of(rounds: list[DataFrame]) -> float:
 
 def candidates(reps: DataFrame, threshold: float, runs: int, limit: int, recall: float = RECALL, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Edges a, b whose connected parts hold every candidate pair that some run has met."""
-    rounds: list[DataFrame] = []
-    while len(rounds) < 2 or (len(rounds) < most_rounds and recall_of(rounds) < recall):
-        rounds.append(one_round(reps, threshold, range(runs * len(rounds), runs * (len(rounds) + 1)), limit))
-    return reduce(DataFrame.unionByName, rounds).distinct()
+    found = met(reps, threshold, runs, range(2), limit)
+    while len(found) < most_rounds and recall_of(found) < recall:
+        found += met(reps, threshold, runs, range(len(found), len(found) + 1), limit)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def exact_links(members: DataFrame, size: int, threshold: float, text: str) -> DataFrame:
