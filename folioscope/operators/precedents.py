@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
 from folioscope.operators.search import knn_join
+from folioscope.operators.threshold import threshold_join
 from folioscope.settings import (
     MAX_FORMS,
     MAX_NEIGHBOURS,
@@ -42,13 +43,17 @@ def gap_queries(rows: DataFrame) -> DataFrame:
     return rows.filter(tx.has_gap(F.col("text"))).withColumn("query", query).filter(F.length("query") >= MIN_GAP_QUERY_CHARS)
 
 
-def gap_neighbours(gaps: DataFrame, table: DataFrame, **blocks) -> DataFrame:
+def gap_neighbours(gaps: DataFrame, table: DataFrame, sparse: bool = False, **blocks) -> DataFrame:
     """Close confirmed rows per gapped row: (query_id, part_id, rank, score, neighbour).
 
     gaps: query_id, vector, group_id; table: part_id, embedding, group_id, text. Rows of the
-    group that is being read are not neighbours.
+    group that is being read are not neighbours. `sparse` scores only rows that share a rare enough dimension,
+    which pays where most of a vector's norm lies in rare words; otherwise all pairs are scored. The rows are the same.
     """
-    close = knn_join(gaps, table, MAX_NEIGHBOURS, **blocks).withColumn("score", F.round("score", 4)).filter(F.col("score") >= MIN_NEIGHBOUR_SCORE)
+    # the score is rounded to four decimals before it is compared
+    join = (lambda *sides: threshold_join(*sides, MIN_NEIGHBOUR_SCORE - 6e-5, MAX_NEIGHBOURS, **blocks)) if sparse else (lambda *sides: knn_join(*sides, MAX_NEIGHBOURS, **blocks))
+    near = join(gaps, table)
+    close = near.withColumn("score", F.round("score", 4)).filter(F.col("score") >= MIN_NEIGHBOUR_SCORE)
     texts = table.select("part_id", F.substring(tx.squeeze(F.col("text")), 1, NEIGHBOUR_CHARS).alias("neighbour"))
     found = close.join(texts, "part_id").filter("neighbour <> ''")
     once = W.partitionBy("query_id", "neighbour").orderBy("rank")

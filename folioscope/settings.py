@@ -27,3 +27,4 @@ DEFAULT_SENSITIVITY = 0.55
 QUERY_BLOCK = 8_192           # query vectors per block of a similarity join (25 MB at 768 floats)
 VECTOR_BLOCK = 32_768         # stored vectors per block of a similarity join (100 MB at 768 floats)
 SCORE_BLOCK = 1_024           # stored vectors scored at a time inside a task
+LIST_BLOCK = 8_192            # rows of one dimension's list multiplied at a time in a threshold join

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions.responses import failure_kind, json_object, parse_embeddings, response_texts
-from folioscope.operators import embedding, precedents, reading, search, transcribe
+from folioscope.operators import embedding, precedents, reading, search, threshold, transcribe
 from conftest import page, rows
 
 
@@ -196,3 +196,33 @@ def test_rounds_of_repeated_calls(spark, tmp_path):
     sizes = [len(list(p)) for p in dealt.rdd.glom().collect()]
     assert len(sizes) == max(13, spark.sparkContext.defaultParallelism) and max(sizes) < 45
     assert reading.ask_groups(requests.limit(0), factory, wait=waits.append).collect() == []
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_threshold_join_equals_all_pairs(spark, block):
+    rnd = random.Random(8)
+    vector = lambda: [float(rnd.choice([0] * 9 + [1, 1, 2, 5])) for _ in range(40)]
+    data = [(f"v{i:03d}", vector(), f"g{i % 7}") for i in range(260)] + [("zero", [0.0] * 40, "z"), ("none", None, "z"), ("twin", None, None)]
+    data[-1] = ("twin", data[0][1], None)
+    queries = spark.createDataFrame([("q" + i, v, g) for i, v, g in data[:80] + data[-3:]], "query_id string, vector array<float>, group_id string")
+    table = spark.createDataFrame(data, "part_id string, embedding array<float>, group_id string")
+    everything = search.knn_join(queries, table, len(data), width=40)
+    for least, k in ((0.55, 4), (0.7, 3), (0.2, 6)):
+        found = threshold.threshold_join(queries, table, least, k, width=40, block=block)
+        want = everything.filter((F.col("score") >= least) & (F.col("rank") <= k))
+        assert rows(found, "query_id", "rank", "part_id", "score") == rows(want, "query_id", "rank", "part_id", "score")
+    assert threshold.threshold_join(queries.limit(0), table, 0.5, width=40).collect() == []
+    assert threshold.threshold_join(queries, table.limit(0), 0.5, width=40).collect() == []
+
+
+def test_few_pairs_are_scored(spark):
+    """Where words are rare, lists are short; and both ways give the same neighbours."""
+    rnd = random.Random(3)
+    vector = lambda: [float(v) for v in np.bincount([rnd.randrange(300) for _ in range(12)], minlength=300)]
+    data = [(f"v{i:04d}", vector(), f"g{i % 9}", f"t{i}") for i in range(900)]
+    data += [(f"w{i:04d}", [x + (k == 7) for k, x in enumerate(data[i][1])], "h", f"t{i}") for i in range(300)]
+    table = spark.createDataFrame(data, "part_id string, embedding array<float>, group_id string, text string")
+    gaps = table.filter("part_id < 'v0400'").select(F.col("part_id").alias("query_id"), F.col("embedding").alias("vector"), "group_id")
+    assert 300 <= threshold.prefix_index(gaps, table, 0.55).scored_pairs() < 0.35 * 400 * 1200
+    columns = ["query_id", "part_id", "rank", "score", "neighbour"]
+    assert rows(precedents.gap_neighbours(gaps, table, sparse=True), *columns) == rows(precedents.gap_neighbours(gaps, table), *columns)
