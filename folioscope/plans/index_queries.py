@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
-from folioscope.operators import embedding, numbering, passages as px, precedents, reading, review, search, transcribe
+from folioscope.operators import embedding, numbering, passages as px, precedents, reading, review, search, transcribe, vector_index
 from folioscope.operators.spread import checkpoint_dir, durable
 from folioscope.plans import desk
 from folioscope.plans.desk_sql import fold_sql, squeeze_sql, with_desk, written_sql
@@ -196,6 +196,21 @@ def vector_search(spark, sf):
     return search.vector_search(desk.index_vectors(spark, sf), _query_vector(spark, sf), 12, user_id=1).select("part_id", "score")
 
 
+@query("vector_search_lists", with_desk(f"""
+SELECT part_id, {SHOWN} AS score FROM (
+  SELECT v.part_id, {COSINE} AS s FROM index_vectors v, (SELECT embedding FROM index_vectors ORDER BY vec_id LIMIT 1) q
+  WHERE v.user_id = 1 OR v.user_id IS NULL)
+ORDER BY s DESC, part_id LIMIT 12"""))
+def vector_search_lists(spark, sf):
+    """The same search over inverted lists of every stored row, all of them opened and all rows re-ranked, so that nothing may differ."""
+    table = desk.index_vectors(spark, sf).select("part_id", "user_id", "confirmed", "embedding")
+    model = vector_index.fit(table, lists=16)
+    root = f"{checkpoint_dir(spark)}/lists-{uuid.uuid4().hex}"
+    vector_index.write_index(table, model, root)
+    index = vector_index.read_index(spark, root)
+    return vector_index.approximate_search(index, model, _query_vector(spark, sf), 12, probes=16, keep=1 << 30, user_id=1).select("part_id", "score")
+
+
 @query("knn_join", with_desk(f"""
 SELECT query_id, part_id, CAST(rank AS INTEGER) AS rank, {SHOWN} AS score FROM (
   SELECT q.part_id AS query_id, v.part_id, {COSINE} AS s,
