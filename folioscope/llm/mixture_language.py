@@ -25,6 +25,7 @@ from folioscope.llm.arrays import MULTIPLIER, mix, slices, words
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 UND = "und"
+SETTLED = 1e-3
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[ord("A") : ord("Z") + 1] = LETTER[ord("a") : ord("z") + 1] = True
@@ -111,19 +112,23 @@ def word_likelihoods(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[
 
 
 def expectation_maximisation(likelihood, of_start, counts, share, rounds):
-    """Shares per text after `rounds` steps from `share`, and the log-likelihood (without row maxima) under them."""
+    """Shares per text after at most `rounds` steps from `share`, and the log-likelihood (without row maxima) under them.
+
+    A text stops when its own shares move less than SETTLED, so its result does not depend on the texts beside it.
+    """
     texts = np.repeat(np.arange(len(counts)), counts)
-    for step in range(rounds + 1):
+    moving = np.ones(len(counts), dtype=bool)
+    for _ in range(rounds):
         joint = likelihood * share[texts]
-        total = joint.sum(axis=1)
-        if step == rounds:
-            return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)), of_start)
-        joint /= np.maximum(total, 1e-30)[:, None]
-        new = np.add.reduceat(joint, of_start, axis=0) / counts[:, None]
-        moved, share = np.abs(new - share).max(), new.astype(np.float32)
-        if moved < 1e-3:
-            rounds = step + 1
-    return share, None
+        joint /= np.maximum(joint.sum(axis=1), 1e-30)[:, None]
+        new = (np.add.reduceat(joint, of_start, axis=0) / counts[:, None]).astype(np.float32)
+        moved = np.abs(new - share).max(axis=1)
+        share = np.where(moving[:, None], new, share)
+        moving &= moved >= SETTLED
+        if not moving.any():
+            break
+    total = (likelihood * share[texts]).sum(axis=1)
+    return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)), of_start)
 
 
 def mixtures(model: Model, data, offs, penalty: float, rounds: int) -> np.ndarray:
@@ -141,6 +146,7 @@ def mixtures(model: Model, data, offs, penalty: float, rounds: int) -> np.ndarra
     full, _ = expectation_maximisation(likelihood, start, counts, np.full((len(some), langs), 1 / langs, dtype=np.float32), rounds)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     best, best_score = None, None
+    growing = np.ones(len(some), dtype=bool)  # larger sets are tried for a text as long as they improve on its smaller ones
     for m in range(1, langs + 1):
         share = np.where(rank < m, full + 1e-6, 0).astype(np.float32)
         share /= share.sum(axis=1, keepdims=True)
@@ -149,10 +155,12 @@ def mixtures(model: Model, data, offs, penalty: float, rounds: int) -> np.ndarra
         if best is None:
             best, best_score = share, score
             continue
-        better = score > best_score
-        if not better.any() and m > 2:
-            break
+        better = growing & (score > best_score)
         best[better], best_score[better] = share[better], score[better]
+        if m > 2:
+            growing &= better
+            if not growing.any():
+                break
     out[some] = best
     return out
 

@@ -29,6 +29,8 @@ from folioscope.llm.arrays import slices, words
 from folioscope.llm.store import stored
 
 CHUNKS = 1024
+RANGE = 64  # shards summed up together
+SLOTS_A_TASK = 32_768
 
 
 @dataclass(frozen=True)
@@ -146,8 +148,14 @@ def draws(spark, sources: list[Source], block_words: int, shard_slots: int, seed
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["shard", "sid", "slots"])
 
     shards = spark.range(-(-total // shard_slots)).mapInArrow(draw, "shard long, sid int, slots long")
-    earlier = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    return shards.withColumn("base", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+    # A source has slots in nearly every shard: its running sum goes by ranges of shards, and over the ranges' totals.
+    shards = stored(shards.withColumn("_range", F.floor(F.col("shard") / RANGE)), "mix-draws")
+    earlier = W.partitionBy("sid", "_range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("sid").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = shards.groupBy("sid", "_range").agg(F.sum("slots").alias("_n")).select("sid", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = shards.withColumn("_in", F.coalesce(F.sum("slots").over(earlier), F.lit(0)))
+    placed = inside.join(ranges, ["sid", "_range"]).select("shard", "sid", "slots", (F.col("_before") + F.col("_in")).alias("base"))
+    return placed.repartition(max(1, -(-total // SLOTS_A_TASK)), "shard", "sid")
 
 
 def slot_blocks(drawn: DataFrame, sources: list[Source], max_repeats: int, seed: int) -> DataFrame:
@@ -191,7 +199,8 @@ def mix(
     placed = packed(rows, table)
     slots = slot_blocks(draws(spark, sources, block_words, shard_slots, seed), sources, max_repeats, seed)
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    read = segments(placed, block_words).join(times, ["sid", "block"])
+    # Times may be any share of the blocks: they are merged and never broadcast.
+    read = segments(placed, block_words).join(times.hint("merge"), ["sid", "block"])
     return Mix(sources, placed, slots, read)
 
 
@@ -242,4 +251,4 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, **options) -> DataFr
             new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, kept.column(kept.schema.get_field_index(c))) for c in columns], columns)
 
-    return rows.join(pieces, "_row").select(*columns, "_pieces").mapInArrow(cut, schema)
+    return rows.join(pieces.hint("merge"), "_row").select(*columns, "_pieces").mapInArrow(cut, schema)

@@ -168,3 +168,54 @@ def test_streaming_keeps_a_bounded_window(vocabulary):
 def test_pieces_query(spark, tiny, docs):
     rows = all_queries()["op8_piece_viterbi"](spark, tiny).collect()
     assert len(rows) == len(docs) and all(r.round_trip for r in rows)
+
+
+def plain_mixture(likelihood, penalty, rounds):
+    """Shares of one text from the likelihoods of its words, set by set, word by word."""
+    n, langs = likelihood.shape
+
+    def climb(share, steps):
+        for _ in range(steps):
+            new = np.zeros(langs)
+            for word in likelihood:
+                joint = word * share
+                new += joint / joint.sum()
+            new /= n
+            moved, share = np.abs(new - share).max(), new
+            if moved < mixture_language.SETTLED:
+                break
+        return share, sum(np.log((w * share).sum()) for w in likelihood)
+
+    full, _ = climb(np.full(langs, 1 / langs), rounds)
+    order = np.argsort(-full, kind="stable")
+    best = None
+    for m in range(1, langs + 1):
+        share = np.zeros(langs)
+        share[order[:m]] = full[order[:m]] + 1e-6
+        share, fit = climb(share / share.sum(), rounds if m > 1 else 0)
+        score = fit - 0.5 * penalty * m * np.log(n + 1)
+        if best is None or score > best[0]:
+            best = (score, share)
+        elif m > 2:
+            break
+    return best[1]
+
+
+def test_mixtures_against_one_text_at_a_time(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("text", "lang")
+    model = mixture_language.fit(docs)
+    texts = [r.text for r in docs.limit(60).collect()]
+    texts += [f"{a[:400]} {b[:300]}" for a, b in zip(texts[:20], texts[20:40])] + ["", "12", "the", "le la les " * 3]
+    raw = [t.lower().encode() for t in texts]
+    offs = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    together = mixture_language.mixtures(model, data, offs, 4.0, 8)
+    for i, own in enumerate(raw):
+        alone = mixture_language.mixtures(model, np.frombuffer(own, dtype=np.uint8), np.array([0, len(own)]), 4.0, 8)
+        assert (alone[0] == together[i]).all()  # neighbours change nothing
+        logs, of = mixture_language.word_likelihoods(model, np.frombuffer(own, dtype=np.uint8), np.array([0, len(own)]))
+        if len(of):
+            want = plain_mixture(np.exp(logs - logs.max(axis=1, keepdims=True)).astype(float), 4.0, 8)
+            assert want.argmax() == together[i].argmax() and np.abs(want - together[i]).max() < 2e-3
+        else:
+            assert not together[i].any()
