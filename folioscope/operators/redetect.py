@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +17,7 @@ from folioscope.settings import REDETECT_OVERLAP
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _taken(box_y0: pd.Series, box_y1: pd.Series, line_y0: pd.Series, line_y1: pd.Series) -> pd.Series:
-    """Per page: for each box in turn the unused line it overlaps most in height, the earliest of equals; -1 for none."""
+    """Per part of a page: for each box in turn the unused line it overlaps most in height, the earliest of equals; -1 for none."""
     out = []
     for tops, bottoms, old_tops, old_bottoms in zip(box_y0, box_y1, line_y0, line_y1):
         # Lines by top; no line is taller than `tallest`, so those a box can touch lie in one window of the order.
@@ -43,65 +44,60 @@ def _taken(box_y0: pd.Series, box_y1: pd.Series, line_y0: pd.Series, line_y1: pd
     return pd.Series(out)
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(page_id, box_pos, line_pos): every box, and with box_pos null every line no box took."""
-    item = F.struct("pos", "y0", "y1")
-    sides = rows.groupBy("page_id").agg(
+def _pairs(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page_id, box, line): every box with the line it takes over or null, and every line no box took with a null box.
+
+    A page is cut where no interval of heights crosses: rows by their top, a new part where one begins below all bottoms so
+    far. No match crosses a cut, so parts are matched apart, and an array holds one part's rows and never a page's.
+    """
+    def side(frame: DataFrame, name: str, pos: str) -> DataFrame:
+        known = {"line_id": "string", "include": "boolean", "parts": lines.schema["parts"].dataType}
+        fields = [F.col(c) if c in frame.columns and name == "line" else F.lit(None).cast(kind).alias(c) for c, kind in known.items()]
+        return frame.select("page_id", F.lit(name).alias("side"), F.col(pos).cast("bigint").alias("pos"), *CORNERS, *fields)
+
+    rows = side(boxes, "box", "box_pos").unionByName(side(lines, "line", "line_pos"))
+    order = W.partitionBy("page_id").orderBy("y0", "y1", "side", "pos")
+    above = F.max("y1").over(order.rowsBetween(W.unboundedPreceding, -1))
+    cut = rows.withColumn("_new", F.when(above.isNull() | (F.col("y0") >= above), 1).otherwise(0))
+    parted = cut.withColumn("_part", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    item = F.struct("pos", *CORNERS, "line_id", "include", "parts")
+    sides = parted.groupBy("page_id", "_part").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "box", item))).alias("b"),
         F.array_sort(F.collect_list(F.when(F.col("side") == "line", item))).alias("l"),
     )
     chosen = sides.withColumn("t", _taken("b.y0", "b.y1", "l.y0", "l.y1"))
-    none = F.lit(None).cast("bigint")
+    none = F.lit(None).cast(sides.schema["b"].dataType.elementType)
     boxed = F.transform(
-        "b",
-        lambda box, i: F.struct(
-            box["pos"].alias("box_pos"),
-            F.when(F.get("t", i) >= 0, F.get(F.col("l"), F.get("t", i))["pos"]).otherwise(none).alias("line_pos"),
-        ),
+        "b", lambda box, i: F.struct(box.alias("box"), F.when(F.get("t", i) >= 0, F.get(F.col("l"), F.get("t", i))).otherwise(none).alias("line"))
     )
     indexes = F.when(F.size("l") > 0, F.sequence(F.lit(0), F.size("l") - 1)).otherwise(F.array().cast("array<int>"))
-    left = F.transform(
-        F.array_except(indexes, "t"), lambda i: F.struct(none.alias("box_pos"), F.get(F.col("l"), i)["pos"].alias("line_pos"))
-    )
+    left = F.transform(F.array_except(indexes, "t"), lambda i: F.struct(none.alias("box"), F.get(F.col("l"), i).alias("line")))
     return chosen.select("page_id", F.inline(F.concat(boxed, left)))
 
 
-def _sides(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    def side(frame: DataFrame, name: str, pos: str) -> DataFrame:
-        return frame.select("page_id", F.lit(name).alias("side"), F.col(pos).cast("bigint").alias("pos"), "y0", "y1")
-
-    return side(boxes, "box", "box_pos").unionByName(side(lines, "line", "line_pos"))
-
-
 def match_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Which stored line each new box takes over, and which lines are left. The choice is sequential within a page."""
-    return _pairs(_sides(lines, boxes))
+    """(page_id, box_pos, line_pos): which stored line each new box takes over, and which lines are left."""
+    return _pairs(lines, boxes).select("page_id", F.col("box.pos").alias("box_pos"), F.col("line.pos").alias("line_pos"))
 
 
 def redetect(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines after a second detection: boxes in order, then stored lines with text that no box took; specks out."""
-    matches = match_boxes(lines, boxes)
-    old = lines.select(
-        "page_id", F.col("line_pos").cast("bigint").alias("line_pos"), "line_id", "include", "parts",
-        *[F.col(c).alias(f"_o_{c}") for c in CORNERS],
-    )
-    new = boxes.select("page_id", F.col("box_pos").cast("bigint").alias("box_pos"), *CORNERS)
-    placed = matches.join(new, ["page_id", "box_pos"], "left").join(old, ["page_id", "line_pos"], "left")
-    boxed, known = F.col("box_pos").isNotNull(), F.col("line_id").isNotNull()
-    fresh_id = derived_id("ln", "page_id", F.col("box_pos").cast("string"), F.concat_ws(",", *CORNERS))
-    written = F.exists("parts", lambda p: has_text(p["text"]))
+    boxed, known = F.col("box").isNotNull(), F.col("line").isNotNull()
+    corners = [F.when(boxed, F.col(f"box.{c}")).otherwise(F.col(f"line.{c}")).cast("int") for c in CORNERS]
+    fresh_id = derived_id("ln", "page_id", F.col("box.pos").cast("string"), F.concat_ws(",", *[F.col(f"box.{c}") for c in CORNERS]))
+    written = F.exists("line.parts", lambda p: has_text(p["text"]))
     parts = (
         F.when(~known, F.array(empty_part("page_id", fresh_id)))
-        .when(boxed & F.col("include") & (F.size("parts") == 0), F.array(empty_part("page_id", "line_id")))
-        .otherwise(F.col("parts"))
+        .when(boxed & F.col("line.include") & (F.size("line.parts") == 0), F.array(empty_part("page_id", "line.line_id")))
+        .otherwise(F.col("line.parts"))
     )
-    result = placed.filter(boxed | written).select(
+    result = _pairs(lines, boxes).filter(boxed | written).select(
         "page_id",
-        F.coalesce("line_id", fresh_id).alias("line_id"),
+        F.coalesce("line.line_id", fresh_id).alias("line_id"),
         # Left-over lines come after all boxes.
-        F.when(boxed, F.col("box_pos")).otherwise(F.col("line_pos") + F.lit(1 << 40)).alias("line_pos"),
-        *[F.when(boxed, F.col(c)).otherwise(F.col(f"_o_{c}")).cast("int").alias(c) for c in CORNERS],
-        F.coalesce("include", F.lit(True)).alias("include"),
+        F.when(boxed, F.col("box.pos")).otherwise(F.col("line.pos") + F.lit(1 << 40)).alias("line_pos"),
+        *[value.alias(c) for value, c in zip(corners, CORNERS, strict=True)],
+        F.coalesce("line.include", F.lit(True)).alias("include"),
         parts.alias("parts"),
     )
     return drop_fragments(result)
