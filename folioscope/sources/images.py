@@ -13,6 +13,7 @@ IMAGE_NAME = r"(?i)\.(jpe?g|png|tif|tiff|webp)$"
 DEFAULT_NAME = "manuscrito.jpg"
 EMPTY_FILE = "arquivo vazio"
 NO_IMAGE = "Nenhuma imagem recebida"
+PIECE = 4096
 
 
 def read_files(spark: SparkSession, path: str, listing: DataFrame | None = None) -> DataFrame:
@@ -55,10 +56,20 @@ def next_page_ids(existing: DataFrame, new_rows: DataFrame, order: list[str]) ->
     numbered = existing.select("page_id", F.regexp_extract("page_id", r"^p(\d+)$", 1).alias("_digits")).filter(
         "_digits <> ''"
     ).select("page_id", F.col("_digits").cast("bigint").alias("number"))
-    used = numbered.filter(F.col("page_id") == F.format_string("p%03d", F.col("number"))).select("number").distinct()
+    used = numbered.filter((F.col("page_id") == F.format_string("p%03d", F.col("number"))) & (F.col("number") >= 1)).select("number").distinct()
     wanted = new_rows.count()
-    numbers = spark.range(1, used.count() + wanted + 1).withColumnRenamed("id", "number")
-    free = positions(numbers.join(used, "number", "left_anti"), [F.col("number")], "_slot").filter(F.col("_slot") <= wanted)
+    # A used number less its place is how many free numbers lie before it; numbers in a row share that count. So slots above one
+    # run's count and up to the next one's fill the hole between the two, and slot + places used so far is their number.
+    start = spark.createDataFrame([(0, 0)], "shift long, taken long")
+    runs = positions(used, [F.col("number")], "_place").select((F.col("number") - F.col("_place")).alias("shift"), F.col("_place").alias("taken"))
+    runs = runs.filter(F.col("shift") < wanted).unionByName(start).groupBy("shift").agg(F.max("taken").alias("taken"))
+    runs = positions(runs, [F.col("shift")], "_run")
+    after = runs.select((F.col("_run") - 1).alias("_run"), F.col("shift").alias("until"))
+    holes = runs.join(after, "_run", "left").select("shift", "taken", F.coalesce("until", F.lit(wanted).cast("bigint")).alias("until")).filter("until > shift")
+    # A hole is cut into pieces of PIECE slots, so that none becomes one task's work.
+    cut = holes.select("*", F.explode(F.sequence(F.floor(F.col("shift") / PIECE), F.floor((F.col("until") - 1) / PIECE))).alias("_piece"))
+    slots = F.sequence(F.greatest(F.col("shift"), F.col("_piece") * PIECE) + 1, F.least(F.col("until"), (F.col("_piece") + 1) * PIECE))
+    free = cut.select("taken", F.explode(slots).alias("_slot")).select("_slot", (F.col("_slot") + F.col("taken")).alias("number"))
     placed = positions(new_rows, [F.col(c) for c in order], "_slot")
     return placed.join(free, "_slot").select(*new_rows.columns, F.format_string("p%03d", F.col("number")).alias("page_id"))
 

@@ -215,3 +215,21 @@ def test_search_text(spark):
     long = spark.createDataFrame([("x" * 100 + " alvo " + "y" * 200,)], "t string")
     cut = long.select(snippet(t, "alvo")).first()[0]
     assert cut.startswith("…x") and cut.endswith("y…") and len(cut) == 182
+
+
+def test_ids_fill_holes_without_listing_numbers(spark):
+    import random
+
+    from folioscope.sources import images
+
+    rnd = random.Random(2)
+    for case in range(4):
+        used = {1_000_000_000, *rnd.sample(range(1, 60), 30)} if case else set()
+        if case == 2:
+            used |= set(range(1, 40)) - {7}
+        wanted = [5, 70, 9000, 1][case]
+        existing = spark.createDataFrame([(f"p{n:03d}",) for n in used] + [("p7x",), ("p0012",), ("p000",)], "page_id string")
+        new = spark.range(wanted).select(F.format_string("f%06d", "id").alias("filename"))
+        got = [r.page_id for r in images.next_page_ids(existing, new, ["filename"]).orderBy("filename").collect()]
+        free = (n for n in range(1, 20_000) if n not in used)
+        assert got == [f"p{next(free):03d}" for _ in range(wanted)]
