@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.boxes import clamp_box, corners, half_up, named
 from folioscope.functions.text import has_text
 from folioscope.operators.numbering import number_lines
-from folioscope.operators.spread import positions
+from folioscope.operators.spread import queue_positions
 from folioscope.settings import MAX_TEXT_CHARS
 
 # What ids may look like.
@@ -49,20 +49,14 @@ def draft_parts(numbered: DataFrame) -> DataFrame:
 def review_positions(numbered: DataFrame) -> DataFrame:
     """Where each draft stands in the whole queue and in its page, and its neighbours in the queue."""
     drafts = draft_parts(numbered).select("page_id", "linha_documento", "parte", "part_id")
-    queue = positions(drafts, [F.col(c) for c in ("page_id", "linha_documento", "parte", "part_id")], "position")
-    per_page = queue.groupBy("page_id").agg(F.min("position").alias("_first"), F.count("*").alias("page_total"))
-    total = queue.agg(F.count("*")).scalar()
-    before = queue.select((F.col("position") + 1).alias("position"), F.col("part_id").alias("previous_part"))
-    after = queue.select((F.col("position") - 1).alias("position"), F.col("part_id").alias("next_part"))
-    return (
-        queue.join(per_page, "page_id")
-        .join(before, "position", "left")
-        .join(after, "position", "left")
-        .select(
-            "page_id", "part_id", "position", total.alias("total"),
-            (F.col("position") - F.col("_first") + 1).alias("page_position"), "page_total",
-            "previous_part", "next_part",
-        )
+    queue = queue_positions(drafts, [F.col(c) for c in ("page_id", "linha_documento", "parte", "part_id")], "part_id")
+    # From a hash of the page on, sizes and rows meet without another exchange.
+    dealt = queue.repartition("page_id")
+    per_page = dealt.groupBy("page_id").agg(F.min("position").alias("_first"), F.count("*").alias("page_total"))
+    return dealt.join(per_page, "page_id").select(
+        "page_id", "part_id", "position", "total",
+        (F.col("position") - F.col("_first") + 1).alias("page_position"), "page_total",
+        F.col("previous_part_id").alias("previous_part"), F.col("next_part_id").alias("next_part"),
     )
 
 

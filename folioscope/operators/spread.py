@@ -3,9 +3,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -27,6 +29,52 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def place_in_partition(seq: str) -> Column:
+    """1-based place of a row in its partition, from its monotonically increasing id."""
+    return F.col(seq).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+
+
+def queue_positions(df: DataFrame, order: list[Column], value: str, name: str = "position") -> DataFrame:
+    """Adds the 1-based position in the whole order, `total`, and the `value` of the row before and after (null at the ends).
+
+    One range sort. Inside a range partition, neighbours are next to each other; of a partition only the first and the last
+    value, and its size, are seen by the others. `order` must be total, `value` a string column without nulls.
+    """
+    sorted_ = df.orderBy(*order).withColumns({"_pid": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
+    names = sorted_.columns
+    schema = T.StructType([*sorted_.schema.fields, T.StructField("_before", T.StringType()), T.StructField("_after", T.StringType())])
+    empty = pa.array([None], pa.string())
+
+    def run(batches):
+        last, held = empty, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(names.index(value)).cast(pa.string())
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([*held, pa.concat_arrays([held[names.index(value)].cast(pa.string()).slice(1), values.slice(0, 1)])], [*names, "_before", "_after"])
+            held = [*batch.columns, pa.concat_arrays([last, values.slice(0, len(values) - 1)])]
+            last = values.slice(len(values) - 1)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held, pa.concat_arrays([held[names.index(value)].cast(pa.string()).slice(1), empty])], [*names, "_before", "_after"])
+
+    tagged = durable(sorted_.mapInArrow(run, schema))
+    # One row per range partition, however many rows the table has.
+    parts = tagged.groupBy("_pid").agg(F.count("*").alias("_n"), F.min_by(value, "_seq").alias("_head"), F.max_by(value, "_seq").alias("_tail"))
+    by_part = W.orderBy("_pid")
+    parts = parts.select(
+        "_pid", "_n", F.coalesce(F.sum("_n").over(by_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.lag("_tail").over(by_part).alias("_came"), F.lead("_head").over(by_part).alias("_comes"),
+        F.sum("_n").over(by_part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
+    )
+    placed = tagged.join(F.broadcast(parts), "_pid").withColumn("_rn", place_in_partition("_seq"))
+    return placed.select(
+        *df.columns, (F.col("_base") + F.col("_rn")).alias(name), "total",
+        F.when(F.col("_rn") == 1, F.col("_came")).otherwise(F.col("_before")).alias(f"previous_{value}"),
+        F.when(F.col("_rn") == F.col("_n"), F.col("_comes")).otherwise(F.col("_after")).alias(f"next_{value}"),
+    )
+
+
 def positions(
     df: DataFrame,
     order: list[Column],
@@ -62,11 +110,11 @@ def positions(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
         *[F.coalesce(F.sum(f"_s_{r}").over(before), F.lit(0)).alias(f"_b_{r}") for r in running],
     )
-    local = W.partitionBy("_pid").orderBy("_seq")
-    earlier = local.rowsBetween(W.unboundedPreceding, -1)
+    # The low bits of the row number are a row's place in its partition; only running totals need their rows in order again.
+    earlier = W.partitionBy("_pid").orderBy("_seq").rowsBetween(W.unboundedPreceding, -1)
     placed = tagged.select(
         "*",
-        F.row_number().over(local).alias("_rn"),
+        place_in_partition("_seq").alias("_rn"),
         *[F.coalesce(F.sum(f"_v_{r}").over(earlier), F.lit(0)).alias(f"_l_{r}") for r in running],
     ).join(F.broadcast(offsets), "_pid")
     placed = placed.withColumn(name, F.col("_base") + F.col("_rn"))

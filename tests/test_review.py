@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import edits, numbering, review
+from folioscope.operators import edits, numbering, review, spread
 from conftest import page, rows
 
 PARTS = "page_id string, part_id string, text string, confirmed boolean, skipped boolean"
@@ -77,3 +77,21 @@ def test_edits_in_log_order(spark):
     assert reduced.count() <= ops.count()
     again = edits.apply_line_edits(lines, reduced, pages)
     assert rows(numbering.part_rows(again), "line_id", "part_id", "text", "confirmed") == rows(numbering.part_rows(out), "line_id", "part_id", "text", "confirmed")
+
+
+def test_queue_positions_over_many_partitions(spark):
+    """Neighbours across partition and batch borders, and no more exchanges than the sort, the totals and the pages."""
+    n = 5000
+    rows = spark.range(n).select(F.format_string("p%02d", F.pmod(F.xxhash64("id"), F.lit(23))).alias("page_id"), F.format_string("k%05d", "id").alias("part_id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = spread.queue_positions(rows, [F.col("page_id"), F.col("part_id")], "part_id")
+        found = [tuple(r) for r in got.orderBy("position").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(tuple, rows.collect()))
+    assert found == [
+        (p, k, i + 1, n, want[i - 1][1] if i else None, want[i + 1][1] if i + 1 < n else None) for i, (p, k) in enumerate(want)
+    ]
+    assert spread.queue_positions(rows.limit(0), [F.col("part_id")], "part_id").collect() == []
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1  # the partitions' totals
