@@ -1,9 +1,12 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import boxes as bx
 from folioscope.functions import responses as rs
 from folioscope.functions import text as tx
-from folioscope.operators import numbering, search
+from folioscope.operators import numbering, postings, search
+from folioscope.operators.spread import checkpoint_dir
 from folioscope.plans import desk
 from folioscope.plans.desk_sql import fold_sql, squeeze_sql, strip_sql, with_desk, written_sql
 from folioscope.plans.registry import query
@@ -102,6 +105,17 @@ def literal_search(spark, sf):
     return search.literal_search(numbering.number_parts(desk.lines(spark, sf, marks=False)), QUERY)
 
 
+@query("literal_search_postings", with_desk(f"""
+SELECT page_id, line_id, part_id, linha_documento, parte, text, {SNIPPET_SQL} AS snippet, total
+FROM ({WINDOWED} hits)""", hits=HITS))
+def literal_search_postings(spark, sf):
+    """The same search over posting lists written for the corpus."""
+    root = f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    numbered = numbering.number_parts(desk.lines(spark, sf, marks=False)).select("page_id", "line_id", "part_id", "linha_documento", "parte", "text")
+    postings.write_postings(numbered, root)
+    return postings.indexed_search(spark, root, QUERY)
+
+
 @query("hits_by_page", with_desk("SELECT page_id, count(*) AS hits FROM hits GROUP BY page_id", hits=HITS))
 def hits_by_page(spark, sf):
     return search.hits_by_page(numbering.number_parts(desk.lines(spark, sf, marks=False)), QUERY)
