@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Tokens are words [^\\x20\\x09-\\x0D]+. A text's k-grams of tokens are hashed (a gram's hash comes from those of its two
-overlapping halves, so all grams take log k passes); of every `window` successive hashes the smallest is chosen,
+Tokens are words [^\\x20\\x09-\\x0D]+, hashed to 31 bits. The hash of a k-gram is the rolling one, w0 * B**(k-1) + ... + w(k-1)
+modulo the prime 2**31 - 1, made for all positions of a text at once: a pass multiplies by B and adds the next word. Of every `window` successive hashes the smallest is chosen,
 the rightmost of equal ones; each choice is kept once, with its position. Any run of window + k - 1 words that two
 texts share gives both a common hash, and no shared run shorter than k words is seen.
 
@@ -18,7 +18,8 @@ from folioscope.llm.store import stored
 
 K = 5
 WINDOW = 12
-LOW = 0x7FFFFFFF
+LOW = 0x7FFFFFFF  # the prime 2**31 - 1, and the low 31 bits
+BASE = 1_000_003
 SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 BUCKET_ROWS = 512
 KNOTS = 64
@@ -44,10 +45,13 @@ def with_fingerprint(df: DataFrame, text: str, into: str, k: int = K, window: in
     """Adds `into`: array of whole numbers, each a 31-bit hash and the complement of its position in 32 bits."""
     h, g, whole = f"_{into}_words", f"_{into}_grams", f"_{into}_whole"
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPLIT), lambda w: w != "")
-    df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(LOW).cast("bigint"))))
     df = df.withColumn(whole, F.when((F.size(h) > 0) & (F.size(h) < k), F.array(F.xxhash64(F.col(h)))).otherwise(F.array().cast("array<bigint>")))
-    df = _spans(df, h, k, lambda a, b: F.xxhash64(a, b))
-    grams = F.when(F.size(h) > 0, F.col(h)).otherwise(F.col(whole))
+    df = df.withColumn(g, F.col(h))
+    for shift in range(1, k):  # products stay below 2**62
+        n = F.greatest(F.size(h) - shift, F.lit(0))
+        df = df.withColumn(g, F.zip_with(F.slice(g, F.lit(1), n), F.slice(h, F.lit(shift + 1), n), lambda a, b: (a * BASE + b) % LOW))
+    grams = F.when(F.size(g) > 0, F.col(g)).otherwise(F.col(whole))
     df = df.withColumn(g, grams)
     df = df.withColumn(g, F.transform(g, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(LOW).cast("bigint")), 32).bitwiseOR((F.lit(LOW) - i).cast("bigint"))))
     few = F.when((F.size(g) > 0) & (F.size(g) < window), F.array(F.array_min(g))).otherwise(F.array().cast("array<bigint>"))
@@ -99,10 +103,16 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_r
         bucket = F.lit(-1).cast("bigint")
     rows = docs.drop("next_text", "_copy").withColumn("_bucket", bucket)
     heads = rows.groupBy("_bucket").agg(F.max(key).alias("_head"))
-    order = W.orderBy("_bucket")  # a row per range
-    lowest = F.min("_bucket").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    # The next range is looked for between two quantiles, and for the last one there in a table of a row per quantile.
+    heads = stored(heads.withColumn("_knot", F.floor(F.col("_bucket") / ranges)), "range-heads")
+    firsts = heads.groupBy("_knot").agg(F.min("_bucket").alias("_least"))
+    by_knot = W.orderBy("_knot")  # KNOTS + 1 rows at most
+    lowest = F.min("_least").over(by_knot.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    firsts = firsts.select("_knot", F.coalesce(F.lead("_least").over(by_knot), lowest).alias("_beyond"))
+    following = F.lead("_bucket").over(W.partitionBy("_knot").orderBy("_bucket"))
     # stored, so that the planner knows how small it is before the texts move
-    above = stored(heads.select(F.col("_bucket").alias("_from"), "_head", F.coalesce(F.lead("_bucket").over(order), lowest).alias("_to")), "range-heads")
+    above = stored(heads.withColumn("_following", following).join(F.broadcast(firsts), "_knot").select(
+        F.col("_bucket").alias("_from"), "_head", F.coalesce("_following", "_beyond").alias("_to")), "range-followers")
     copies = rows.join(above, (F.col("_bucket") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_head"))).withColumn("_bucket", F.col("_to"))
     both = rows.withColumn("_copy", F.lit(0)).unionByName(copies.select(*rows.columns, F.lit(1).alias("_copy")))
     w = W.partitionBy("_bucket").orderBy("_copy", F.col(key).desc_nulls_last(), F.xxhash64(text))
