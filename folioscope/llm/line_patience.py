@@ -11,7 +11,7 @@ Documents are ordered by doc_id (null last), then by their row in the stored inp
 are aligned from end to end without a search, and deleted if they have `min_words` words. Lines without a word neither link nor end a run. Null
 texts have no lines and stay null. Rows always stay; a text that loses all lines with words becomes "". Sequences of
 line hashes travel, texts only once, when lines are cut out. Repeated rows count as copies; columns are kept, but for those
-named like a result or _row, _key, _lines, _covered.
+named like a result or _row, _key, _lines, _covered. An empty table gives no rows.
 """
 from __future__ import annotations
 

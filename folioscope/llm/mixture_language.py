@@ -8,7 +8,8 @@ is kept. The prediction is the leading language of that set, the score its share
 
 The model holds ORDERS x BUCKETS counts per language, whatever the corpus: that bound is what the driver collects
 and the tasks receive. Null texts and texts without a letter are `und` with score 0 and no languages; words
-without a letter are no evidence. Equal texts get equal results. An empty training table makes every text `und`.
+without a letter are no evidence. Equal texts get equal results, whatever the texts beside them. An empty training table
+makes every text `und`, an empty table gives no rows. Columns are kept, but for those named lang_pred, score or languages.
 """
 from __future__ import annotations
 

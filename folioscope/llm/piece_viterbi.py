@@ -14,7 +14,8 @@ one boundary. Boundaries that no piece of the vocabulary crosses (before a blank
 that stand in no longer piece) are such points in any text. `encode` cuts texts there and runs the same search over
 all different stretches of a slice at once; stretches beyond LONG bytes stream.
 
-Null texts have null ids; an empty text has the ids of the blank alone.
+Null texts have null ids; an empty text has the ids of the blank alone. Repeated rows get equal ids, an empty table gives no
+rows. Columns are kept, but for those named like a result (`ids`, `decoded`).
 """
 from __future__ import annotations
 

@@ -4,7 +4,8 @@ A document's perplexity is taken per character under the model of its own langua
 own). Log-perplexities of short texts scatter, so each is drawn towards the language's median as if it had
 PRIOR_CHARS more characters of that perplexity. The band of a language runs from FENCE quartile ranges below its
 first quartile to as many above its third; documents outside are rejected. Texts without a character have no
-perplexity and fail the base rule. Bands and counts come from all rows.
+perplexity and fail the base rule. Bands and counts come from all rows. Repeated rows count each; an empty table gives no
+rows. Columns are kept, but for those named like a count or a result.
 """
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ doc_id; sums run within chunks and over the chunk totals, so a source with most
 Only one row per source (size, weight, target) passes the driver.
 
 Null texts have no words; a null source is a source of its own; repeated rows count each; an empty table gives
-an empty result.
+an empty result. Columns are kept, but for those named size, sid, begin or _row.
 """
 from __future__ import annotations
 

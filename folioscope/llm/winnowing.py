@@ -1,12 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 Tokens are words [^\\x20\\x09-\\x0D]+, hashed to 31 bits. The hash of a k-gram is the rolling one, w0 * B**(k-1) + ... + w(k-1)
-modulo the prime 2**31 - 1, made for all positions of a text at once: a pass multiplies by B and adds the next word. Of every `window` successive hashes the smallest is chosen,
-the rightmost of equal ones; each choice is kept once, with its position. Any run of window + k - 1 words that two
+modulo the prime 2**31 - 1, made for all positions of a text at once: a pass multiplies by B and adds the next word. Of
+every `window` successive hashes the smallest is chosen, the rightmost of equal ones; each choice is kept once, with its position. Any run of window + k - 1 words that two
 texts share gives both a common hash, and no shared run shorter than k words is seen.
 
 A text of fewer than k words, but one at least, has one hash of all its words at position 0; fewer than `window`
-grams make one window. Null and empty texts have no hashes. Two fingerprints without hashes are alike (1.0).
+grams make one window. Null and empty texts have no hashes. Two fingerprints without hashes are alike (1.0). Repeated rows get
+equal fingerprints, an empty table gives no rows. Columns are kept, but for those named like the result, and _copy and _bucket.
 """
 from __future__ import annotations
 
