@@ -19,8 +19,9 @@ from folioscope.settings import (
 
 # Words that are no precedent.
 STOP_WORDS = (
-    "ilegivel ilegível de da do das dos em na no nas nos a o as os e ou um uma que por para com sem ao aos se sua seu não nao"
-).split()
+    "ilegivel", "ilegível", "de", "da", "do", "das", "dos", "em", "na", "no", "nas", "nos", "a", "o", "as", "os", "e",
+    "ou", "um", "uma", "que", "por", "para", "com", "sem", "ao", "aos", "se", "sua", "seu", "não", "nao",
+)
 
 
 def word_forms(texts: DataFrame, min_count: int = MIN_FORM_COUNT, limit: int = MAX_FORMS) -> DataFrame:
@@ -28,7 +29,7 @@ def word_forms(texts: DataFrame, min_count: int = MIN_FORM_COUNT, limit: int = M
     words = F.array_distinct(tx.tokens(tx.gap_query(F.col("text"))))
     return (
         texts.select(F.explode(words).alias("form"))
-        .filter(F.length("form").between(2, 40) & ~F.lower("form").isin(STOP_WORDS))
+        .filter(F.length("form").between(2, 40) & ~F.lower("form").isin(*STOP_WORDS))
         .groupBy("form")
         .agg(F.count("*").alias("texts"))
         .filter(F.col("texts") >= min_count)
