@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from folioscope.schemas import TRANSCRIPTIONS
 from folioscope.sources import versions
+from folioscope.sources.page_store import PageStore
 
 VECTORS = T.StructType([
     T.StructField("part_id", T.StringType()),
@@ -31,11 +32,13 @@ def read_table(spark: SparkSession, root: str, below: int | None = None, pages:
     return versions.read_pages(spark, root, TRANSCRIPTIONS, "part_id", below, pages)
 
 
+def vector_store(spark: SparkSession, root: str, buckets: int = 256) -> PageStore:
+    """Vectors in hash buckets of their part, one for each text the part has had embedded."""
+    return PageStore(spark, root, VECTORS, "content_hash", "part_id", buckets)
+
+
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    found = versions._folders(spark, root)
-    if not found:
-        return spark.createDataFrame([], VECTORS)
-    return spark.read.schema(VECTORS).parquet(*[f"{root}/version={v}" for v in found])
+    return vector_store(spark, root).read()
 
 
 def with_vectors(table: DataFrame, vectors: DataFrame) -> DataFrame:

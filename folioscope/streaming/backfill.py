@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from folioscope.operators.embedding import Model, embed_texts
+from folioscope.operators.spread import durable
 from folioscope.schemas import TRANSCRIPTIONS
 from folioscope.settings import VECTOR_SIZE
 from folioscope.sources import index_table
@@ -26,16 +27,19 @@ def outstanding_rows(spark: SparkSession, index_root: str, files_per_trigger: in
 
 
 def embed_batch(batch: DataFrame, batch_id: int, vectors_root: str, model_factory: Callable[[], Model] | None, width: int) -> None:
-    """Embeds what no earlier batch has embedded, and appends it under (part_id, content_hash)."""
-    spark = batch.sparkSession
-    path = f"{vectors_root}/version={batch_id}"
-    known = [v for v in index_table.versions._folders(spark, vectors_root) if v < batch_id]
-    todo = batch.dropDuplicates(["part_id", "content_hash"])
-    if known:
-        done = spark.read.parquet(*[f"{vectors_root}/version={v}" for v in known]).select("part_id", "content_hash")
-        todo = todo.join(done, ["part_id", "content_hash"], "left_anti")
-    embedded = embed_texts(todo, model_factory, width=width)
-    embedded.select("part_id", "content_hash", "embedding").write.mode("overwrite").parquet(path)
+    """Embeds what no earlier batch has embedded, and keeps it under (part_id, content_hash).
+
+    Only the buckets of the batch's parts are opened, and of them keys and hashes are read; vectors only of parts that get another
+    one, which are written together with it. A retried batch writes the same version again.
+    """
+    store = index_table.vector_store(batch.sparkSession, vectors_root)
+    todo = durable(batch.dropDuplicates(["part_id", "content_hash"]))
+    done = store.read(todo, batch_id).select("part_id", "content_hash")
+    fresh = durable(todo.join(done, ["part_id", "content_hash"], "left_anti"))
+    if fresh.isEmpty():
+        return
+    embedded = durable(embed_texts(fresh, model_factory, width=width).select("part_id", "content_hash", "embedding"))
+    store.write(store.read(embedded, batch_id).unionByName(embedded), embedded, batch_id)
 
 
 def stream_embed_backfill(

@@ -8,8 +8,9 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.sources import index_table
 from folioscope.sources.page_store import PageStore
-from folioscope.streaming import saves as sv
+from folioscope.streaming import backfill, saves as sv
 
 KIND = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("item", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -144,3 +145,34 @@ def test_random_saves_against_one_after_another(spark, tmp_path):
         assert index == {(p, t): (v[0].strip(), v[1]) for p in last for t, v in state[p].items() if v[0].strip()}
         assert {(r.page_id, r.event_id, r.kind) for r in stores.quarantine.read().collect()} == refused
     assert len(refused) > 4 and max(len(f) for f in stores.lines.manifest()["buckets"].values()) <= 3
+
+
+def test_backfill_opens_the_buckets_of_its_batch(spark, tmp_path, monkeypatch):
+    """Twelve batches: no vector is lost, and what a batch opens does not grow with the table."""
+    opened = []
+
+    def factory():
+        def model(texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    plain_read = PageStore.read
+
+    def read(self, keys=None, below=None):
+        found = plain_read(self, keys, below)
+        if keys is not None:
+            opened.append(sum(len(f) for f in self._folders(self.manifest(below), keys)))
+        return found
+
+    monkeypatch.setattr(PageStore, "read", read)
+    want = {}
+    for batch_id in range(12):
+        rows = [(f"p{k}", f"h{k}_{batch_id if k % 4 == 0 else 0}", "x" * (k % 7 + 1)) for k in (batch_id * 2, batch_id * 2 + 1, batch_id)]
+        want.update({r[:2]: [float(len(r[2])), 1.0] for r in rows})
+        batch = spark.createDataFrame(rows + rows[:1], "part_id string, content_hash string, text string")
+        for _ in range(1 + (batch_id == 3)):
+            backfill.embed_batch(batch, batch_id, str(tmp_path / "v"), factory, 2)
+    got = {(r.part_id, r.content_hash): list(r.embedding) for r in index_table.read_vectors(spark, str(tmp_path / "v")).collect()}
+    assert got == want
+    assert max(opened[-6:]) <= 3 * 3
