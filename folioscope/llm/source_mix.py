@@ -199,8 +199,8 @@ def mix(
     placed = packed(rows, table)
     slots = slot_blocks(draws(spark, sources, block_words, shard_slots, seed), sources, max_repeats, seed)
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    # Times may be any share of the blocks: they are merged and never broadcast.
-    read = segments(placed, block_words).join(times.hint("merge"), ["sid", "block"])
+    # Spark merges these, or broadcasts the counts where it finds them below its threshold at run time.
+    read = segments(placed, block_words).join(times, ["sid", "block"])
     return Mix(sources, placed, slots, read)
 
 
@@ -251,4 +251,4 @@ def mixed_documents(docs: DataFrame, block_words: int = 64, **options) -> DataFr
             new = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, kept.column(kept.schema.get_field_index(c))) for c in columns], columns)
 
-    return rows.join(pieces.hint("merge"), "_row").select(*columns, "_pieces").mapInArrow(cut, schema)
+    return rows.join(pieces, "_row").select(*columns, "_pieces").mapInArrow(cut, schema)
