@@ -176,3 +176,18 @@ def test_backfill_opens_the_buckets_of_its_batch(spark, tmp_path, monkeypatch):
     got = {(r.part_id, r.content_hash): list(r.embedding) for r in index_table.read_vectors(spark, str(tmp_path / "v")).collect()}
     assert got == want
     assert max(opened[-6:]) <= 3 * 3
+
+
+def test_saves_keep_long_texts_where_no_limit_is_set(spark, tmp_path):
+    long = "á" * 20_500 + " fim"
+    body = json.dumps({"lines": [{"id": "l1", "box": [10, 10, 90, 40], "include": True, "parts": [{"id": "t1", "text": long}]}]})
+    batch = spark.createDataFrame([("p1", body, 5, 1)], "page_id string, payload string, at long, event_id long").select(
+        "page_id", "payload", F.timestamp_seconds("at").alias("ts"), "event_id"
+    )
+    pages = spark.createDataFrame([("p1", 100, 100)], "page_id string, width int, height int")
+    for name, limit, want in (("whole", {"max_chars": None}, long), ("cut", {}, long[:20_000])):
+        stores = sv.SaveStores(spark, str(tmp_path / name), buckets=2)
+        stores.start(spark.createDataFrame([], sv.LINES))
+        sv.apply_saves(stores, batch, 0, pages, F.timestamp_seconds(F.lit(0)), **limit)
+        assert [p.text for r in stores.lines.read().collect() for p in r.parts] == [want]
+        assert [r.text for r in stores.index.read().collect()] == [want]
