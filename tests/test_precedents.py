@@ -55,6 +55,28 @@ def test_similarity_join_is_exact(spark, blocks):
     assert rows(found, "query_id", "part_id", "rank") == sorted(expected)
 
 
+def test_similarity_joins_move_short_vectors_and_keep_all_ties(spark):
+    """Packed rows are as short as their texts; a thousand equal vectors lose none of the smallest ids; a least score cuts what is below."""
+    rnd = np.random.default_rng(5)
+    data = [(f"p{i:04d}", [float(x) for x in np.bincount(rnd.integers(0, 768, 6), minlength=768)], f"g{i % 5}") for i in range(1300)]
+    data += [(f"t{i:04d}", [1.0] + [0.0] * 767, "h") for i in range(1500)]
+    table = spark.createDataFrame(data, "part_id string, embedding array<float>, group_id string")
+    short = search.packed(table, "embedding")
+    assert short.agg(F.max(F.length("embedding"))).first()[0] <= 12 + 8 * 6
+    queries = table.filter("part_id < 'p0040' or part_id = 't0700'").select(F.col("part_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit("q").alias("group_id"))
+    vectors = np.array([v for _, v, _ in data])
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    place = {p: i for i, (p, _, _) in enumerate(data)}
+    want = []
+    for q in [f"p{i:04d}" for i in range(40)] + ["t0700"]:
+        score = np.round(vectors @ vectors[place[q]], 9)
+        best = sorted(range(len(data)), key=lambda i: (-score[i], data[i][0]))[:5]
+        want += [(q, rank, data[i][0], score[i]) for rank, i in enumerate(best, 1)]
+    for least in (float("-inf"), 0.55):
+        found = search.knn_join(queries, short, 5, least=least)
+        assert rows(found, "query_id", "rank", "part_id", "score") == sorted(w for w in want if w[3] >= least)
+
+
 def test_vectors_of_another_size_stop_the_similarity_join(spark):
     queries = spark.createDataFrame([("q", [1.0, 2.0], "g")], "query_id string, vector array<float>, group_id string")
     table = spark.createDataFrame([("a", [1.0, 2.0], "h"), ("b", [1.0], "h")], "part_id string, embedding array<float>, group_id string")
