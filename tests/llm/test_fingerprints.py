@@ -355,3 +355,35 @@ def test_recall_of_passages_with_evenly_spread_edits(spark, length, every, least
     found = sum(any(p.source == 2 * k and p.start < 60 + length and p.stop > 60 for p in rows[2 * k + 1].passages) for k in range(pairs))
     covered = [r.n_repeated for r in rows[1::2] if r.passages]
     assert found >= least * pairs and min(covered) >= 0.6 * length and max(covered) <= length + 4
+
+
+def test_every_common_run_of_nine_words_has_a_seed():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(rng.integers(9, 30))
+        run_ = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        found = []
+        for _ in range(2):
+            own = [rng.integers(0, 1 << 62, int(rng.integers(0, 12))).astype(np.uint64) for _ in range(3)]
+            of = np.repeat([0, 1, 1, 1, 2], [len(own[0]), len(own[1]), n, 5, len(own[2])])
+            hashes = np.concatenate([own[0], own[1], run_, rng.integers(0, 1 << 62, 5).astype(np.uint64), own[2]])
+            at = len(own[0]) + len(own[1])
+            grams, first = collinear_chains.sampled(hashes, of)
+            assert (of[first] == of[first + collinear_chains.K - 1]).all()
+            found.append(dict(zip((first - at).tolist(), grams.tolist(), strict=True)))
+        common = [k for k in range(n - collinear_chains.K + 1) if k in found[0] and found[0][k] == found[1].get(k)]
+        assert len(common) >= (n - collinear_chains.K + 1) // collinear_chains.WINDOW
+
+
+@pytest.mark.parametrize("length,every", [(30, 0), (60, 10)])
+def test_no_passage_with_long_runs_is_left_out(spark, length, every):
+    rng = np.random.default_rng(length)
+    pairs, texts = 400, []
+    for k in range(pairs):
+        passage = [f"s{k}w{i}" for i in range(length)]
+        edited = [f"e{k}w{i}" if every and i % every == every - 1 else w for i, w in enumerate(passage)]
+        for side, middle in enumerate((passage, edited)):
+            own = [[f"o{k}{side}{c}{i}" for i in range(int(rng.integers(20, 60)))] for c in "ab"]
+            texts.append(" ".join([*own[0], *middle, *own[1]]))
+    rows = run(spark, texts, collinear_chains.repeated_passages)
+    assert all(any(p.source == 2 * k for p in rows[2 * k + 1].passages) for k in range(pairs))
