@@ -41,14 +41,17 @@ def reduce_edits(edits: DataFrame) -> DataFrame:
         .when(op.isin("include", "omit"), "include")
         .when(op.isin("box", "delete_line"), op)
     )
-    # Marks and texts are per part, the other fields per line.
-    part = F.when(kind.isin("blank", "text", "mark"), F.col("part_id"))
+    # Marks and texts are per part, the other fields per line. Splits and removals undo one another, so all of them stay;
+    # an edit that arrives twice counts once.
+    each = op.isin(*STRUCTURE_OPS, "draw")
+    kept = edits.withColumns({
+        "_kind": F.when(each, op).otherwise(kind),
+        "_part": F.when(kind.isin("blank", "text", "mark"), F.col("part_id")),
+        "_at": F.when(each, at),
+    }).filter("_kind IS NOT NULL")
     row = F.struct(*edits.columns)
-    keyed = edits.withColumns({"_kind": kind, "_part": part})
-    last = keyed.filter("_kind IS NOT NULL").groupBy("page_id", "line_id", "_part", "_kind").agg(F.max_by(row, at).alias("_row"))
-    # Splits and removals undo one another, so all of them stay; an edit that arrives twice counts once.
-    events = keyed.filter(op.isin(*STRUCTURE_OPS, "draw")).groupBy("page_id", "line_id", "op", "ts", "event_id").agg(F.first(row).alias("_row"))
-    return last.select("_row.*").unionByName(events.select("_row.*"))
+    last = kept.groupBy("page_id", "line_id", "_part", "_kind", "_at").agg(F.max_by(row, at).alias("_row"))
+    return last.select("page_id", "line_id", *[F.col(f"_row.{c}").alias(c) for c in edits.columns if c not in ("page_id", "line_id")]).select(*edits.columns)
 
 
 def _part_changes(edits: DataFrame) -> DataFrame:

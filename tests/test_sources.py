@@ -179,6 +179,39 @@ def test_streamed_edits_keep_the_index_in_step(spark, tiny, tmp_path):
     assert rows(index_table.read_table(spark, stores.index), *columns) == rows(expected, *columns)
 
 
+def test_edited_pages_are_read_in_their_buckets(spark, tiny, tmp_path):
+    from folioscope.operators import edits
+    from folioscope.plans import desk, review_queries
+
+    stores = streamed.EditStores(str(tmp_path))
+    lines = desk.lines(spark, tiny).filter("page_id < 'p000040'").cache()
+    stores.start(lines)
+    log = review_queries.line_edits(spark, tiny).filter("page_id < 'p000020'").select(*streamed.LINE_EDITS.fieldNames()).cache()
+    streamed.apply_batch(stores, log.filter("event_id > 3"), 0, F.current_timestamp())
+    streamed.apply_batch(stores, log.filter("event_id <= 3"), 1, F.current_timestamp())
+    current = stores.current_lines(spark)
+    assert "hashpartitioning" not in current._jdf.queryExecution().executedPlan().toString()
+    expected = edits.apply_line_edits(lines, log)
+    assert rows(current, "page_id", "line_id", "x0", "y0", "include", "parts") == rows(expected, "page_id", "line_id", "x0", "y0", "include", "parts")
+
+
+def test_saved_pages_keep_ids_and_vectors(spark):
+    blank = {f.name: None for f in TRANSCRIPTIONS.fields}
+
+    def old(i, page_id, part_id, text_hash):
+        return tuple({**blank, "id": i, "page_id": page_id, "part_id": part_id, "content_hash": text_hash, "embedding": [1.0]}.values())
+
+    stored = spark.createDataFrame([old(1, "p1", "a", "h"), old(2, "p1", "b", "h"), old(3, "p1", "c", "h"), old(4, "p2", "d", "h")], TRANSCRIPTIONS)
+    current = spark.createDataFrame(
+        [("p1", "n", "l", "a", 1, 1, "t", "h", False), ("p1", "n", "l", "b", 1, 1, "t", "new", False), ("p2", "n", "l", "c", 1, 1, "t", "h", False), ("p2", "n", "l", "e", 1, 1, "t", "h", True)],
+        "page_id string, page_name string, line_id string, part_id string, linha_documento int, linha_transcrita int, text string, content_hash string, confirmed boolean",
+    )
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    pages = spark.createDataFrame([("p1",), ("p2",)], "page_id string")
+    names = TRANSCRIPTIONS.fieldNames()
+    assert rows(px.index_saved(stored, current, now).select(*names), *names) == rows(px.index_upsert(stored, current, pages, now), *names)
+
+
 def test_a_part_that_moves_is_written_and_not_deleted(spark):
     blank = {f.name: None for f in TRANSCRIPTIONS.fields}
     stored = spark.createDataFrame(
