@@ -120,18 +120,19 @@ def with_sets(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def children(rows: DataFrame, threshold: float) -> DataFrame:
-    """round, path, _row after one split. Rows carry round, path and _tokens."""
+    """round, path, _row and _tokens after one split."""
     split = F.pmod(F.xxhash64("path", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * (1 / threshold - 1))
 
     def child(k: int):
         position = F.pmod(F.xxhash64("path", F.lit(k)), F.lit(POSITIONS)).cast("int")
         return F.xxhash64("path", F.lit(k), position, F.element_at("_tokens", position + 1))
 
-    return rows.select("round", "_row", F.explode(F.when(split, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("path"))
+    return rows.select("round", "_row", "_tokens", F.explode(F.when(split, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("path"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with two sets or more, with the bucket's size."""
+    """Rows of buckets with two sets or more, with the bucket's size, and without tokens."""
+    rows = rows.drop("_tokens")
     sizes = stored(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path-sizes")
     return rows.join(sizes, "path")
 
@@ -193,7 +194,12 @@ def met_in_pairs(large: DataFrame, reps: DataFrame, threshold: float, limit: int
 
 
 def met(reps: DataFrame, threshold: float, runs: int, rounds: range, limit: int) -> list[DataFrame]:
-    """Edges a, b met in each of these rounds of `runs` runs. All runs go through the levels together."""
+    """Edges a, b met in each of these rounds of `runs` runs. All runs go through the levels together.
+
+    Paths follow from tokens alone, so a level is made from the sets where they lie: they are split again from the first path
+    on, and only buckets that are split further are followed. Their paths are broadcast; each stands for more than `limit`
+    rows, so they are few against the rows. Tokens are not shuffled.
+    """
     draws = [F.struct(F.lit(r).alias("round"), F.xxhash64(F.lit(f"run {r * runs + k}")).alias("path")) for r in rounds for k in range(runs)]
     start = reps.select("_row", "_tokens", F.explode(F.array(*draws)).alias("_d")).select("_row", "_tokens", "_d.round", "_d.path")
     edges = []
@@ -210,7 +216,8 @@ def met(reps: DataFrame, threshold: float, runs: int, rounds: range, limit: int)
             large = stored(large, "paths")
             if large.isEmpty():
                 break
-        rows = children(large.join(reps.select("_row", "_tokens"), "_row"), threshold)
+        open_ = stored(large.select("path").distinct(), "open-paths")
+        rows = children(rows.join(F.broadcast(open_), "path", "left_semi"), threshold)
     else:
         edges.append(met_in_pairs(large, reps, threshold, limit))
     found = stored(reduce(DataFrame.unionByName, edges).filter("a <> b").select("round", "a", "b").distinct(), "met")

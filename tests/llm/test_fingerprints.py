@@ -224,6 +224,27 @@ def test_large_groups_meet_in_blocks(spark):
     assert sum(r.first_of_class for r in rows) == len({r.class_id for r in rows})
 
 
+def test_splits_do_not_shuffle_tokens(spark, monkeypatch):
+    plans, store = [], chosen_path.stored
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name)
+
+    monkeypatch.setattr(chosen_path, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [f"w{i}" for i in range(60)]
+        texts = [" ".join([*words[:k], f"x{k}", *words[k:]]) for k in range(60)]
+        rows = run(spark, texts, chosen_path.near_duplicates, limit=10)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.class_id for r in rows} == {min(r.class_id for r in rows)}
+    assert any(name == "path-sizes" for name, _ in plans)
+    assert not [name for name, plan in plans if name in ("paths", "path-sizes") and "hashpartitioning(_row" in plan]
+
+
 def test_what_cannot_be_split_is_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "DEEPEST", 1, raising=False)
     base = [f"w{i}" for i in range(100)]
