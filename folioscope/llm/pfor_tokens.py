@@ -74,7 +74,7 @@ class Pieces:
         """Ids of several texts one after another, and how many each text has."""
         starts = cuts(data, offs)
         ends = np.append(starts[1:], len(data))
-        hashes, sample, inverse = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+        hashes, sample, inverse = distinct(span_hash(data, starts, ends))
         if len(self.hashes) > KNOWN_PIECES:
             self._forget()
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
@@ -89,6 +89,18 @@ class Pieces:
         return ids, np.diff(total[np.searchsorted(starts, offs)])
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in ascending order, a place of each, and which each value is. np.unique sorts stably for the first
+    place, which takes longer and is not needed here."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 PLAIN = np.ones(256, dtype=bool)  # first bytes of characters that are surely no white space
 PLAIN[:0x21] = PLAIN[0x7F] = PLAIN[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
@@ -118,20 +130,24 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     width = np.frexp(at.astype(np.float64))[1].astype(np.int64)  # bits of the percentile
     over = (values.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
     exceptions = over.sum(axis=1)
-    parts: list[bytes] = [b""] * n
+    ends = np.cumsum(6 + width * BLOCK // 8 + 5 * exceptions)
+    starts = np.concatenate(([0], ends[:-1]))
+    area = np.zeros(int(ends[-1]), dtype=np.uint8)  # all blocks are filled in at once
+    area[starts[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(n, 4)
+    area[starts + 4], area[starts + 5] = width, exceptions
     for w in np.unique(width):
         here = np.flatnonzero(width == w)
-        fits = np.where(over[here], 0, values[here])
-        bits = ((fits[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(here), -1)
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        for row, b in zip(packed, here, strict=True):
-            parts[b] = row.tobytes()
-    blocks = []
-    for b in range(n):
-        places = np.flatnonzero(over[b])
-        blocks.append(struct.pack("<IBB", low[b], width[b], exceptions[b]) + parts[b] + places.astype(np.uint8).tobytes() + values[b][places].astype("<u4").tobytes())
-    sizes = np.array([len(b) for b in blocks])
-    return b"".join(blocks), np.concatenate(([0], np.cumsum(sizes)[:-1])).astype("<u8")
+        fits = np.where(over[here], 0, values[here]).astype("<u4")
+        bits = np.unpackbits(fits.view(np.uint8).reshape(len(here), BLOCK, 4), axis=2, count=int(w), bitorder="little")
+        packed = np.packbits(bits.reshape(len(here), -1), axis=1, bitorder="little")
+        area[(starts[here] + 6)[:, None] + np.arange(packed.shape[1])] = packed
+    block, place = np.nonzero(over)
+    tail = starts + 6 + width * BLOCK // 8
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    area[tail[block] + nth] = place
+    at = (tail + exceptions)[block] + 4 * nth
+    area[at[:, None] + np.arange(4)] = values[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return area.tobytes(), starts.astype("<u8")
 
 
 def unpack_blocks(area: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:

@@ -144,3 +144,30 @@ def test_pieces_are_cut_only_where_tokens_end():
             for n, end in zip(counts, np.cumsum(counts), strict=True):
                 assert ids[end - n : end].tolist() == library.encode(texts[at], add_special_tokens=False).ids
                 at += 1
+
+
+def test_blocks_are_packed_all_at_once(monkeypatch):
+    """Bytes as the format describes them, made without a step for each block."""
+    import struct
+
+    rng = np.random.default_rng(3)
+    ids = np.where(rng.random(2000) < 0.05, 2**32 - 1, rng.integers(0, 300, 2000)).astype("<u4")
+    packed = []
+    pack = struct.pack
+    monkeypatch.setattr(struct, "pack", lambda *a: packed.append(a) or pack(*a))
+    area, starts = pfor_tokens.pack_blocks(ids)
+    assert not packed
+    assert (pfor_tokens.unpack_blocks(area, starts, len(ids)) == ids).all()
+    for at, block in zip(starts.tolist(), np.append(ids, np.full(48, ids[-1], dtype="<u4")).reshape(-1, 128), strict=True):
+        low, width, exceptions = struct.unpack_from("<IBB", area, at)
+        over = np.flatnonzero((block - low).astype(np.uint64) >> np.uint64(width))
+        tail = at + 6 + 16 * width
+        assert low == block.min() and list(area[tail : tail + exceptions]) == over.tolist()
+        bits = sum((0 if i in over else int(v - low)) << (width * i) for i, v in enumerate(block.tolist()))
+        assert int.from_bytes(area[at + 6 : tail], "little") == bits
+
+
+def test_distinct_values():
+    values = np.random.default_rng(4).integers(0, 50, 500).astype(np.uint64)
+    found, place, which = pfor_tokens.distinct(values)
+    assert (found == np.unique(values)).all() and (values[place] == found).all() and (found[which] == values).all()
