@@ -24,6 +24,7 @@ from folioscope.llm.store import documents, dropped, recorded, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.5
+BATCH_BYTES = "8m"  # of rows that go to a Python worker at once; Spark holds each batch outside its heap, in buffers that double as they grow
 ORACLE_SQL = None
 
 
@@ -31,11 +32,15 @@ _earlier: list[str] = []  # tables the stage before has stored; its rows are wri
 
 
 def stage(fn):
-    """A stage that first deletes what the one before has stored, so that disk follows one stage and not all of them."""
+    """A stage that first deletes what the one before has stored, so that disk follows one stage and not all of them.
+
+    It leaves the session's `spark.sql.execution.arrow.maxBytesPerBatch` at BATCH_BYTES, since its rows are made later.
+    """
 
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         dropped(spark, _earlier)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         with recorded(_earlier):
             return fn(spark, docs, sf_dir)
 

@@ -26,6 +26,7 @@ from folioscope.llm.arrays import MULTIPLIER, mix, slices, words
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 UND = "und"
+PART_BYTES = 250_000  # searched at a time: some hundred bytes of working memory each
 SETTLED = 1e-3
 
 LETTER = np.zeros(256, dtype=bool)
@@ -68,7 +69,7 @@ def count_ngrams(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            for start, stop, data, offs in slices(lowered(batch.column(0))):
+            for start, stop, data, offs in slices(lowered(batch.column(0)), PART_BYTES):
                 first, of, buckets, lengths = features(data, offs)
                 names, code = np.unique(langs[start:stop].astype(str), return_inverse=True)
                 per_byte = np.repeat(code[of], lengths)
@@ -176,9 +177,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     def predict(batches):
         model_ = shared.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            preds, scores, sets = [], [], []
-            for start, stop, data, offs in slices(lowered(column)):
+            column = lowered(batch.column(batch.schema.get_field_index(text)))
+            for start, stop, data, offs in slices(column, PART_BYTES):
+                preds, scores, sets = [], [], []
                 shares = mixtures(model_, data, offs, penalty, rounds)
                 ascii_letters = np.concatenate(([0], np.cumsum(LETTER[data] & (data < 0x80))))
                 for i, share in enumerate(shares):
@@ -191,11 +192,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                         continue
                     preds.append(model_.langs[top]), scores.append(min(1.0, float(share[top])))
                     sets.append([{"lang": model_.langs[j], "share": float(share[j])} for j in np.flatnonzero(share > 0)])
-            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, kind)],
-                [*[f.name for f in kept], "lang_pred", "score", "languages"],
-            )
+                part = batch.slice(start, stop - start)
+                arrays = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+                kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [*arrays, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, kind)],
+                    [*[f.name for f in kept], "lang_pred", "score", "languages"],
+                )
 
     return docs.select(*[f.name for f in kept]).mapInArrow(predict, schema)
