@@ -1,7 +1,9 @@
 """The pipeline's stages on small tables, each against what its operator must do to its own input."""
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioscope.llm.store import documents, stored
@@ -96,3 +98,15 @@ def test_edge_rows_pass_through_every_stage(spark, tiny):
         for name, stage in corpus_pipeline.STAGES:
             df = stored(stage(spark, df, tiny), f"edge-{name}")
         assert bool(df.count()) == bool(data)
+
+
+def test_batches_of_a_stage_are_bounded(spark, tiny):
+    """What goes to a Python worker at once is so many bytes, however long the texts are."""
+    corpus_pipeline.language(spark, documents(spark, tiny), tiny)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("palavra "), 25_000).alias("text"))  # 40 MB
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 9_000_000
