@@ -132,6 +132,8 @@ def build_prompts(
     )
 
 
+MOST_TASKS = 8
+
 Ask = Callable[[str, dict], str]
 Wait = Callable[[float], None]
 
@@ -157,9 +159,13 @@ def _ask_once(requests: DataFrame, ask_factory: Callable[[], Ask]) -> DataFrame:
 
 
 def _dealt(requests: DataFrame, per_task: int) -> DataFrame:
-    """Requests spread evenly over tasks, by hash of the group, `per_task` or so in each and at least a task per core."""
+    """Requests spread evenly over tasks, by hash of the group, `per_task` or so in each and at least a task per core.
+
+    A core gets MOST_TASKS at most: with more requests tasks are longer and not more, since a round's tasks are the partitions
+    of all later steps.
+    """
     cores = requests.sparkSession.sparkContext.defaultParallelism
-    return requests.repartition(max(cores, -(-requests.count() // per_task)), "page_id", "group_no")
+    return requests.repartition(max(cores, min(-(-requests.count() // per_task), MOST_TASKS * cores)), "page_id", "group_no")
 
 
 def ask_groups(

@@ -92,10 +92,10 @@ def read_lines(
     Answers are written to the checkpoint folder round by round, so that no call is repeated when a later stage is. `wait`
     is called on the driver with the seconds to wait before a round of repeated calls.
     """
-    # Both tables feed several steps.
+    # These tables feed several steps.
     pending = durable(review.pending_lines(lines, only_empty))
     groups = durable(reading.read_groups(pending))
-    gutters = geometry.page_gutters(lines, pages)
+    gutters = durable(geometry.page_gutters(lines, pages))
     crops = geometry.line_crops(pending, pages, gutters)
     forms = None
     if table is not None:

@@ -248,3 +248,10 @@ def test_few_pairs_are_scored(spark):
     assert 300 <= threshold.prefix_index(gaps, table, 0.55).scored_pairs() < 0.35 * 400 * 1200
     columns = ["query_id", "part_id", "rank", "score", "neighbour"]
     assert rows(precedents.gap_neighbours(gaps, table, sparse=True), *columns) == rows(precedents.gap_neighbours(gaps, table), *columns)
+
+
+def test_rounds_have_a_bounded_number_of_tasks(spark):
+    requests = spark.range(1000).select(F.lit("p001").alias("page_id"), F.col("id").cast("int").alias("group_no"))
+    cores = spark.sparkContext.defaultParallelism
+    assert reading._dealt(requests, 1).rdd.getNumPartitions() == reading.MOST_TASKS * cores
+    assert reading._dealt(requests, 500).rdd.getNumPartitions() == max(cores, 2)
