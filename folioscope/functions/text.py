@@ -35,7 +35,9 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Without whitespace at the ends; the pattern runs only where an end has some."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(SPACE), F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")).otherwise(text)
 
 
 def has_text(text: Column) -> Column:
@@ -65,7 +67,8 @@ def _fold_table() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without accents: composed letters by table, loose marks by pattern."""
     source, target = _fold_table()
-    return F.lower(F.regexp_replace(F.translate(text, source, target), r"\p{M}+", ""))
+    plain = F.octet_length(text) == F.char_length(text)  # ASCII, which has neither
+    return F.lower(F.when(plain, text).otherwise(F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")))
 
 
 def fold_query(query: str) -> str:

@@ -47,3 +47,33 @@ def test_lists_are_sorted_and_bounded(spark, table):
     lists = spark.read.parquet(f"{root}/postings")
     assert lists.filter(F.size("places") > 1 << postings.CHUNK_BITS).count() == 0
     assert lists.filter(F.array_sort("places") != F.col("places")).count() == 0
+
+
+def test_lists_of_a_chunk_hold_every_trigram_once():
+    texts = ["abab", "", "ab", "日本語𝄞x", "a\x00b\x00", "xabab"]
+    found = postings.chunk_lists(3, [0, 1, 2, 5, 7, 4095], texts).to_pylist()
+    want = {}
+    for place, text in zip([0, 1, 2, 5, 7, 4095], texts):
+        for gram in {text[i : i + 3] for i in range(len(text) - 2)}:
+            want.setdefault(gram, []).append(place)
+    assert {r["gram"]: r["places"] for r in found} == want and {r["chunk"] for r in found} == {3} and len(found) == len(want)
+    assert postings.chunk_lists(0, [0], ["ab"]).num_rows == 0
+
+
+def test_only_candidates_are_folded(spark, table):
+    """The match stands above the join with the candidates in the plan, and not at the scan of all texts."""
+    _, root = table
+    plan = postings.indexed_hits(spark, root, "agua rio", 8)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(i for i, line in enumerate(plan.splitlines()) if "Join" in line)
+    assert not any("translate" in line for line in plan.splitlines()[join + 1 :]) and "translate" in plan
+
+
+def test_fold_and_strip_of_plain_and_other_texts(spark):
+    from folioscope.functions import text as tx
+
+    data = ["", " ", "Abc", " Abc\n", "Água ", "é x", "x ", " x y\x85", "\ta b\x1c", "İi", None, "a", " 𝄞 ", "x\r\n", "ÀB\x0b"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "i int, x string").select(
+        "i", tx.strip(F.col("x")), tx.fold(F.col("x")), F.regexp_replace("x", f"^{tx.SPACE}+|{tx.SPACE}+$", ""),
+        F.lower(F.regexp_replace(F.translate("x", *tx._fold_table()), r"\p{M}+", "")),
+    )
+    assert all(r[1] == r[3] and r[2] == r[4] for r in got.collect())
