@@ -38,8 +38,10 @@ def embed_batch(batch: DataFrame, batch_id: int, vectors_root: str, model_factor
     fresh = durable(todo.join(done, ["part_id", "content_hash"], "left_anti"))
     if fresh.isEmpty():
         return
-    embedded = durable(embed_texts(fresh, model_factory, width=width).select("part_id", "content_hash", "embedding"))
-    store.write(store.read(embedded, batch_id).unionByName(embedded), embedded, batch_id)
+    embedded = embed_texts(fresh, model_factory, width=width).select("part_id", "content_hash", "embedding")
+    if model_factory is not None:  # a model's answers are stored before they are used; word hashing is cheaper than that
+        embedded = durable(embedded)
+    store.write(store.read(fresh, batch_id).unionByName(embedded), None, batch_id)
 
 
 def stream_embed_backfill(

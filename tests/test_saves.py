@@ -191,3 +191,13 @@ def test_saves_keep_long_texts_where_no_limit_is_set(spark, tmp_path):
         sv.apply_saves(stores, batch, 0, pages, F.timestamp_seconds(F.lit(0)), **limit)
         assert [p.text for r in stores.lines.read().collect() for p in r.parts] == [want]
         assert [r.text for r in stores.index.read().collect()] == [want]
+
+
+def test_hashed_vectors_are_made_once_and_not_checkpointed(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(backfill, "durable", lambda df, real=backfill.durable: made.append(df.columns) or real(df))
+    for batch_id, rows_ in enumerate([[("a", "1", "um rio"), ("b", "1", "mar")], [("a", "2", "dois"), ("b", "1", "mar"), ("c", "1", "rio")]]):
+        backfill.embed_batch(spark.createDataFrame(rows_, "part_id string, content_hash string, text string"), batch_id, str(tmp_path / "v"), None, 768)
+    found = index_table.read_vectors(spark, str(tmp_path / "v")).collect()
+    assert sorted((r.part_id, r.content_hash) for r in found) == [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")]
+    assert all(len(r.embedding) == 768 for r in found) and not any("embedding" in c for c in made)
