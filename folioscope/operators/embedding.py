@@ -41,14 +41,18 @@ def hashing_model() -> Model:
     return embed
 
 
-def hashed_vectors(rows: DataFrame, text: str = "text", width: int = VECTOR_SIZE) -> DataFrame:
-    """Adds `embedding`: counts of folded words in hash buckets, at unit length.
+def hashed_vectors(
+    rows: DataFrame, text: str = "text", width: int = VECTOR_SIZE, use: tuple[str, T.DataType, Callable[[pa.Array], pa.Array]] | None = None
+) -> DataFrame:
+    """Adds `embedding`: counts of folded words in hash buckets, at unit length. `use` (name, type, function of the vectors) adds
+    what the function gives in their place, so that vectors do not leave the task.
 
     Words are hashed by SQL functions; a task only turns bucket numbers into dense vectors, for a batch at once.
     """
     bucket = F.transform(tokens(fold(F.col(text))), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % width).cast("int"))
     kept = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    name, kind, made = use or ("embedding", T.ArrayType(T.FloatType()), None)
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, kind)])
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +66,7 @@ def hashed_vectors(rows: DataFrame, text: str = "text", width: int = VECTOR_SIZE
                 values = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0).astype("float32")
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width)
                 vectors = pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), vectors], [*kept, "embedding"])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), made(vectors) if made else vectors], [*kept, name])
 
     return rows.withColumn("_buckets", bucket).mapInArrow(dense, schema)
 

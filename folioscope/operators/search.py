@@ -1,6 +1,7 @@
 """Search: literal hits, cosine top-k, similarity joins, merged results."""
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import text as tx
+from folioscope.operators.embedding import hashed_vectors
 from folioscope.operators.spread import durable
 from folioscope.settings import (
     CROWDED,
@@ -74,10 +76,14 @@ def cosine(vector: Column, query: list[float]) -> Column:
     Evaluated on Arrow batches: the values of a batch are one flat buffer, so a batch is one
     matrix product, with no Python object per row.
     """
+    return F.arrow_udf(cosines(query), T.DoubleType())(vector)
+
+
+def cosines(query: list[float]) -> Callable[[pa.Array], pa.Array]:
+    """The function of `cosine` on an Arrow column of vectors."""
     target = np.asarray(query, dtype="float64")
     length = float(np.sqrt((target * target).sum()))
 
-    @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
@@ -90,7 +96,7 @@ def cosine(vector: Column, query: list[float]) -> Column:
             found[fits] = np.where(norms > 0, rows @ target / norms, np.nan)
         return pa.array(found, from_pandas=True)
 
-    return score(vector)
+    return score
 
 
 def shown_score(score: Column) -> Column:
@@ -106,7 +112,19 @@ def vector_search(table: DataFrame, query: list[float], limit: int = SEARCH_DEFA
     k = max(1, int(limit))
     rows = searchable(table, **filters)
     kept = [c for c in rows.columns if c != "embedding"]
-    scored = rows.select(*kept, F.round(cosine(F.col("embedding"), query), 9).alias("_score"))
+    return _nearest(rows.select(*kept, cosine(F.col("embedding"), query).alias("_score")), k)
+
+
+def text_search(rows: DataFrame, query: list[float], limit: int = SEARCH_DEFAULT, most: int = SEARCH_MAX, text: str = "text") -> DataFrame:
+    """vector_search over texts that have no stored vectors: they are hashed to vectors and scored in one task, so no vector moves."""
+    if limit > most:
+        raise ValueError(f"{limit} rows where {most} are allowed")
+    return _nearest(hashed_vectors(rows, text, len(query), ("_score", T.DoubleType(), cosines(query))), max(1, int(limit)))
+
+
+def _nearest(scored: DataFrame, k: int) -> DataFrame:
+    kept = [c for c in scored.columns if c != "_score"]
+    scored = scored.withColumn("_score", F.round("_score", 9))
     # The vector itself is dropped before rows are ordered, so only k narrow rows per task move.
     return (
         scored.orderBy(F.col("_score").desc_nulls_last(), "part_id")
@@ -328,7 +346,8 @@ def hybrid_search(
     pages: DataFrame, numbered: DataFrame, similar: DataFrame, query: str, size: int | None = None
 ) -> DataFrame:
     """Literal hits (`size` of them in reading order, or all), then similar rows that are none, then pages that match by name alone."""
-    hits = literal_hits(numbered, query).select("page_id", "part_id", "linha_documento", "parte")
+    # Hits are asked for three times; they are found once. Unless they are ordered, nothing needs their numbers.
+    hits = durable(literal_hits(numbered, query).select("page_id", "part_id", *([] if size is None else HIT_ORDER[1:])))
     literal_ids = hits.select("part_id")
     literal = (hits if size is None else hits.orderBy(*HIT_ORDER).limit(size)).select(
         F.lit("literal").alias("section"), "page_id", "part_id", F.lit(None).cast("double").alias("score")

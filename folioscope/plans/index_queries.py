@@ -277,9 +277,13 @@ UNION ALL
 SELECT 'name', page_id, NULL, NULL FROM desk_pages WHERE (contains({fold_sql('filename')}, 'reau ment')) AND page_id NOT IN (SELECT page_id FROM hits)""",
        **HASH_CTES, **QUERY_CTES))
 def hybrid_search(spark, sf):
-    numbered = numbering.number_parts(desk.lines(spark, sf))
-    table = embedded(spark, px.passages(numbered).select("page_id", "part_id", "text", "confirmed", F.lit(None).cast("bigint").alias("user_id")))
-    similar = search.vector_search(table, _embedded_query(QUERY), 12)
+    lines = desk.lines(spark, sf, marks=False)
+    numbered = numbering.number_parts(lines)
+    cores = spark.sparkContext.defaultParallelism
+    rows = px.passages(numbered).select("page_id", "part_id", "text")
+    # Texts are dealt out only where the files come in fewer parts than there are cores.
+    dealt = rows if desk.table(spark, sf, "documents").rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    similar = search.text_search(dealt, _embedded_query(QUERY), 12)
     return search.hybrid_search(desk.pages(spark, sf), numbered, similar, QUERY)
 
 

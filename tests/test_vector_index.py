@@ -63,3 +63,29 @@ def test_few_lists_suffice_where_vectors_have_groups(spark, tmp_path):
     vi.write_index(table, model, str(tmp_path / "lists"))
     index = vi.read_index(spark, str(tmp_path / "lists"))
     assert vi.recall(index, model, [[float(x) for x in rows[i]] for i in range(0, 1200, 130)], 10, probes=2, keep=60) >= 0.95
+
+
+def test_texts_scored_where_they_are_hashed(spark):
+    from folioscope.operators.embedding import hashed_vectors, hashing_model
+
+    words = ["moinho", "água", "do", "rio", "são", "1815"]
+    texts = spark.createDataFrame([(f"t{i:03d}", " ".join(words[(i * k) % 6] for k in range(i % 7))) for i in range(300)], "part_id string, text string")
+    query = [float(v) for v in hashing_model()(["moinho do rio"])[0]]
+    found = search.text_search(texts, query, 20).collect()
+    assert found == search.vector_search(hashed_vectors(texts).select("part_id", "text", "embedding", F.lit(None).cast("bigint").alias("user_id")), query, 20).select("part_id", "text", "score").collect()
+    with pytest.raises(ValueError):
+        search.text_search(texts, query, 21, 20)
+
+
+def test_hits_of_a_hybrid_search_are_found_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(search, "durable", lambda df, real=search.durable: made.append(df.columns) or real(df))
+    numbered = spark.createDataFrame([("p1", "a", 2, 1, "o rio"), ("p1", "b", 1, 1, "RÍO"), ("p2", "c", 1, 1, "mar")], "page_id string, part_id string, linha_documento int, parte int, text string")
+    pages = spark.createDataFrame([("p1", "rio.jpg"), ("p2", "rio2.jpg")], "page_id string, filename string")
+    similar = spark.createDataFrame([("p1", "a", 0.9), ("p2", "c", 0.5), ("p9", "z", 0.4)], "page_id string, part_id string, score double")
+    for size, literal in ((None, ["a", "b"]), (1, ["b"])):
+        out = search.hybrid_search(pages, numbered, similar, "rio", size)
+        got = sorted((r.section, r.page_id, r.part_id) for r in out.collect())
+        assert got == [("literal", "p1", x) for x in literal] + [("name", "p2", None), ("similar", "p2", "c")]
+        assert "translate(text" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert made == [["page_id", "part_id"], ["page_id", "part_id", "linha_documento", "parte"]]
