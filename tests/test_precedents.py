@@ -55,6 +55,77 @@ def test_similarity_join_is_exact(spark, blocks):
     assert rows(found, "query_id", "part_id", "rank") == sorted(expected)
 
 
+def sparse_block(seed, n, groups, width=768):
+    """Vectors of a dozen words, some of them frequent; every third is near one of fifty texts."""
+    rnd = np.random.default_rng(seed)
+    at = np.concatenate((rnd.integers(0, 40, (n, 4)), rnd.integers(0, width, (n, 8))), axis=1)
+    at[::3, 2:] = np.random.default_rng(9).integers(0, width, (50, 10))[rnd.integers(0, 50, len(at[::3]))]
+    dense = np.zeros((n, width), dtype="float32")
+    np.add.at(dense, (np.arange(n)[:, None], at), 1)
+    return [(f"r{seed}_{i:05d}", [float(x) for x in v], f"g{i % groups}") for i, v in enumerate(dense)], dense
+
+
+def test_folded_vectors_rule_out_most_pairs_and_lose_none(spark, monkeypatch):
+    left, q = sparse_block(1, 300, 7)
+    right, s = sparse_block(2, 2500, 7)
+    wanted, whole, scored = [], [], []
+    unit = lambda x: x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    sims = np.round(unit(q) @ unit(s).T, 9)
+    for i, (name, _, g) in enumerate(left):
+        near = sorted((-sims[i, j], right[j][0]) for j in np.flatnonzero(sims[i] >= 0.7) if right[j][2] != g)
+        wanted += [(name, part) for _, part in near[:4]]
+    packs = []
+    for data, key, column in ((left, "query_id", "vector"), (right, "part_id", "embedding")):
+        frame = spark.createDataFrame(data, f"{key} string, {column} array<float>, group_id string")
+        packs.append(search.packed(frame, column).toArrow())
+    long, short = search._Best._long, search._Best._short
+    monkeypatch.setattr(search._Best, "_long", lambda self, *a: whole.append(1) or long(self, *a))
+    monkeypatch.setattr(search._Best, "_short", lambda self, *a: scored.append(found := short(self, *a)) or found)
+    found = search._block_best(*packs, 4, 768, 0.7)
+    assert sorted(zip(found["query_id"].to_pylist(), found["part_id"].to_pylist(), strict=True)) == sorted(wanted)
+    assert not whole and sum(len(r) for r, _ in scored) < 0.1 * sims.size
+
+
+def test_folded_vectors_are_given_up_where_they_rule_out_nothing(spark):
+    rnd = np.random.default_rng(4)
+    data = [(f"r{i:03d}", [float(x) for x in v], f"g{i % 3}") for i, v in enumerate(rnd.normal(size=(200, 768)) + 0.5)]
+    frame = lambda key, column: search.packed(spark.createDataFrame(data, f"{key} string, {column} array<float>, group_id string"), column).toArrow()
+    found = search._block_best(frame("query_id", "vector"), frame("part_id", "embedding"), 4, 768, 0.0)
+    dense = np.array([v for _, v, _ in data], dtype="float32").astype("float64")
+    unit = dense / np.linalg.norm(dense, axis=1, keepdims=True)
+    sims, wanted = np.round(unit @ unit.T, 9), []
+    for i in range(200):
+        wanted += [(data[i][0], part) for _, part in sorted((-sims[i, j], data[j][0]) for j in range(200) if j % 3 != i % 3)[:4]]
+    assert sorted(zip(found["query_id"].to_pylist(), found["part_id"].to_pylist(), strict=True)) == sorted(wanted)
+
+
+def test_every_cell_of_a_similarity_join_is_a_task(spark):
+    from folioscope.operators.spread import even_keys
+
+    for n in (1, 7, 24, 70):
+        keys = spark.createDataFrame([(k,) for k in even_keys(spark, n)], "id long").repartition(n, "id")
+        assert keys.select(F.spark_partition_id()).distinct().count() == n
+    data = vectors(spark, 400)
+    queries = spark.createDataFrame([("q" + i, v, g) for i, v, g in data], "query_id string, vector array<float>, group_id string")
+    table = spark.createDataFrame(data, "part_id string, embedding array<float>, group_id string")
+    packs = [search.packed(x, c) for x, c in ((queries, "vector"), (table, "embedding"))]
+    grid = search._knn_grid(*packs, 4, 8, 64, 64, float("-inf"))
+    tasks = grid.select(F.spark_partition_id()).distinct().count()  # cells that found something
+    assert tasks >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_a_vector_many_rows_share_is_kept_as_often_as_it_can_be_wanted(spark):
+    """Rows of the query's own group come first; the next of the same vector are still found, and no more rows than can be wanted are compared."""
+    data = [(f"a{i:03d}", [1.0, 0.0], "own") for i in range(50)] + [(f"b{i:03d}", [1.0, 0.0], f"g{i % 9}") for i in range(200)]
+    table = search.packed(spark.createDataFrame(data, "part_id string, embedding array<float>, group_id string"), "embedding")
+    assert search._first_of_equal(table, 4).count() == 8
+    queries = spark.createDataFrame([("q", [2.0, 0.0], "own"), ("r", [2.0, 0.0], "g0"), ("s", [2.0, 0.0], None)], "query_id string, vector array<float>, group_id string")
+    got = rows(search.knn_join(queries, table, 4), "query_id", "rank", "part_id")
+    assert got == sorted(
+        [("q", n, f"b{n - 1:03d}") for n in range(1, 5)] + [("r", n, f"a{n - 1:03d}") for n in range(1, 5)] + [("s", n, f"a{n - 1:03d}") for n in range(1, 5)]
+    )
+
+
 def test_similarity_joins_move_short_vectors_and_keep_all_ties(spark):
     """Packed rows are as short as their texts; a thousand equal vectors lose none of the smallest ids; a least score cuts what is below."""
     rnd = np.random.default_rng(5)
