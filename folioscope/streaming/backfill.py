@@ -4,9 +4,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from folioscope.operators.embedding import Model, embed_texts
+from folioscope.operators.embedding import Model, embed_texts, hashed_vectors
+from folioscope.operators.search import pack, packed
 from folioscope.operators.spread import durable
 from folioscope.schemas import TRANSCRIPTIONS
 from folioscope.settings import VECTOR_SIZE
@@ -34,14 +36,18 @@ def embed_batch(batch: DataFrame, batch_id: int, vectors_root: str, model_factor
     """
     store = index_table.vector_store(batch.sparkSession, vectors_root)
     todo = durable(batch.dropDuplicates(["part_id", "content_hash"]))
-    done = store.read(todo, batch_id).select("part_id", "content_hash")
-    fresh = durable(todo.join(done, ["part_id", "content_hash"], "left_anti"))
+    fresh = todo
+    if started := bool(store.manifest(batch_id)["buckets"]):  # else there is nothing to compare texts with
+        done = store.read(todo, batch_id).select("part_id", "content_hash")
+        fresh = durable(todo.join(done, ["part_id", "content_hash"], "left_anti"))
     if fresh.isEmpty():
         return
-    embedded = embed_texts(fresh, model_factory, width=width).select("part_id", "content_hash", "embedding")
-    if model_factory is not None:  # a model's answers are stored before they are used; word hashing is cheaper than that
-        embedded = durable(embedded)
-    store.write(store.read(fresh, batch_id).unionByName(embedded), None, batch_id)
+    if model_factory is None:  # packed where they are made
+        embedded = hashed_vectors(fresh, width=width, use=("embedding", T.BinaryType(), pack))
+    else:  # a model's answers are stored before they are used; word hashing is cheaper than that
+        embedded = durable(packed(embed_texts(fresh, model_factory, width=width), "embedding"))
+    embedded = embedded.select("part_id", "content_hash", "embedding")
+    store.write(store.read(fresh, batch_id).unionByName(embedded) if started else embedded, None, batch_id)
 
 
 def stream_embed_backfill(

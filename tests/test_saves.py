@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.operators import embedding
 from folioscope.sources import index_table
 from folioscope.sources.page_store import PageStore
 from folioscope.streaming import backfill, saves as sv
@@ -201,3 +202,21 @@ def test_hashed_vectors_are_made_once_and_not_checkpointed(spark, tmp_path, monk
     found = index_table.read_vectors(spark, str(tmp_path / "v")).collect()
     assert sorted((r.part_id, r.content_hash) for r in found) == [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")]
     assert all(len(r.embedding) == 768 for r in found) and not any("embedding" in c for c in made)
+
+
+def test_backfilled_vectors_are_kept_and_moved_packed(spark, tmp_path, monkeypatch):
+    """A first batch is stored once; the store holds words, not 768 values a text; what is read back are the vectors."""
+    made = []
+    monkeypatch.setattr(backfill, "durable", lambda df, real=backfill.durable: made.append(df.columns) or real(df))
+    texts = [(f"p{i:03d}", "h", f"rio mar {i} rio" if i else "") for i in range(300)]
+    batch = spark.createDataFrame(texts, "part_id string, content_hash string, text string")
+    backfill.embed_batch(batch, 0, str(tmp_path / "v"), None, 768)
+    assert len(made) == 1
+    stored = index_table.read_packed(spark, str(tmp_path / "v"))
+    assert stored.count() == 300 and stored.filter(F.length("embedding") > 100).isEmpty()
+    wanted = {r.part_id: list(r.embedding) for r in embedding.embed_texts(batch).collect()}
+    assert {r.part_id: list(r.embedding) for r in index_table.read_vectors(spark, str(tmp_path / "v")).collect()} == wanted
+    table = batch.unionByName(spark.createDataFrame([("new", "h", "x"), ("p001", "other", "x")], batch.schema)).withColumn("embedding", F.lit(None).cast("array<float>"))
+    for vectors in (stored, index_table.read_vectors(spark, str(tmp_path / "v"))):
+        got = {(r.part_id, r.content_hash): r.embedding for r in index_table.with_vectors(table, vectors).collect()}
+        assert got == {**{(p, "h"): v for p, v in wanted.items()}, ("new", "h"): None, ("p001", "other"): None}
