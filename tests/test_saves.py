@@ -220,3 +220,25 @@ def test_backfilled_vectors_are_kept_and_moved_packed(spark, tmp_path, monkeypat
     for vectors in (stored, index_table.read_vectors(spark, str(tmp_path / "v"))):
         got = {(r.part_id, r.content_hash): r.embedding for r in index_table.with_vectors(table, vectors).collect()}
         assert got == {**{(p, "h"): v for p, v in wanted.items()}, ("new", "h"): None, ("p001", "other"): None}
+
+
+def test_a_batch_of_saves_leaves_nothing_but_its_stores(spark, tmp_path):
+    from folioscope.operators.spread import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+    line = {"id": "l1", "box": [10, 10, 90, 40], "include": True, "parts": [{"id": "t1", "text": "rio"}]}
+    sent = [("p1", json.dumps({"lines": [line]}), 5, 1), ("p2", json.dumps({"lines": [{**line, "id": "l2"}]}), 5, 2)]
+    emptied = [("p1", json.dumps({"lines": []}), 6, 3)]
+    pages = spark.createDataFrame([("p1", 100, 100), ("p2", 100, 100)], "page_id string, width int, height int")
+    stores = sv.SaveStores(spark, str(tmp_path / "s"), buckets=2)
+    stores.start(spark.createDataFrame([], sv.LINES))
+    before = files()
+    for batch_id, rows_ in enumerate((sent, emptied)):
+        batch = spark.createDataFrame(rows_, "page_id string, payload string, at long, event_id long").select(
+            "page_id", "payload", F.timestamp_seconds("at").alias("ts"), "event_id"
+        )
+        sv.apply_saves(stores, batch, batch_id, pages, F.timestamp_seconds(F.lit(0)))
+    assert files() == before
+    assert [(r.page_id, r.line_id) for r in stores.lines.read().collect()] == [("p2", "l2")]
+    assert [r.page_id for r in stores.index.read().collect()] == ["p2"]
